@@ -9,7 +9,8 @@ Two documents are linked when the Jaccard similarity of their distinct five-word
    places share a value in both prefixes.
 3. In each posting list every class is first paired with the list's smallest class (a star, never all pairs). Confirmed
    links give components, and a list that lies within one component is skipped. The others are compared across
-   components, in blocks, where only pairs agreeing in MATCHES coordinates come out.
+   components, in blocks, where only pairs agreeing in MATCHES coordinates come out. Texts that have too few shingles in
+   common with all the others together are left out first.
 4. Every link is confirmed on the full sets. Components of the confirmed links give the classes' smallest doc_id.
 
 A pair of similarity 0.75 agrees in fewer than MATCHES coordinates with probability below 1e-6.
@@ -34,7 +35,8 @@ from .components import components
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 COORDINATES = 64
-MATCHES = 29
+MATCHES = 31
+STAR_MEETINGS = 4
 BLOCK = 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -125,28 +127,59 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """One pair of blocks of a posting list a row: pairs of different components that agree in MATCHES coordinates."""
-    for left, right, same in rows:
-        a, b = ({k: [x[k] for x in side] for k in ("node", "comp", "n", "sig")} for side in (left, right))
+    """One pair of blocks of a posting list a row: pairs of different components that agree in MATCHES coordinates.
+
+    A pair comes out of one list only, that of the first coordinate in which both prefixes agree.
+    """
+    bits = np.int64(1) << np.arange(COORDINATES, dtype=np.int64)
+    for token, left, right, same in rows:
+        a, b = ({k: [x[k] for x in side] for k in ("node", "comp", "n", "mask", "alone", "sig")} for side in (left, right))
+        earlier = np.int64((1 << (token >> 32)) - 1)
+        mask_b, alone_b = np.array(b["mask"], np.int64), np.array(b["alone"])
         sig_b = np.frombuffer(b"".join(b["sig"]), np.int32).reshape(-1, COORDINATES)
         comp_b, n_b = np.array(b["comp"]), np.array(b["n"])
         for i, node in enumerate(a["node"]):
             ok = (comp_b != a["comp"][i]) & (DENOMINATOR * np.minimum(n_b, a["n"][i]) >= NUMERATOR * np.maximum(n_b, a["n"][i]))
+            # Shingles that only one of the two can have bound their similarity from above.
+            both = np.minimum(n_b - alone_b, a["n"][i] - a["alone"][i])
+            ok &= (DENOMINATOR - NUMERATOR) * both >= NUMERATOR * (alone_b + a["alone"][i])
             if same:
                 ok[: i + 1] = False
             at = np.flatnonzero(ok)
             if len(at):
-                agree = (sig_b[at] == np.frombuffer(a["sig"][i], np.int32)).sum(axis=1)
-                for j in at[agree >= MATCHES]:
+                equal = sig_b[at] == np.frombuffer(a["sig"][i], np.int32)
+                enough = equal.sum(axis=1) >= MATCHES
+                at, equal = at[enough], equal[enough]
+                met = (equal * bits).sum(axis=1) & mask_b[at] & a["mask"][i]
+                for j in at[met & earlier == 0]:
                     x, y = node, b["node"][j]
                     yield max(x, y), min(x, y)
 
 
+def _linkable(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The nodes that can have a link among ``nodes``, and how many of their shingles no other has (alone).
+
+    A text of which less than 3/4 of the shingles occur in another cannot have one.
+
+    Texts that share a frequent passage, and little else, fall away here before they are compared with each other.
+    """
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for node, text in rows:
+            for x in shingles(text).view(np.int64).tolist():
+                yield node, x
+
+    theirs = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    spread = map_rows(theirs, ["doc_id", "text"], "node long, shingle long", run)
+    lonely = spread.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
+    return nodes.join(lonely, "node", "left").where(f"{DENOMINATOR} * (n - coalesce(alone, 0)) >= {NUMERATOR} * n").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per row (doc_id, n, set_key), classes (set_key, node, n, sig), and components of the classes (node, component)."""
     spark = docs.sparkSession
     rows = materialise(map_rows(docs, ["doc_id", "text"], "doc_id long, n long, set_key binary, sig binary", _describe))
-    classes = materialise(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = materialise(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
 
     coordinate = F.explode(F.sequence(F.lit(0), F.lit(COORDINATES - 1)))
     value = F.conv(F.substring(F.hex("sig"), F.col("i") * 8 + 1, F.lit(8)), 16, 10).cast("long")
@@ -155,26 +188,33 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     posted = tokens.join(shared, "token")
     own = W.partitionBy("node")
     ranked = posted.withColumn("at", F.row_number().over(own.orderBy("df", "token"))).withColumn("found", F.count("*").over(own))
-    prefix = materialise(ranked.where(f"at + ({COORDINATES} - found) <= {COORDINATES - MATCHES + 1}").select("node", "token"))
-
-    hubs = prefix.groupBy("token").agg(F.min("node").alias("hub"))
-    stars = prefix.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    prefix = materialise(ranked.where(f"at + ({COORDINATES} - found) <= {COORDINATES - MATCHES + 1}").select("node", "token", "found", F.expr("bit_or(shiftleft(1L, cast(shiftright(token, 32) as int)))").over(own).alias("mask")))
+
+    # A list's centre is the class of most copies, then the one that has most in common with others: in a group of edited
+    # copies that is the original, or the least edited, which links with more of them than any other.
+    central = prefix.join(classes.select("node", "copies"), "node").withColumn("rank", F.struct("copies", "found", (-F.col("node")).alias("first")))
+    hubs = central.groupBy("token").agg((-F.max("rank")["first"]).alias("hub"))
+    stars = prefix.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # Classes that meet a centre in few lists alone are left to the step below, which misses none.
+    stars = stars.groupBy("a", "b").count().where(F.col("count") >= STAR_MEETINGS).select("a", "b")
     tried = materialise(_agreeing(stars, classes))
     texts = docs.select("doc_id", "text")
     first = _confirmed(tried, texts)
     labels = materialise(components(first))
 
-    named = prefix.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+    named = prefix.join(labels, "node", "left").select("token", "node", "mask", F.coalesce("component", "node").alias("comp"))
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
-    members = named.join(mixed, "token").join(classes.select("node", "n", "sig"), "node")
+    between = materialise(named.join(mixed, "token"))
+    sized = between.select("node").distinct().join(classes.select("node", "n"), "node")
+    members = between.join(materialise(_linkable(sized, texts)), "node").join(classes.select("node", "n", "sig"), "node")
     # A list of more than BLOCK members is dealt into blocks by hash, and blocks are compared two by two.
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).groupBy("token", "block").agg(F.first(n_blocks).alias("n_blocks"), F.array_sort(F.collect_list(F.struct("n", "node", "comp", "sig"))).alias("members"))
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).groupBy("token", "block").agg(F.first(n_blocks).alias("n_blocks"), F.array_sort(F.collect_list(F.struct("n", "node", "comp", "mask", "alone", "sig"))).alias("members"))
     left = blocks.select("token", F.col("block").alias("i"), "members", F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"))
     right = blocks.select("token", F.col("block").alias("j"), F.col("members").alias("others"))
     # Blocks are few rows of some hundred kilobytes, so a batch holds few of them.
-    pairs = map_rows(left.join(right, ["token", "j"]).withColumn("same", F.expr("i = j")), ["members", "others", "same"], "a long, b long", _across).distinct()
-    residual = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = map_rows(left.join(right, ["token", "j"]).withColumn("same", F.expr("i = j")), ["token", "members", "others", "same"], "a long, b long", _across)
+    residual = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     second = _confirmed(residual, texts)
     if second.isEmpty():
         return rows, classes, labels

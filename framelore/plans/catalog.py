@@ -1,4 +1,439 @@
-"""Driver queries of the media-timeline operators, and their DuckDB SQL."""
+"""Driver queries of the media-timeline operators, and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Computed doubles are rounded to six places on both sides, after sums of exact binary fractions wherever there is a choice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from framelore.functions import text as T
+from framelore.operators import islands, joins, selection, series, vectors, voice
+from framelore.sources import adapters as A
+from framelore.sources import subtitles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *parts: str) -> Callable:
+    """Register a query; ``parts`` names the adapters whose tables its SQL reads."""
+
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            text = sql.strip()
+            ctes = ", ".join(A.SQL[p] for p in parts)
+            ORACLE_SQL[fn.__name__] = f"WITH {ctes}{', ' if text.startswith('+') else ' '}{text.removeprefix('+')}" if parts else text
+        return fn
+
+    return add
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+COUNT = "(length(text) - length(replace(text, keyword, ''))) // length(keyword)"
+KEYWORDS = f"""hits AS (SELECT media_id, seg_no, CAST(floor(start_sec) AS BIGINT) AS second, CAST(sum(weight * ({COUNT})) AS BIGINT) AS s FROM segments, lexicon GROUP BY ALL),
+ks AS (SELECT media_id, second, CAST(sum(s) AS BIGINT) AS score, count(*) AS density FROM hits GROUP BY media_id, second)"""
+TEXT_SERIES = f"""{KEYWORDS},
+dur AS (SELECT media_id, arg_max(end_sec, seg_no) AS d FROM segments GROUP BY media_id),
+sp AS (SELECT media_id, unnest(range(CAST(floor(d) AS BIGINT) + 2)) AS second FROM dur),
+z AS (SELECT sp.media_id, sp.second, coalesce(score, 0) AS score, coalesce(density, 0) AS density FROM sp LEFT JOIN ks ON ks.media_id = sp.media_id AND ks.second = sp.second),
+sm AS (SELECT media_id, second, sum(score) OVER w / CAST(5 AS DOUBLE) AS score, sum(density) OVER w / CAST(5 AS DOUBLE) AS density FROM z WINDOW w AS (PARTITION BY media_id ORDER BY second ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+ts AS (SELECT media_id, second, score + CASE WHEN max(density) OVER (PARTITION BY media_id) > 0 THEN density / max(density) OVER (PARTITION BY media_id) * 3 ELSE density END AS score FROM sm)"""
+
+
+@query(f"+{TEXT_SERIES} SELECT media_id, second, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY round(score, 6) DESC, second) AS rn FROM ts) AS x WHERE rn = 1", "segments", "lexicon")
+def text_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most exciting second of each conversation, by its words."""
+    scored = _round(series.text_series(A.segments(spark, sf_dir), A.lexicon(spark)), "score")
+    best = F.row_number().over(W.partitionBy("media_id").orderBy(F.desc("score"), "second"))
+    return scored.withColumn("rn", best).where("rn = 1").drop("rn")
+
+
+@query(f"+{KEYWORDS} SELECT media_id, second, score, density FROM ks", "segments", "lexicon")
+def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(series.keyword_scores(A.segments(spark, sf_dir), A.lexicon(spark)), "score", "density")
+
+
+@query("SELECT media_id, CAST(floor(start_sec) AS BIGINT) AS second, row_number() OVER (PARTITION BY media_id ORDER BY seg_no, keyword) AS ord FROM segments, lexicon WHERE must_include AND contains(text, keyword)", "segments", "lexicon")
+def must_include(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(series.must_include(A.segments(spark, sf_dir), A.lexicon(spark)), "ord")
+
+
+@query(f"+{TEXT_SERIES} SELECT media_id, second, round(score, 6) AS score FROM ts", "segments", "lexicon")
+def text_score_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(series.text_series(A.segments(spark, sf_dir), A.lexicon(spark)), "score")
+
+
+NORM = "(level - min(level) OVER m) / (max(level) OVER m - min(level) OVER m + 1e-9)"
+
+
+@query(f"SELECT media_id, second, round({NORM}, 6) AS norm FROM series WINDOW m AS (PARTITION BY media_id)", "series")
+def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(A.series(spark, sf_dir).select("media_id", "second", series.normalised("level").alias("norm")), "norm")
+
+
+def _two(df: DataFrame) -> DataFrame:
+    return df.withColumn("other", (F.col("level") * 7 + F.col("second") * 13) % 101)
+
+
+@query("""+t AS (SELECT media_id, second, level, (level * 7 + second * 13) % 101 AS other FROM series),
+n AS (SELECT media_id, second, 0.45 * (level - min(level) OVER m) / (max(level) OVER m - min(level) OVER m + 1e-9) + 0.55 * (other - min(other) OVER m) / (max(other) OVER m - min(other) OVER m + 1e-9) AS x FROM t WINDOW m AS (PARTITION BY media_id))
+SELECT media_id, second, round(sum(x) OVER (PARTITION BY media_id ORDER BY second ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS fused FROM n""", "series")
+def fused_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.fuse(_two(A.series(spark, sf_dir)), {"level": 0.45, "other": 0.55})
+    return _round(out.select("media_id", "second", "fused"), "fused")
+
+
+@query("SELECT l_suppkey AS media_id, CAST(year(l_shipdate) AS BIGINT) AS bucket, round(sqrt(CAST(sum(CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*)), 6) AS rms FROM lineitem GROUP BY ALL")
+def rms_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("long")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _round(li.groupBy(F.col("l_suppkey").alias("media_id"), F.year("l_shipdate").cast("long").alias("bucket")).agg(F.sqrt(F.sum(q * q).cast("double") / F.count("*")).alias("rms")), "rms")
+
+
+SMOOTH5 = "0.1 * coalesce(lag(level, 2) OVER w, 0) + 0.25 * coalesce(lag(level, 1) OVER w, 0) + 0.3 * level + 0.25 * coalesce(lead(level, 1) OVER w, 0) + 0.1 * coalesce(lead(level, 2) OVER w, 0)"
+
+
+@query(f"""+s AS (SELECT media_id, second, {SMOOTH5} AS smoothed FROM series WINDOW w AS (PARTITION BY media_id ORDER BY second)),
+b AS (SELECT media_id, second, smoothed, quantile_cont(smoothed, 0.5) OVER (PARTITION BY media_id ORDER BY second ROWS BETWEEN 30 PRECEDING AND 29 FOLLOWING) AS baseline FROM s)
+SELECT media_id, second, round(smoothed, 6) AS smoothed, round(baseline, 6) AS baseline, round(smoothed / (baseline + 1e-6), 6) AS ratio FROM b""", "series")
+def rolling_median_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.audio_excitement(A.series(spark, sf_dir)).select("media_id", "second", "smoothed", "baseline", "ratio")
+    return _round(out, "smoothed", "baseline", "ratio")
+
+
+@query("""+f AS (SELECT media_id, CASE WHEN second % 11 = 0 THEN second // 2 ELSE second + 40 END AS second, second AS ord FROM series WHERE level % 5 = 0),
+k AS (SELECT media_id, second, row_number() OVER (PARTITION BY media_id ORDER BY ord) AS k FROM f WHERE second < 84),
+l AS (SELECT media_id, second, max(k) AS k FROM k WHERE k <= 12 GROUP BY ALL)
+SELECT s.media_id, s.second, round(coalesce(max(level) OVER (PARTITION BY s.media_id) * pow(1.5, k), level), 6) AS boosted FROM series AS s LEFT JOIN l ON l.media_id = s.media_id AND l.second = s.second""", "series")
+def forced_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.series(spark, sf_dir)
+    forced = s.where("level % 5 = 0").select("media_id", F.expr("case when second % 11 = 0 then second div 2 else second + 40 end").alias("second"), F.col("second").alias("ord"))
+    valid = forced.where("second < 84").withColumn("rn", F.row_number().over(W.partitionBy("media_id").orderBy("ord"))).where("rn <= 12").drop("rn")
+    return _round(series.boost(s, valid, "level").select("media_id", "second", "boosted"), "boosted")
+
+
+@query(f"""+n AS (SELECT media_id, second, {NORM} AS norm FROM series WINDOW m AS (PARTITION BY media_id))
+SELECT media_id, second, round(avg(norm) OVER (PARTITION BY media_id ORDER BY second ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS mean FROM n""", "series")
+def window_mean_excitement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = A.series(spark, sf_dir).select("media_id", "second", series.normalised("level").alias("norm"))
+    return _round(n.select("media_id", "second", series.window_mean("norm").alias("mean")), "mean")
+
+
+@query("SELECT media_id, round(quantile_cont(level, 0.6), 6) AS p60, round(quantile_cont(level, 0.35), 6) AS p35 FROM series GROUP BY media_id", "series")
+def percentile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(A.series(spark, sf_dir).groupBy("media_id").agg(F.expr("percentile(level, 0.6)").alias("p60"), F.expr("percentile(level, 0.35)").alias("p35")), "p60", "p35")
+
+
+@query("""SELECT media_id, event_id, timestamp, last_value(CASE WHEN selected THEN scene_type END IGNORE NULLS) OVER w AS scene_type,
+  CASE WHEN NOT selected THEN last_value(CASE WHEN selected THEN timestamp END IGNORE NULLS) OVER w END AS source_timestamp
+FROM frames WINDOW w AS (PARTITION BY media_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "frames")
+def locf_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.carry_forward(A.frames(spark, sf_dir), "selected", ["scene_type"]).select("media_id", "event_id", "timestamp", "scene_type", "source_timestamp")
+
+
+SMOOTHED = """sm AS (
+  SELECT media_id, event_id, timestamp, confidence, notable_change, scene_summary,
+    CAST(round_even(avg(intensity) OVER n, 0) AS INTEGER) AS intensity, CAST(round_even(avg(danger_level) OVER n, 0) AS INTEGER) AS danger_level,
+    CASE WHEN lag(expression_a) OVER w = lead(expression_a) OVER w AND lag(expression_a) OVER w <> expression_a AND confidence < 0.85 THEN lag(expression_a) OVER w ELSE expression_a END AS expression_a,
+    CASE WHEN lag(expression_b) OVER w = lead(expression_b) OVER w AND lag(expression_b) OVER w <> expression_b AND confidence < 0.85 THEN lag(expression_b) OVER w ELSE expression_b END AS expression_b,
+    CASE WHEN lag(scene_type) OVER w = lead(scene_type) OVER w AND confidence < greatest(lag(confidence) OVER w, lead(confidence) OVER w) + CAST(0.2 AS DOUBLE) THEN lag(scene_type) OVER w ELSE scene_type END AS scene_type
+  FROM frames WINDOW w AS (PARTITION BY media_id ORDER BY timestamp), n AS (PARTITION BY media_id ORDER BY timestamp ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+
+@query(f"+{SMOOTHED} SELECT media_id, event_id, intensity, danger_level, expression_a, expression_b, scene_type FROM sm", "frames")
+def smooth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.smooth_frames(A.frames(spark, sf_dir)).select("media_id", "event_id", "intensity", "danger_level", "expression_a", "expression_b", "scene_type")
+
+
+@query("""+b AS (SELECT *, CASE WHEN scene_type <> lag(scene_type) OVER w OR timestamp - lag(timestamp) OVER w > 3 THEN 1 ELSE 0 END AS b FROM frames WINDOW w AS (PARTITION BY media_id ORDER BY timestamp)),
+i AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS island FROM b),
+c AS (SELECT media_id, island, expression_a, count(*) AS n, min(timestamp) AS seen FROM i GROUP BY ALL),
+d AS (SELECT media_id, island, expression_a FROM (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY n DESC, seen) AS rn FROM c) AS x WHERE rn = 1),
+c2 AS (SELECT media_id, island, expression_b, count(*) AS n, min(timestamp) AS seen FROM i GROUP BY ALL),
+d2 AS (SELECT media_id, island, expression_b FROM (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY n DESC, seen) AS rn FROM c2) AS x WHERE rn = 1),
+g AS (SELECT media_id, island, min(timestamp) AS start_sec, max(timestamp) AS last, min(scene_type) AS scene_type, avg(intensity) AS ai, count(*) AS frame_count FROM i GROUP BY ALL),
+s AS (SELECT media_id, island, scene_summary FROM (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY confidence DESC, timestamp) AS rn FROM i) AS x WHERE rn = 1)
+SELECT g.media_id, start_sec, coalesce(lead(start_sec) OVER (PARTITION BY g.media_id ORDER BY g.island), last + 2) AS end_sec, scene_type, round(ai, 6) AS mean_intensity, frame_count, expression_a, expression_b, scene_summary
+FROM g JOIN d ON d.media_id = g.media_id AND d.island = g.island JOIN d2 ON d2.media_id = g.media_id AND d2.island = g.island JOIN s ON s.media_id = g.media_id AND s.island = g.island""", "frames")
+def scene_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = A.frames(spark, sf_dir)
+    found = islands.scenes(f, 0.5)
+    # The driver's check compares exact values, so the mean is taken from sums here.
+    begins = found.select("media_id", "start_sec", "end_sec", "scene_type", "frame_count", "expression_a", "expression_b", "scene_summary")
+    w = W.partitionBy("media_id").orderBy("timestamp")
+    gaps = (F.col("scene_type") != F.lag("scene_type").over(w)) | (F.col("timestamp") - F.lag("timestamp").over(w) > 3)
+    mean = islands.islands(f, gaps, ["timestamp"]).groupBy("media_id", "island").agg(F.min("timestamp").alias("start_sec"), F.avg("intensity").alias("mean_intensity")).drop("island")
+    return _round(begins.join(mean, ["media_id", "start_sec"]), "mean_intensity")
+
+
+@query("""+p AS (SELECT *, lag(scene_type) OVER w AS s0, lag(intensity) OVER w AS i0, lag(danger_level) OVER w AS d0, lag(expression_a) OVER w AS a0, lag(expression_b) OVER w AS b0, lag(confidence) OVER w AS c0 FROM frames WINDOW w AS (PARTITION BY media_id ORDER BY timestamp))
+SELECT media_id, timestamp, 'scene_transition' AS event_type, greatest(confidence, c0) AS confidence FROM p WHERE scene_type <> s0
+UNION ALL SELECT media_id, timestamp, 'intensity_spike', confidence FROM p WHERE intensity - i0 >= 2
+UNION ALL SELECT media_id, timestamp, 'danger_spike', confidence FROM p WHERE danger_level - d0 >= 2
+UNION ALL SELECT media_id, timestamp, 'expression_a_change', confidence FROM p WHERE expression_a <> a0 AND expression_a NOT IN ('neutral', 'unclear')
+UNION ALL SELECT media_id, timestamp, 'expression_b_change', confidence FROM p WHERE expression_b <> b0 AND expression_b NOT IN ('neutral', 'unclear')
+UNION ALL SELECT media_id, timestamp, 'notable_change', confidence FROM p WHERE notable_change""", "frames")
+def scene_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.frame_events(A.frames(spark, sf_dir))
+
+
+@query("""+t AS (SELECT * FROM windows WHERE score >= 0.6),
+b AS (SELECT *, CASE WHEN start_sec - lag(end_sec) OVER (PARTITION BY media_id ORDER BY win_no) > 0.75 THEN 1 ELSE 0 END AS b FROM t),
+i AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY win_no ROWS UNBOUNDED PRECEDING) AS island FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY score DESC, win_no DESC) AS best, row_number() OVER (PARTITION BY media_id, island ORDER BY win_no DESC) AS last FROM i)
+SELECT media_id, CAST(island AS BIGINT) AS island, min(start_sec) AS start_sec, max(CASE WHEN last = 1 THEN end_sec END) AS end_sec, max(CASE WHEN best = 1 THEN center_sec END) AS peak_sec, max(score) AS peak_prob FROM r GROUP BY media_id, island""", "windows")
+def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(islands.merge_windows(A.windows(spark, sf_dir), 0.6, 0.75), "island")
+
+
+@query("""+b AS (SELECT *, CASE WHEN start_sec - max(end_sec) OVER (PARTITION BY media_id ORDER BY start_sec, end_sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0.5 THEN 1 ELSE 0 END AS b FROM segments),
+i AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY start_sec, end_sec ROWS UNBOUNDED PRECEDING) AS island FROM b)
+SELECT media_id, CAST(island AS BIGINT) AS island, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM i GROUP BY media_id, island""", "segments")
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(islands.merge_intervals(A.segments(spark, sf_dir), 0.5), "island")
+
+
+@query("""+v AS (SELECT media_id, second, level >= greatest(5, 1.8 * quantile_cont(level, 0.35) OVER (PARTITION BY media_id)) AS v FROM series),
+i AS (SELECT *, second - row_number() OVER (PARTITION BY media_id ORDER BY second) AS island FROM v WHERE v)
+SELECT media_id, min(second) AS first, max(second) AS last FROM i GROUP BY media_id, island""", "series")
+def voiced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.runs(voice.voiced(A.series(spark, sf_dir), "level", 5.0), "voiced", "second").select("media_id", "first", "last")
+
+
+CLIPS = "clips AS (SELECT media_id, seg_no AS clip_no, start_sec - 2 AS cs, start_sec + 5 AS ce, start_sec AS center_sec FROM segments WHERE seg_no % 3 = 0)"
+
+
+def _clips(s: DataFrame) -> DataFrame:
+    return s.where("seg_no % 3 = 0").select("media_id", F.col("seg_no").alias("clip_no"), (F.col("start_sec") - 2).alias("start_sec"), (F.col("start_sec") + 5).alias("end_sec"))
+
+
+@query(f"""+{CLIPS}
+SELECT s.media_id, clip_no, row_number() OVER (PARTITION BY s.media_id, clip_no ORDER BY seg_no) AS number, greatest(0, start_sec - cs) AS start_sec, greatest(0, end_sec - cs) AS end_sec, text
+FROM clips JOIN segments AS s ON s.media_id = clips.media_id AND s.end_sec >= cs AND s.start_sec <= ce""", "segments")
+def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.segments(spark, sf_dir)
+    return _long(joins.clip_segments(_clips(s), s), "number")
+
+
+@query(f"""+{CLIPS}
+SELECT c.media_id, center_sec, substr(string_agg(text, ' / ' ORDER BY s.seg_no), 1, 300) AS nearby FROM clips AS c JOIN (SELECT media_id, seg_no, start_sec, trim(text, ' ' || chr(10)) AS text FROM segments) AS s
+ON s.media_id = c.media_id AND abs(s.start_sec - center_sec) <= 6 GROUP BY c.media_id, center_sec""", "segments")
+def nearby_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.segments(spark, sf_dir)
+    points = s.where("seg_no % 3 = 0").select("media_id", F.col("start_sec").alias("center_sec"))
+    return joins.nearby_text(points, s, 6.0)
+
+
+TIME = "printf('%02d:%02d:%02d,%03d', CAST(floor({0}) AS BIGINT) // 3600, CAST(floor({0}) AS BIGINT) % 3600 // 60, CAST(floor({0}) AS BIGINT) % 60, CAST(({0} - floor({0})) * 1000 AS BIGINT))"
+
+
+@query(f"""SELECT media_id, string_agg(CAST(seg_no + 1 AS VARCHAR) || chr(10) || {TIME.format('start_sec')} || ' --> ' || {TIME.format('end_sec')} || chr(10) || trim(text, ' ' || chr(10)) || chr(10), chr(10) ORDER BY seg_no) AS srt
+FROM segments GROUP BY media_id""", "segments")
+def srt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.format_srt(A.segments(spark, sf_dir))
+
+
+@query("SELECT media_id, CAST(seg_no + 1 AS BIGINT) AS idx, start_sec, greatest(start_sec, end_sec) AS end_sec, regexp_replace(text, '\\s+', '', 'g') AS text FROM gt WHERE regexp_replace(text, '\\s+', '', 'g') <> ''", "segments", "pair")
+def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitles written as files and read back."""
+    written = subtitles.format_srt(A.subtitle_pair(spark, sf_dir)[1])
+    return _long(subtitles.parse_srt(written.withColumnRenamed("srt", "body")), "idx")
+
+
+@query("""SELECT media_id, seg_no AS place, CAST(seg_no AS BIGINT) AS number, start_sec, start_sec + 60 AS end_sec, CASE WHEN seg_no % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(seg_no * 0.125 AS DOUBLE) END AS confidence, substr(text, 1, 20) AS reason
+FROM (SELECT * REPLACE (regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '^ +', '') AS text) FROM segments) AS s WHERE seg_no % 5 <> 4""", "segments")
+def review_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews in markdown, a section a segment, some of them broken, read as highlights."""
+    s = A.segments(spark, sf_dir).withColumn("text", F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), "^ +", ""))
+    clock = lambda c: F.format_string("%02d:%05.2f", F.floor(c / 60), c % 60)
+    sure = F.when(F.col("seg_no") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("- confidence: "), (F.col("seg_no") * 0.125).cast("string"), F.lit("\n")))
+    start = F.when(F.col("seg_no") % 5 == 4, F.lit("soon")).otherwise(clock(F.col("start_sec")))
+    section = F.concat(F.format_string("## highlight_%02d\n", "seg_no"), F.lit("- start: "), start, F.lit("\n* end: "), clock(F.col("start_sec") + 60), F.lit("\n- reason: "), F.substring("text", 1, 20), F.lit(".\n"), sure)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", section.alias("x")))), lambda x: x["x"]), "\n")
+    read = subtitles.parse_review(s.groupBy("media_id").agg(body.alias("body")))
+    return read.select("media_id", F.col("index").cast("long").alias("place"), F.col("index").cast("long").alias("number"), "start_sec", "end_sec", "confidence", F.regexp_replace("reason", r"\.$", "").alias("reason"))
+
+
+@query("""+x AS (SELECT media_id, seg_no, start_sec AS s, end_sec AS e, max(end_sec) OVER (PARTITION BY media_id) AS d FROM segments),
+y AS (SELECT *, e - s < 3 AS short, greatest(0, 3 - (e - s)) / 2 AS pad FROM x),
+z AS (SELECT *, CASE WHEN short THEN greatest(0, s - pad) ELSE s END AS lo, CASE WHEN short THEN least(d, e + pad) ELSE e END AS hi FROM y),
+q AS (SELECT *, CASE WHEN short AND hi - lo < 3 THEN least(d, lo + 3) ELSE hi END AS hi2 FROM z),
+r AS (SELECT *, CASE WHEN short AND hi - lo < 3 AND hi2 - lo < 3 THEN greatest(0, hi2 - 3) ELSE lo END AS lo2 FROM q)
+SELECT media_id, seg_no, CAST(lo2 AS DOUBLE) AS start_sec, CAST(CASE WHEN hi2 - lo2 > 3.25 THEN lo2 + 3.25 ELSE hi2 END AS DOUBLE) AS end_sec FROM r""", "segments")
+def clamp_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.segments(spark, sf_dir).withColumn("d", F.max("end_sec").over(W.partitionBy("media_id")))
+    low, high = selection.fit_duration(F.col("start_sec"), F.col("end_sec"), F.lit(3.0), F.lit(3.25), F.col("d"))
+    return s.select("media_id", "seg_no", low.alias("start_sec"), high.alias("end_sec"))
+
+
+@query("""SELECT media_id, seg_no AS place, printf('%02d_', row_number() OVER (PARTITION BY media_id ORDER BY start_sec, seg_no)) || printf('%02dm%02ds', CAST(floor(start_sec) AS BIGINT) // 60, CAST(floor(start_sec) AS BIGINT) % 60) || '_' ||
+  CASE WHEN text = '' THEN 'clip' ELSE substr(regexp_replace(regexp_replace(trim(text), ' +', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), 1, 40) END AS clip_name
+FROM gt WHERE seg_no % 4 <> 1""", "segments", "pair")
+def clip_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.subtitle_pair(spark, sf_dir)[1].select("media_id", F.col("seg_no").alias("place"), "start_sec", F.col("text").alias("reason"), F.when(F.col("seg_no") % 4 == 1, 0.2).otherwise(0.9).alias("confidence"))
+    return subtitles.clip_names(s, 0.5).select("media_id", "place", "clip_name")
+
+
+CANDIDATES = """cand AS (
+  SELECT p.media_id, p.seg_no AS pred_no, g.seg_no AS true_no, greatest(0, least(p.end_sec, g.end_sec) - greatest(p.start_sec, g.start_sec)) AS overlap_sec,
+    CASE WHEN greatest(length(p.text), length(g.text)) = 0 THEN 1 ELSE 1 - CAST(levenshtein(p.text, g.text) AS DOUBLE) / greatest(length(p.text), length(g.text)) END AS similarity,
+    least(abs(p.start_sec - g.start_sec), abs(p.end_sec - g.end_sec)) AS gap_sec
+  FROM pred AS p JOIN gt AS g ON g.media_id = p.media_id)"""
+
+
+@query(f"+{CANDIDATES} SELECT media_id, pred_no, true_no, CAST(overlap_sec AS DOUBLE) AS overlap_sec, round(similarity, 6) AS similarity, gap_sec FROM cand WHERE overlap_sec > 0 OR gap_sec <= 1", "segments", "pair")
+def subtitle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(joins.subtitle_candidates(*A.subtitle_pair(spark, sf_dir)).drop("start_error_sec", "end_error_sec"), "similarity")
+
+
+@query("""+w AS (SELECT pred.media_id, string_agg(pred.text, '' ORDER BY pred.seg_no) AS p, string_agg(gt.text, '' ORDER BY gt.seg_no) AS t FROM pred JOIN gt ON gt.media_id = pred.media_id AND gt.seg_no = pred.seg_no GROUP BY pred.media_id)
+SELECT media_id, round(CASE WHEN length(t) > 0 THEN CAST(levenshtein(p, t) AS DOUBLE) / length(t) WHEN length(p) > 0 THEN 1 ELSE 0 END, 6) AS cer FROM w""", "segments", "pair")
+def subtitle_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(voice.character_error_rate(*A.subtitle_pair(spark, sf_dir)), "cer")
+
+
+@query()
+def subtitle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.match_pairs(joins.subtitle_candidates(*A.subtitle_pair(spark, sf_dir)))
+
+
+@query()
+def subtitle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred, true = A.subtitle_pair(spark, sf_dir)
+    return _round(voice.subtitle_metrics(selection.match_pairs(joins.subtitle_candidates(pred, true)), pred, true), "precision", "recall", "f1", "mean_start_error")
+
+
+@query("""+b AS (SELECT vec_id AS p, embedding AS e FROM embeddings WHERE vec_id < 8),
+c AS (SELECT v.vec_id, greatest(-1, least(1, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(b.e[i] AS DOUBLE))))) AS x FROM embeddings AS v, b),
+r AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS rn FROM c)
+SELECT vec_id, round(greatest(0, least(1, (0.7 * max(x) + 0.3 * avg(CASE WHEN rn <= 3 THEN x END) + 1) / 2)), 4) AS score FROM r GROUP BY vec_id""".replace("+b AS", "WITH b AS"))
+def vector_top3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return vectors.prototype_scores(e, e.where("vec_id < 8"), ["vec_id"]).withColumn("score", F.round("score", 4))
+
+
+@query("SELECT CAST(label AS BIGINT) AS label, CAST(i - 1 AS BIGINT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) AS x GROUP BY label, i")
+def prototype_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return _round(_long(vectors.mean_vector(e, ["label"]), "label", "dim"), "mean")
+
+
+@query("""+d AS (SELECT media_id, max(end_sec) AS d FROM segments GROUP BY media_id),
+n AS (SELECT media_id, d, unnest(range(CAST(greatest(0, floor((d - 1.5) / 0.5)) AS BIGINT) + 1)) * CAST(0.5 AS DOUBLE) AS s FROM d),
+a AS (SELECT media_id, d, s FROM n UNION SELECT media_id, d, d - 1.5 FROM d WHERE d > 1.5)
+SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY s) - 1 AS BIGINT) AS win_no, s AS start_sec, least(s + 1.5, d) AS end_sec FROM a""", "segments")
+def window_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.segments(spark, sf_dir).groupBy("media_id").agg(F.max("end_sec").alias("duration"))
+    return _long(series.slices(d, 1.5, 0.5).drop("center_sec"), "win_no")
+
+
+@query("""+d AS (SELECT media_id, max(end_sec) AS d FROM windows GROUP BY media_id),
+sp AS (SELECT media_id, unnest(range(CAST(greatest(1, floor(d) + 2) AS BIGINT))) AS second FROM d),
+b AS (SELECT sp.media_id, sp.second, max(score) AS best FROM sp LEFT JOIN windows AS w ON w.media_id = sp.media_id AND sp.second BETWEEN floor(w.start_sec) AND ceil(w.end_sec) GROUP BY ALL),
+c AS (SELECT media_id, second, best, coalesce(best, 0) AS p FROM b)
+SELECT media_id, second, round(CASE WHEN best IS NULL THEN 0 ELSE 0.2 * coalesce(lag(p) OVER w, 0) + 0.6 * p + 0.2 * coalesce(lead(p) OVER w, 0) END, 6) AS score FROM c WINDOW w AS (PARTITION BY media_id ORDER BY second)""", "windows")
+def window_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = A.windows(spark, sf_dir)
+    return _round(series.timeline_of_windows(w, w.groupBy("media_id").agg(F.max("end_sec").alias("duration"))), "score")
+
+
+@query("SELECT event_id, props AS candidate FROM events")
+def json_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", T.json_candidate(F.concat(F.lit("noise [x { "), F.col("props"), F.lit(" tail]"))).alias("candidate"))
+
+
+@query("""SELECT event_id, 'other' AS scene_type, 'item ' || k AS scene_summary, CAST(least(5, CAST(k AS INTEGER)) AS INTEGER) AS intensity, CAST(k AS INTEGER) % 7 = 0 AS notable_change, CAST(least(1, CAST(k AS DOUBLE) / 64) AS DOUBLE) AS confidence, true AS parse_ok
+FROM (SELECT event_id, regexp_extract(props, '[0-9]+') AS k FROM events) AS e""")
+def scene_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("props", "[0-9]+", 0)
+    raw = F.concat(F.lit('Here: {"scene_type": "unknown", "scene_summary": " item  '), k, F.lit('", "intensity": "'), k, F.lit('", "notable_change": "'), F.when(k.cast("int") % 7 == 0, "Yes").otherwise("no"), F.lit('", "confidence": '), (k.cast("double") / 64).cast("string"), F.lit("} done"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.parse_scene(raw).alias("x"))
+    return e.select("event_id", "x.scene_type", "x.scene_summary", "x.intensity", "x.notable_change", "x.confidence", "x.parse_ok")
+
+
+@query()
+def peaks_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.peaks(A.series(spark, sf_dir), "level", 10, 6)
+
+
+@query("""+c AS (SELECT media_id, second AS center FROM series WHERE second % 20 = 7),
+m AS (SELECT media_id, second, level < quantile_cont(level, 0.6) OVER (PARTITION BY media_id) AS low FROM series),
+p AS (SELECT *, lead(low) OVER w AS nx, lag(low) OVER w AS pv FROM m WINDOW w AS (PARTITION BY media_id ORDER BY second)),
+j AS (SELECT c.media_id, center, second AS t, low, max(CASE WHEN second < center AND low AND nx THEN second END) OVER g AS bl, min(CASE WHEN second > center AND low AND pv THEN second END) OVER g AS br
+  FROM c JOIN p ON p.media_id = c.media_id AND abs(second - center) <= 20 WINDOW g AS (PARTITION BY c.media_id, center)),
+b AS (SELECT media_id, center, coalesce(min(CASE WHEN NOT low AND t <= center AND t > coalesce(bl, -1) AND t > greatest(0, center - 20) THEN t END), center) AS s,
+  coalesce(max(CASE WHEN NOT low AND t >= center AND t < coalesce(br, 84) AND t < least(83, center + 20) THEN t END), center) AS e FROM j GROUP BY media_id, center)
+SELECT media_id, center,
+  CASE WHEN e - s < 6 THEN greatest(0, s - (6 - (e - s)) // 2) WHEN e - s > 20 THEN greatest(0, center - 10) ELSE s END AS start,
+  CASE WHEN e - s < 6 THEN least(83, greatest(0, s - (6 - (e - s)) // 2) + 6) WHEN e - s > 20 THEN least(83, greatest(0, center - 10) + 20) ELSE e END AS "end" FROM b""", "series")
+def clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.series(spark, sf_dir)
+    return _long(selection.clip_bounds(s, s.where("second % 20 = 7"), "level", 6, 20), "start", "end")
+
+
+@query()
+def ranked_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.ranked_clips(A.windows(spark, sf_dir), 5.0, threshold=0.8)
+
+
+@query()
+def duration_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.ranked_clips(A.windows(spark, sf_dir), 5.0, target=20.0)
+
+
+@query()
+def frame_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.gate_frames(A.frames(spark, sf_dir), "confidence", 0.3)
+
+
+@query("SELECT media_id, event_id FROM frames AS f WHERE selected AND NOT EXISTS (SELECT 1 FROM events AS x WHERE x.event_id = f.event_id AND x.event_id % 4 = 0)", "frames")
+def pending_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected frames that no earlier run has labelled."""
+    f = A.frames(spark, sf_dir)
+    cached = f.where("event_id % 4 = 0").select("media_id", "event_id")
+    return f.where("selected").join(cached, ["media_id", "event_id"], "left_anti").select("media_id", "event_id")
+
+
+@query("""+v AS (SELECT media_id, second, level >= greatest(5, 1.8 * quantile_cont(level, 0.35) OVER (PARTITION BY media_id)) AS v FROM series),
+i AS (SELECT *, second - row_number() OVER (PARTITION BY media_id ORDER BY second) AS island FROM v WHERE v),
+r AS (SELECT media_id, min(second) * CAST(0.5 AS DOUBLE) AS s, (max(second) + 1) * CAST(0.5 AS DOUBLE) AS e FROM i GROUP BY media_id, island),
+b AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY media_id ORDER BY s) > 0.5 THEN 1 ELSE 0 END AS b FROM r),
+k AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM b),
+m AS (SELECT media_id, g, min(s) AS s, max(e) AS e FROM k GROUP BY media_id, g)
+SELECT media_id, count(*) AS clip_count, sum(e - s) AS voiced_sec, max(e - s) AS longest_sec FROM m GROUP BY media_id""", "series")
+def enrollment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiced stretches of each medium, with gaps of half a second closed: how many, how long."""
+    found = voice.voiced_intervals(A.series(spark, sf_dir), "level", "second", 0.5, 5.0, 0.5)
+    length = F.col("end_sec") - F.col("start_sec")
+    return found.groupBy("media_id").agg(F.count("*").alias("clip_count"), F.sum(length).alias("voiced_sec"), F.max(length).alias("longest_sec"))
+
+
+@query()
+def split_voiced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.series(spark, sf_dir)
+    found = voice.voiced_intervals(s, "level", "second", 0.5, 5.0, 3.0)
+    return selection.split_long(found, s.select("media_id", (F.col("second") * 0.5).alias("at_sec"), F.col("level").alias("rms")), 2.0, 6.0)
+
+
+@query("""+x AS (SELECT media_id, 'item ' || CAST(event_id % 7 AS VARCHAR) AS a, 'Item ' || CAST(event_id % 3 AS VARCHAR) AS b, timestamp FROM frames),
+s AS (SELECT media_id, timestamp, 0 AS place, a AS entity FROM x UNION ALL SELECT media_id, timestamp, 1, b FROM x),
+c AS (SELECT media_id, entity, count(*) AS n, min(timestamp * 2 + place) AS seen FROM s GROUP BY ALL)
+SELECT media_id, string_agg(entity, '|' ORDER BY n DESC, seen) AS entities FROM c GROUP BY media_id""", "frames")
+def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda prefix, n: F.concat(F.lit(prefix), (F.col("event_id") % n).cast("string"))
+    f = A.frames(spark, sf_dir).withColumn("e", F.array(name("item ", 7), name("Item ", 3)))
+    return islands.ranked_entities(f, "e", ["media_id"], "timestamp").select("media_id", F.array_join("entities", "|").alias("entities"))

@@ -149,9 +149,9 @@ class Sampler:
         return (found >> np.uint64(48)).astype(">u2")
 
 
-def to_text(samples: np.ndarray | None) -> str:
-    """Four hex digits a sample; empty for a text without words."""
-    return "" if samples is None else samples.tobytes().hex()
+def to_bytes(samples: np.ndarray | None) -> bytes:
+    """Two bytes a sample; empty for a text without words."""
+    return b"" if samples is None else samples.tobytes()
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -167,7 +167,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -207,14 +207,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for doc_id, text, following in rows:
             yield _described(sampler, doc_id, text, sampler.samples(text), following, sampler.samples(following))
 
-    return done.where("place is null").drop("edge", "place").union(map_rows(pairs, ["doc_id", "edge", "following"], COLUMNS, outer))
+    rows = done.where("place is null").drop("edge", "place").union(map_rows(pairs, ["doc_id", "edge", "following"], COLUMNS, outer))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def _described(sampler: Sampler, doc_id: int, text: str, own: np.ndarray | None, following: str, next_own: np.ndarray | None) -> tuple:
     changed = edited(text, following)
     after = sampler.samples(changed)
-    digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
-    return doc_id, len(text), digest, to_text(own), to_text(after), likeness(own, after), likeness(own, next_own)
+    digest = hashlib.sha256(changed.encode("utf-8", "replace")).digest()
+    return doc_id, len(text), digest, to_bytes(own), to_bytes(after), likeness(own, after), likeness(own, next_own)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ def parse_srt(files: DataFrame, keep_empty: bool = False, keys: list[str] = KEYS
     blocks = files.select(*keys, F.posexplode(F.split(body, gap)).alias("block", "part"))
     lines = F.transform(F.split("part", "\n"), stripped)
     lines = blocks.withColumn("lines", F.filter(lines, lambda x: x != "")).where(F.size("lines") >= (2 if keep_empty else 3))
-    ends = F.split(F.col("lines")[1], r"\s+-->\s+" if keep_empty else r"\s*-->\s*")
-    timed = lines.where(F.col("lines")[1].contains("-->")).withColumns({"start_sec": srt_seconds(F.get(ends, F.lit(0))), "end_sec": srt_seconds(F.get(ends, F.lit(1)))}).where("start_sec is not null and end_sec is not null")
+    ends = F.split(F.get("lines", F.lit(1)), r"\s+-->\s+" if keep_empty else r"\s*-->\s*")
+    timed = lines.where(F.get("lines", F.lit(1)).contains("-->")).withColumns({"start_sec": srt_seconds(F.get(ends, F.lit(0))), "end_sec": srt_seconds(F.get(ends, F.lit(1)))}).where("start_sec is not null and end_sec is not null")
     rest = F.slice("lines", F.lit(3), F.size("lines"))
     if keep_empty:
         rows = timed.withColumn("text", F.array_join(rest, " "))

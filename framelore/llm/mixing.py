@@ -100,7 +100,8 @@ def mixed(docs: DataFrame, keep: float = KEEP, temper: dict[str, float] = TEMPER
     ready = described(docs)
     keys = [f"c_{m}" for m in temper]
     cells = materialise(ready.groupBy(*keys).agg(F.sum("c_tokens").alias("tokens")))
-    fitted = calibrated(rake(cells, {m: tempered(cells, m, p) for m, p in temper.items()}), keep)
+    targets = {m: materialise(tempered(cells, m, p)) for m, p in temper.items()}
+    fitted = calibrated(rake(cells, targets), keep)
     return ready.join(fitted.select(*keys, "probability"), keys).withColumn("kept", draw(F.col("doc_id")) < F.col("probability"))
 
 

@@ -12,9 +12,11 @@ about 26,000 for 4096 tokens; these alone are placed by first fit, longest first
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,8 @@ WHOLE_FROM = 64
 COARSE = 1.2
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 300_000
+CACHED_CHUNKS = 700_000
+SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
 def classes(capacity: int = CAPACITY) -> list[int]:
@@ -59,38 +62,67 @@ def pieces(length: int, known: list[int]) -> Iterator[tuple[int, int, int]]:
         start, length = start + size, length - size
 
 
-class Encoder:
-    """Token ids of whole texts by a tokenizer file. Words repeat, so each distinct word's ids are looked up once."""
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies spell each byte: visible ones stand for themselves, others follow U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+class Encoder(dict):
+    """Token ids of whole texts by a tokenizer file; as a dictionary, the ids of recent chunks.
+
+    The tokenizer's words never span white space, so a text's ids are those of its chunks between white space, one after
+    another. Chunks repeat, so each distinct one is encoded once.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        split = self.tokenizer.pre_tokenizer
-        # The words are found here; the tokenizer then sees one word at a time.
+        assert isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.Sequence)
+        self.normal = self.tokenizer.normalizer.normalize_str
+        self.tokens = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.chunk = regex.compile(r"\S+")
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        assert isinstance(split, pre_tokenizers.Sequence)
-        self.known: dict[str, np.ndarray] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        words = self.word.findall(self.tokenizer.normalizer.normalize_str(text))
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        # str.split also splits at the separators U+001C to U+001F, which the tokenizer takes for words.
+        chunks = self.chunk.findall(text) if SEPARATORS.search(text) else text.split()
+        if len(self) > CACHED_CHUNKS:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk.isascii():
+            found = b"".join([self.word_ids(w) for w in self.word.findall(self.normal(chunk))])
+        else:
+            plain = chunk.lower()
+            words = [plain] if plain.isalpha() else self.word.findall(plain)
+            # A word in ASCII is a chunk too: its ids serve with whatever marks surround it.
+            found = self.word_ids(plain) if words == [plain] else b"".join([self[w] for w in words])
+        self[chunk] = found
+        return found
+
+    def word_ids(self, word: str) -> bytes:
+        spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        tokens = self.tokens(spelt)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a Python worker, so a worker's next task finds the chunks of its last."""
+    return Encoder(path)
 
 
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, k."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encoder, known = Encoder(path), classes(capacity)
+        encoder, known = _encoder(path), classes(capacity)
         for doc_id, text in rows:
             ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4")
             for start, size, k in pieces(len(ids), known):

@@ -94,29 +94,35 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     n0 = len(labels) - n1
     if not n1 or not n0:  # nothing to learn from: everything is as clean, or as toxic, as what was seen
         return Model(np.empty(0, np.int32), np.empty(0), 3.0 if n1 else -3.0)
-    at = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    flat = np.concatenate(rows)
-    ids, col = np.unique(flat, return_inverse=True)
-    c1 = np.bincount(col, weights=labels[at], minlength=len(ids))
-    c = np.bincount(col, minlength=len(ids))
+    # Row by row: entries of all features at once would take several times the sample's memory.
+    ids = np.unique(np.concatenate(rows))
+    c, c1 = np.zeros(len(ids)), np.zeros(len(ids))
+    for x, label in zip(rows, labels, strict=True):
+        found = np.searchsorted(ids, x)
+        c[found] += 1
+        c1[found] += label
     share = c / len(rows)
     z = (c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
     z[c < 3] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
     keep = np.sort(best[np.abs(z[best]) >= LEAST_Z])
-    new = np.full(len(ids), -1)
-    new[keep] = np.arange(len(keep))
-    ok = new[col] >= 0
-    r, k = at[ok], new[col[ok]]
     chosen = ids[keep]
 
+    def places(side: np.ndarray) -> np.ndarray:
+        """Where the chosen features of ``side`` stand among all chosen ones."""
+        x = np.searchsorted(chosen, side)
+        x[x == len(chosen)] = 0
+        return x[chosen[x] == side] if len(chosen) else x[:0]
+
+    k = [places(x) for x in rows]
+    r = np.repeat(np.arange(len(rows)), [len(x) for x in k])
+    k = np.concatenate(k)
+
     # Differences of the swapped pairs, as entries (pair, feature, +1 or -1).
     pr, pk, ps = [], [], []
     for i, (a, b) in enumerate(pairs):
         for side, sign in ((a, 1.0), (b, -1.0)):
-            x = np.searchsorted(chosen, side)
-            x[x == len(chosen)] = 0
-            x = x[chosen[x] == side] if len(chosen) else x[:0]
+            x = places(side)
             pr.append(np.full(len(x), i))
             pk.append(x)
             ps.append(np.full(len(x), sign))

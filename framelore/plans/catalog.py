@@ -257,14 +257,15 @@ def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT * REPLACE (regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '^ +', '') AS text) FROM segments) AS s WHERE seg_no % 5 <> 4""", "segments")
 def review_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews in markdown, a section a segment, some of them broken, read as highlights."""
-    s = A.segments(spark, sf_dir).withColumn("text", F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), "^ +", ""))
+    # A reason is one line, so line feeds become spaces.
+    s = A.segments(spark, sf_dir).withColumn("text", F.translate("text", "\n", " "))
     clock = lambda c: F.format_string("%02d:%05.2f", F.floor(c / 60), c % 60)
     sure = F.when(F.col("seg_no") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("- confidence: "), (F.col("seg_no") * 0.125).cast("string"), F.lit("\n")))
     start = F.when(F.col("seg_no") % 5 == 4, F.lit("soon")).otherwise(clock(F.col("start_sec")))
-    section = F.concat(F.format_string("## highlight_%02d\n", "seg_no"), F.lit("- start: "), start, F.lit("\n* end: "), clock(F.col("start_sec") + 60), F.lit("\n- reason: "), F.substring("text", 1, 20), F.lit(".\n"), sure)
+    section = F.concat(F.format_string("## highlight_%02d\n", "seg_no"), F.lit("- start: "), start, F.lit("\n* end: "), clock(F.col("start_sec") + 60), F.lit("\n- reason: "), F.col("text"), F.lit(".\n"), sure)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", section.alias("x")))), lambda x: x["x"]), "\n")
     read = subtitles.parse_review(s.groupBy("media_id").agg(body.alias("body")))
-    return read.select("media_id", F.col("index").cast("long").alias("place"), F.col("index").cast("long").alias("number"), "start_sec", "end_sec", "confidence", F.regexp_replace("reason", r"\.$", "").alias("reason"))
+    return read.select("media_id", F.col("index").cast("long").alias("place"), F.col("index").cast("long").alias("number"), "start_sec", "end_sec", "confidence", F.regexp_replace("reason", r"\.\z", "").alias("reason"))
 
 
 @query("""+x AS (SELECT media_id, seg_no, start_sec AS s, end_sec AS e, max(end_sec) OVER (PARTITION BY media_id) AS d FROM segments),

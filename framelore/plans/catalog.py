@@ -121,8 +121,7 @@ SELECT s.media_id, s.second, round(coalesce(max(level) OVER (PARTITION BY s.medi
 def forced_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.series(spark, sf_dir)
     forced = s.where("level % 5 = 0").select("media_id", F.expr("case when second % 11 = 0 then second div 2 else second + 40 end").alias("second"), F.col("second").alias("ord"))
-    valid = forced.where("second < 84").withColumn("rn", F.row_number().over(W.partitionBy("media_id").orderBy("ord"))).where("rn <= 12").drop("rn")
-    return _round(series.boost(s, valid, "level").select("media_id", "second", "boosted"), "boosted")
+    return _round(series.boost(s, forced, "level").select("media_id", "second", "boosted"), "boosted")
 
 
 @query(f"""+n AS (SELECT media_id, second, {NORM} AS norm FROM series WINDOW m AS (PARTITION BY media_id))
@@ -217,7 +216,7 @@ CLIPS = "clips AS (SELECT media_id, seg_no AS clip_no, start_sec - 2 AS cs, star
 
 
 def _clips(s: DataFrame) -> DataFrame:
-    return s.where("seg_no % 3 = 0").select("media_id", F.col("seg_no").alias("clip_no"), (F.col("start_sec") - 2).alias("start_sec"), (F.col("start_sec") + 5).alias("end_sec"))
+    return s.select("media_id", F.col("seg_no").alias("clip_no"), (F.col("start_sec") - 2).alias("start_sec"), (F.col("start_sec") + 5).alias("end_sec"))
 
 
 @query(f"""+{CLIPS}
@@ -233,7 +232,7 @@ SELECT c.media_id, center_sec, substr(string_agg(text, ' / ' ORDER BY s.seg_no),
 ON s.media_id = c.media_id AND abs(s.start_sec - center_sec) <= 6 GROUP BY c.media_id, center_sec""", "segments")
 def nearby_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.segments(spark, sf_dir)
-    points = s.where("seg_no % 3 = 0").select("media_id", F.col("start_sec").alias("center_sec"))
+    points = s.select("media_id", F.col("start_sec").alias("center_sec"))
     return joins.nearby_text(points, s, 6.0)
 
 
@@ -322,8 +321,12 @@ c AS (SELECT v.vec_id, greatest(-1, least(1, list_sum(list_transform(range(1, le
 r AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS rn FROM c)
 SELECT vec_id, round(greatest(0, least(1, (0.7 * max(x) + 0.3 * avg(CASE WHEN rn <= 3 THEN x END) + 1) / 2)), 4) AS score FROM r GROUP BY vec_id""".replace("+b AS", "WITH b AS"))
 def vector_top3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return vectors.prototype_scores(e, e.where("vec_id < 8"), ["vec_id"]).withColumn("score", F.round("score", 4))
+    """Every vector against the means of all labels."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "mean")))
+    means = vectors.mean_vector(e, ["label"]).groupBy("label").agg(F.transform(ordered, lambda x: x["mean"]).alias("mean"))
+    own = e.select("vec_id", vectors.unit(F.col("embedding")).alias("embedding"))
+    return vectors.prototype_scores(own, means.select(vectors.unit(F.col("mean")).alias("embedding")), ["vec_id"]).withColumn("score", F.round("score", 4))
 
 
 @query("SELECT CAST(label AS BIGINT) AS label, CAST(i - 1 AS BIGINT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) AS x GROUP BY label, i")
@@ -383,7 +386,7 @@ SELECT media_id, center,
   CASE WHEN e - s < 6 THEN least(83, greatest(0, s - (6 - (e - s)) // 2) + 6) WHEN e - s > 20 THEN least(83, greatest(0, center - 10) + 20) ELSE e END AS "end" FROM b""", "series")
 def clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.series(spark, sf_dir)
-    return _long(selection.clip_bounds(s, s.where("second % 20 = 7"), "level", 6, 20), "start", "end")
+    return _long(selection.clip_bounds(s, s, "level", 6, 20), "start", "end")
 
 
 @query()

@@ -3,10 +3,12 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from framelore.operators import voice
 from framelore.plans import catalog
+from framelore.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,75 @@ def test_edit_distance_in_and_beyond_the_band(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     for bands in ((), (0, 2), (64, 1024)):
         assert [r[0] for r in df.select(voice.edit_distance("a", "b", bands)).collect()] == [levenshtein(a, b) for a, b in pairs]
+
+
+@pytest.fixture(scope="module")
+def levels(spark):
+    media = defaultdict(list)
+    for r in adapters.series(spark, SF).orderBy("media_id", "second").collect():
+        media[r.media_id].append(r.level)
+    return media
+
+
+def test_every_forced_second_is_boosted(spark, levels):
+    got = {(r.media_id, r.second): r.boosted for r in catalog.QUERIES["forced_boost"](spark, SF).collect()}
+    for m, series in levels.items():
+        values = list(series)
+        for second, level in enumerate(series):
+            at = second // 2 if second % 11 == 0 else second + 40
+            if level % 5 == 0 and at < len(values):
+                values[at] = 1.5 * max(values)
+        assert [got[m, s] for s in range(len(values))] == pytest.approx(values, rel=1e-9, abs=1e-6)
+
+
+def test_every_second_is_a_clip_center(spark, levels):
+    got = {(r.media_id, r.center): (r.start, r.end) for r in catalog.QUERIES["clip_bounds"](spark, SF).collect()}
+    assert len(got) == sum(map(len, levels.values()))
+    lows = {m: np.array(x) < np.percentile(x, 60) for m, x in levels.items()}
+    for (m, c), bounds in got.items():
+        low = lows[m]
+        ends = []
+        for step, stop in ((-1, max(0, c - 20)), (1, min(83, c + 20))):
+            end = c
+            for t in range(c, stop, step):
+                if t != c and low[t] and low[t - step]:
+                    break
+                end = end if low[t] else t
+            ends.append(end)
+        s, e = ends
+        if e - s < 6:
+            s = max(0, s - (6 - (e - s)) // 2)
+            e = min(83, s + 6)
+        elif e - s > 20:
+            s = max(0, c - 10)
+            e = min(83, s + 20)
+        assert bounds == (s, e)
+
+
+def test_every_segment_is_a_clip_and_a_point(spark):
+    media = defaultdict(list)
+    for r in adapters.segments(spark, SF).orderBy("media_id", "seg_no").collect():
+        media[r.media_id].append(r)
+    clips, points = set(), set()
+    for m, rows in media.items():
+        for c in rows:
+            inside = [s for s in rows if s.end_sec >= c.start_sec - 2 and s.start_sec <= c.start_sec + 5]
+            clips |= {(m, c.seg_no, i, max(0, s.start_sec - c.start_sec + 2), max(0, s.end_sec - c.start_sec + 2), s.text) for i, s in enumerate(inside, 1)}
+            points.add((m, c.start_sec, " / ".join(s.text.strip() for s in rows if abs(s.start_sec - c.start_sec) <= 6 and s.text.strip())[:300] or "(no dialogue)"))
+    got = catalog.QUERIES["clip_segments"](spark, SF).collect()
+    assert len(got) == len(clips) and {(r.media_id, r.clip_no, r.number, r.start_sec, r.end_sec, r.text) for r in got} == clips
+    assert {tuple(r) for r in catalog.QUERIES["nearby_text"](spark, SF).collect()} == points
+
+
+def test_vectors_are_scored_against_every_label(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    unit = lambda v: v / np.linalg.norm(v)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.label].append(np.array(r.embedding, float))
+    bank = np.array([unit(np.mean(v, axis=0)) for v in groups.values()])
+    got = {r.vec_id: r.score for r in catalog.QUERIES["vector_top3_score"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        best = np.sort(bank @ unit(np.array(r.embedding, float)))[::-1][:3]
+        assert got[r.vec_id] == pytest.approx((0.7 * best[0] + 0.3 * best.mean() + 1) / 2, abs=1e-4)

@@ -34,14 +34,16 @@ def subtitle_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled frames of one user's events each, every 2 s, some missing."""
+    """Labelled frames of one user's events each, every 2 s, with a pause of 4 s more after some."""
     e = _read(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
-    e = e.withColumn("ord", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    pauses = F.coalesce(F.count_if(F.col("event_id") % 11 == 0).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    e = e.withColumns({"ord": F.row_number().over(w), "pauses": pauses})
     faces = F.array(*[F.lit(x) for x in ("neutral", "happy", "angry", "surprised", "unclear")])
-    return e.where("event_id % 11 <> 0").select(
+    return e.select(
         F.col("user_id").alias("media_id"),
         "event_id",
-        ((F.col("ord") - 1) * 2.0).alias("timestamp"),
+        ((F.col("ord") - 1) * 2.0 + F.col("pauses") * 4.0).alias("timestamp"),
         F.col("event_type").alias("scene_type"),
         F.least(F.lit(5), F.floor(F.col("value") / 82)).cast("int").alias("intensity"),
         (F.col("k") % 6).alias("danger_level"),

@@ -134,3 +134,22 @@ def test_vectors_are_scored_against_every_label(spark):
     for r in rows:
         best = np.sort(bank @ unit(np.array(r.embedding, float)))[::-1][:3]
         assert got[r.vec_id] == pytest.approx((0.7 * best[0] + 0.3 * best.mean() + 1) / 2, abs=1e-4)
+
+
+def test_no_event_is_left_out(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").collect()
+    ids = {r.event_id for r in events}
+    for name in ("locf_propagate", "smooth_labels"):
+        assert {r.event_id for r in catalog.QUERIES[name](spark, SF).collect()} == ids
+    frames = defaultdict(list)
+    for r in adapters.frames(spark, SF).collect():
+        frames[r.media_id].append((r.timestamp, r.event_id, r.selected))
+    steps = {b[0] - a[0] for rows in frames.values() for a, b in zip(sorted(rows), sorted(rows)[1:], strict=False)}
+    assert steps == {2.0, 6.0}
+    order = defaultdict(list)
+    for r in sorted(events, key=lambda r: (r.ts, r.event_id)):
+        order[r.user_id].append(r.event_id)
+    assert {m: [e for _, e, _ in sorted(rows)] for m, rows in frames.items()} == order
+    assert sum(r.frame_count for r in catalog.QUERIES["scene_segments"](spark, SF).collect()) == len(ids)
+    assert catalog.QUERIES["frame_gate"](spark, SF).count() == len(ids)
+    assert {r.event_id for r in catalog.QUERIES["pending_frames"](spark, SF).collect()} == {e for rows in frames.values() for _, e, s in rows if s and e % 4}

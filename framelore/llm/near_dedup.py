@@ -35,7 +35,7 @@ from .components import components
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 COORDINATES = 64
-MATCHES = 31
+MATCHES = 29
 STAR_MEETINGS = 4
 BLOCK = 2048
 

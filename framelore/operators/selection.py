@@ -98,7 +98,10 @@ def ranked_clips(windows: DataFrame, longest: float, threshold: float | None = N
         clips.sort(key=(lambda c: -c["score"]) if target is None else (lambda c: c["start"]))
         return pd.DataFrame([(pdf["media_id"].iloc[0], i + 1, c["start"], c["end"], c["center"], c["score"]) for i, c in enumerate(clips)], columns=["media_id", "clip_no", "start_sec", "end_sec", "center_sec", "score"])
 
-    return windows.groupBy("media_id").applyInPandas(pick, "media_id long, clip_no int, start_sec double, end_sec double, center_sec double, score double")
+    needed = windows.select("media_id", "win_no", "start_sec", "end_sec", "center_sec", "score")
+    if threshold is not None:
+        needed = needed.where((F.col("score") >= threshold) & ~F.isnan("score"))
+    return needed.groupBy("media_id").applyInPandas(pick, "media_id long, clip_no int, start_sec double, end_sec double, center_sec double, score double")
 
 
 def match_pairs(candidates: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The driver's queries read whole texts and tables; compared with plain Python on the smallest table."""
 
 import re
+import tempfile
 from collections import defaultdict
 
 import numpy as np
@@ -153,3 +154,17 @@ def test_no_event_is_left_out(spark):
     assert sum(r.frame_count for r in catalog.QUERIES["scene_segments"](spark, SF).collect()) == len(ids)
     assert catalog.QUERIES["frame_gate"](spark, SF).count() == len(ids)
     assert {r.event_id for r in catalog.QUERIES["pending_frames"](spark, SF).collect()} == {e for rows in frames.values() for _, e, s in rows if s and e % 4}
+
+
+def test_media_of_windows_are_bounded(spark):
+    rows = spark.range(2000).selectExpr("id AS vec_id", "CAST(id % 10 AS INT) AS label", "array(1f) AS embedding")
+    path = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    rows.write.parquet(f"{path}/embeddings.parquet")
+    windows = adapters.windows(spark, path)
+    sizes = windows.groupBy("media_id").count().collect()
+    assert len(sizes) == 10 and {r["count"] for r in sizes} == {200}
+    bounds = windows.groupBy("media_id").agg({"start_sec": "max"}).collect()
+    assert {r[1] for r in bounds} == {99.5}
+    clips = catalog.QUERIES["ranked_clips"](spark, path)
+    assert clips.where("score < 0.8").count() == 0 and clips.select("media_id").distinct().count() == 10
+    assert catalog.QUERIES["span_merge"](spark, path).select("media_id").distinct().count() == 10

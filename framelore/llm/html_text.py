@@ -108,15 +108,17 @@ def count_labels(page: str) -> Iterator[tuple[str, int, int]]:
     outside: Counter[str] = Counter()
     labelled = False
     for kind, holder, link, main, never, text in tokens(page):
-        labelled |= main
+        labelled |= main and not never
+        if never:
+            continue
         key, n = ("tag " + holder, 1) if kind == "tag" else (f"word {holder}{' link' if link else ''}", len(text.split()))
-        (inside if main and not never else outside)[key] += n
+        (inside if main else outside)[key] += n
     if labelled:
         yield from ((k, inside[k], outside[k]) for k in inside | outside)
 
 
 def weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Log odds by key, between -MOST and MOST; a tag's lie below zero. The weight of main is what its words gain."""
+    """Log odds by key, between -MOST and MOST; a tag's lie below zero."""
     out = {}
     all_in = sum(i for k, i, _ in counts if k.startswith("tag ")) + 1
     all_out = sum(o for k, _, o in counts if k.startswith("tag ")) + 1
@@ -134,10 +136,9 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     if not page:
         return ""
     found = list(tokens(page))
-    has_main = any(main and not never for _, _, _, main, never, _ in found)
     best, begin, end = 0.0, 0, 0
     run, start = 0.0, 0
-    for i, (kind, holder, link, main, never, text) in enumerate(found):
+    for i, (kind, holder, link, _, never, text) in enumerate(found):
         if never or kind == "space":
             continue
         if kind == "tag":
@@ -145,7 +146,7 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
         else:
             n = len(text.split())
             if n:
-                run += n * (weight.get(f"word {holder}{' link' if link else ''}", -0.5 if link else 0.5) + (has_main and (2 * MOST if main else -2 * MOST)))
+                run += n * weight.get(f"word {holder}{' link' if link else ''}", -0.5 if link else 0.5)
         if run > best:
             best, begin, end = run, start, i + 1
         elif run <= 0:
@@ -164,7 +165,8 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
 
 def learn(pages: DataFrame, fit_pages: int = FIT_PAGES) -> dict[str, float]:
     """Weights from at most ``fit_pages`` pages, drawn by a hash of page_id, whose markup names the article."""
-    ids = pages.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
+    named = F.col("html").rlike(r"(?i)<(article|main)\b")
+    ids = pages.where(named & F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
     drawn = pages.select("page_id", "html").join(F.broadcast(ids.distinct()), "page_id")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -1,4 +1,4 @@
-"""Shared helpers: reading inputs, cutting lineage, Arrow batches of bounded size."""
+"""Shared helpers: reading inputs, cutting lineage, Arrow batches of rows."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a new local one, but only if Spark runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="framelore-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -30,22 +33,37 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote. Only for tables that nothing still to be run reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def wrapped(df: DataFrame, **columns) -> DataFrame:
+    """``df`` as one struct column ``row``, with further columns beside it that no column of ``df`` can clash with."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
     """Arrow-batched map over the tuples of ``columns``; ``fn`` sees each task's rows as one stream.
 
-    Input batches hold BATCH_ROWS rows, output batches the same, so memory follows the longest rows, not the partition.
+    Spark bounds an input batch by ``spark.sql.execution.arrow.maxBytesPerBatch``, output batches hold BATCH_ROWS rows, so
+    memory follows the longest rows, not the partition.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    arrow = _arrow_schema(spark, schema)
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+                for at in range(0, batch.num_rows, BATCH_ROWS):
+                    yield from zip(*(column.to_pylist() for column in batch.slice(at, BATCH_ROWS).columns), strict=True)
 
         out: list[tuple] = []
         for row in fn(rows()):
@@ -63,7 +81,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def _arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -7,29 +7,31 @@ Two documents are linked when the Jaccard similarity of their distinct five-word
 2. Each class is posted under every (coordinate, value) of its signature. Postings of one class fall away. What is left is
    ordered from rare to frequent, and a class keeps only its prefix: two signatures that agree in MATCHES of COORDINATES
    places share a value in both prefixes.
-3. In each posting list every class is first paired with the list's smallest class (a star, never all pairs). Confirmed
-   links give components, and a list that lies within one component is skipped. The others are compared across
-   components, in blocks, where only pairs agreeing in MATCHES coordinates come out. Texts that have too few shingles in
-   common with all the others together are left out first.
-4. Every link is confirmed on the full sets. Components of the confirmed links give the classes' smallest doc_id.
-
-A pair of similarity 0.75 agrees in fewer than MATCHES coordinates with probability below 1e-6.
-Rows that share a doc_id and have equal sets are one document. A null doc_id takes part in nothing.
+3. In each posting list every class is first compared with the list's hub alone (a star, never all pairs). Links give
+   components, and a list that lies within one component is skipped. Texts that have too few shingles in common with all
+   the others together are left out.
+4. The other lists are compared across components, in blocks, inside a task: one pass counts agreeing coordinates and keeps
+   the members that have a partner at all, the next takes these members' full sets along, confirms each pair of enough
+   agreeing coordinates on them, and joins components as it goes. A task returns the links that join two components, fewer
+   than it has members, so no step's output grows with the square of a group of near copies.
+5. Components of the links give each class the smallest doc_id.
+
+A pair of similarity 0.75 agrees in fewer than MATCHES coordinates with a probability of 1.0e-7.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, table
+from .common import discard, map_rows, materialise, table, wrapped
 from .components import components
 
 WORDS = 5
@@ -37,7 +39,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 COORDINATES = 64
 MATCHES = 29
 STAR_MEETINGS = 4
-BLOCK = 2048
+BLOCK_ROWS = 2048
+BLOCK_BYTES = 4 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.default_rng(7).integers(1, 2**63, size=(2, COORDINATES), dtype=np.uint64)
@@ -62,6 +65,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def digest(hashes: np.ndarray) -> bytes | None:
+    """A name of a shingle set; None for the empty one."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """COORDINATES minima of multiply-shift hashes, as int32."""
     low = np.full(COORDINATES, 2**31 - 1, np.int64)
@@ -71,176 +79,268 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low.astype(np.int32)
 
 
+def enough(both, a, b):
+    """Whether sets of ``a`` and ``b`` shingles with ``both`` in common are similar: 4 |a and b| >= 3 |a or b|."""
+    return DENOMINATOR * both >= NUMERATOR * (a + b - both)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 4 |a and b| >= 3 |a or b|, for sorted distinct arrays."""
-    if not len(a) or not len(b) or DENOMINATOR * min(len(a), len(b)) < NUMERATOR * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+    """The same of two sorted distinct arrays; empty ones are similar to nothing."""
+    return bool(len(a) and len(b) and enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
+
+
+def _sizes_allow(a: str, b: str) -> str:
+    return f"{DENOMINATOR} * least({a}, {b}) >= {NUMERATOR} * greatest({a}, {b})"
 
 
-def _describe(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for doc_id, text in rows:
+def _described(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for doc_id, text_key, text in rows:
         found = shingles(text)
-        if len(found):
-            yield doc_id, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found).tobytes()
-        else:
-            yield doc_id, 0, None, None
+        yield doc_id, text_key, len(found), digest(found), signature(found) if len(found) else None
+
+
+def _sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The shingle sets of the texts that have their class's set; another text of the same doc_id may have another set."""
+    for node, set_key, n, sig, text in rows:
+        found = shingles(text)
+        if digest(found) == set_key:
+            yield node, n, sig, found.tobytes()
+
+
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column of 64-bit numbers, one after another, and each row's first place, the end last."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])) if len(column) and column.buffers()[2] else np.empty(0, np.uint8)
+    return values.view(np.uint64), (offsets - offsets[0]) // 8
 
 
-def _confirm(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Keep the pairs whose full sets are similar. A few recent sets are kept, as a star's centre comes up again and again."""
-    recent: OrderedDict[int, np.ndarray] = OrderedDict()
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Signatures, a row each."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
 
-    def whole(node: int, text: str) -> np.ndarray:
-        if node not in recent:
-            recent[node] = shingles(text)
-            if len(recent) > 64:
-                recent.popitem(last=False)
-        return recent[node]
 
-    for a, b, text_a, text_b in rows:
-        if similar(whole(a, text_a), whole(b, text_b)):
-            yield a, b
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that agree in MATCHES coordinates and are similar on their full sets."""
+    for batch in batches:
+        a, b, sig_a, sig_b, set_a, set_b = batch.columns
+        agree = (_matrix(sig_a) == _matrix(sig_b)).sum(axis=1) >= MATCHES
+        (x, at), (y, bt) = _ragged(set_a), _ragged(set_b)
+        keep = np.zeros(batch.num_rows, bool)
+        for i in np.flatnonzero(agree):
+            keep[i] = similar(x[at[i] : at[i + 1]], y[bt[i] : bt[i + 1]])
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs``: a, b. Each side's text is fetched by a shuffle join; the join by ``b``, the hub, comes first, on narrow rows."""
-    side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    joined = pairs.join(side_b, "b").join(side_a, "a")
-    return materialise(map_rows(joined, ["a", "b", "text_a", "text_b"], "a long, b long", _confirm).distinct())
+class Block:
+    """Members of a posting list: node, comp, n, mask of their prefix's coordinates, alone, sig, and in the second pass set."""
 
+    def __init__(self, members: pa.StructArray) -> None:
+        field = lambda name: members.field(name)
+        self.node, self.comp, self.n, self.mask, self.alone = (field(c).to_numpy(zero_copy_only=False).copy() for c in ("node", "comp", "n", "mask", "alone"))
+        self.sig = _matrix(field("sig"))
+        if members.type.get_field_index("set") >= 0:
+            self.shingles, self.start = _ragged(field("set"))
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in MATCHES coordinates and whose sizes allow the similarity."""
-    a = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    b = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    sized = pairs.join(b, "b").join(a, "a").where(F.expr(f"{DENOMINATOR} * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)"))
+    def common(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of the sorted shingles ``found`` each of the members ``at`` has."""
+        sizes = self.start[at + 1] - self.start[at]
+        first = np.cumsum(sizes) - sizes
+        x = self.shingles[np.repeat(self.start[at] - first, sizes) + np.arange(sizes.sum())]
+        place = np.searchsorted(found, x)
+        place[place == len(found)] = 0
+        return np.add.reduceat(found[place] == x, first)
 
-    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for x, y, sig_x, sig_y in rows:
-            if int((np.frombuffer(sig_x, np.int32) == np.frombuffer(sig_y, np.int32)).sum()) >= MATCHES:
-                yield x, y
 
-    return map_rows(sized, ["a", "b", "sig_a", "sig_b"], "a long, b long", count)
+_BITS = np.int64(1) << np.arange(COORDINATES, dtype=np.int64)
 
 
-def _across(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """One pair of blocks of a posting list a row: pairs of different components that agree in MATCHES coordinates.
+def _partners(a: Block, i: int, b: Block, after: int, token: int) -> np.ndarray:
+    """The members of ``b`` from ``after`` on that may be similar to a's i-th and have another component.
 
-    A pair comes out of one list only, that of the first coordinate in which both prefixes agree.
+    A pair belongs to one list only, that of the first coordinate in which both prefixes agree.
     """
-    bits = np.int64(1) << np.arange(COORDINATES, dtype=np.int64)
-    for token, left, right, same in rows:
-        a, b = ({k: [x[k] for x in side] for k in ("node", "comp", "n", "mask", "alone", "sig")} for side in (left, right))
-        earlier = np.int64((1 << (token >> 32)) - 1)
-        mask_b, alone_b = np.array(b["mask"], np.int64), np.array(b["alone"])
-        sig_b = np.frombuffer(b"".join(b["sig"]), np.int32).reshape(-1, COORDINATES)
-        comp_b, n_b = np.array(b["comp"]), np.array(b["n"])
-        for i, node in enumerate(a["node"]):
-            ok = (comp_b != a["comp"][i]) & (DENOMINATOR * np.minimum(n_b, a["n"][i]) >= NUMERATOR * np.maximum(n_b, a["n"][i]))
-            # Shingles that only one of the two can have bound their similarity from above.
-            both = np.minimum(n_b - alone_b, a["n"][i] - a["alone"][i])
-            ok &= (DENOMINATOR - NUMERATOR) * both >= NUMERATOR * (alone_b + a["alone"][i])
-            if same:
-                ok[: i + 1] = False
-            at = np.flatnonzero(ok)
-            if len(at):
-                equal = sig_b[at] == np.frombuffer(a["sig"][i], np.int32)
-                enough = equal.sum(axis=1) >= MATCHES
-                at, equal = at[enough], equal[enough]
-                met = (equal * bits).sum(axis=1) & mask_b[at] & a["mask"][i]
-                for j in at[met & earlier == 0]:
-                    x, y = node, b["node"][j]
-                    yield max(x, y), min(x, y)
-
-
-def _linkable(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The nodes that can have a link among ``nodes``, and how many of their shingles no other has (alone).
-
-    A text of which less than 3/4 of the shingles occur in another cannot have one.
-
-    Texts that share a frequent passage, and little else, fall away here before they are compared with each other.
+    n, alone = a.n[i], a.alone[i]
+    ok = (b.comp[after:] != a.comp[i]) & (DENOMINATOR * np.minimum(b.n[after:], n) >= NUMERATOR * np.maximum(b.n[after:], n))
+    # Shingles that only one of the two can have bound their similarity from above.
+    both = np.minimum(b.n[after:] - b.alone[after:], n - alone)
+    ok &= (DENOMINATOR - NUMERATOR) * both >= NUMERATOR * (b.alone[after:] + alone)
+    at = np.flatnonzero(ok) + after
+    if not len(at):
+        return at
+    equal = b.sig[at] == a.sig[i]
+    agree = equal.sum(axis=1) >= MATCHES
+    at = at[agree]
+    met = (equal[agree] * _BITS).sum(axis=1) & b.mask[at] & a.mask[i]
+    return at[met & np.int64((1 << (token >> 32)) - 1) == 0]
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, Block, bool]]:
+    for batch in batches:
+        tokens, left, right, same = batch.columns
+        for k in range(batch.num_rows):
+            is_same = same[k].as_py()
+            b = Block(right[k].values)
+            yield tokens[k].as_py(), b if is_same else Block(left[k].values), b, is_same
+
+
+HOPEFUL = ["token", "node", "comp", "mask", "alone"]
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, the members that have a partner."""
+    for token, a, b, same in _block_pairs(batches):
+        in_a, in_b = np.zeros(len(a.node), bool), np.zeros(len(b.node), bool)
+        for i in range(len(a.node)):
+            at = _partners(a, i, b, i + 1 if same else 0, token)
+            in_b[at] = True
+            in_a[i] |= len(at) > 0
+        for block, found in ((a, in_a | in_b), (a, in_a[:0])) if same else ((a, in_a), (b, in_b)):
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.sum(), token))] + [pa.array(x[found]) for x in (block.node, block.comp, block.mask, block.alone)], names=HOPEFUL)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, links between similar members that join two components; links within one are left out."""
+    for token, a, b, same in _block_pairs(batches):
+        links: list[tuple[int, int]] = []
+        for i in range(len(a.node)):
+            at = _partners(a, i, b, i + 1 if same else 0, token)
+            if not len(at):
+                continue
+            own = a.shingles[a.start[i] : a.start[i + 1]]
+            at = at[enough(b.common(own, at), len(own), b.n[at])]
+            for old in np.unique(b.comp[at]):
+                links.append((a.node[i], b.node[at[b.comp[at] == old][0]]))
+                b.comp[b.comp == old] = a.comp[i]
+                a.comp[a.comp == old] = a.comp[i]
+        if links:
+            x, y = (np.array(side, np.int64) for side in zip(*links, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def _paired_blocks(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of blocks of each posting list that has several components: token, members, others, same.
+
+    ``members``: token, comp, bytes and ``columns``. Members of a list's largest component lie in blocks of their own, and
+    those are never paired with each other, so a list that is nearly one component gives few pairs however long it is.
     """
+    each = members.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("bytes").alias("w"))
+    most = F.max(F.struct("c", "w", "comp"))
+    per = each.groupBy("token").agg(most.alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    blocks_of = lambda c, w: F.ceil(F.greatest(c / BLOCK_ROWS, w / BLOCK_BYTES))
+    per = per.select("token", F.col("main.comp").alias("main"), blocks_of(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).cast("int").alias("q"), blocks_of(F.col("main.c"), F.col("main.w")).cast("int").alias("p"))
+    mixed = members.join(per, "token")
+    place = F.xxhash64("node")
+    dealt = mixed.withColumn("block", F.when(F.col("comp") == F.col("main"), F.col("q") + F.pmod(place, "p")).otherwise(F.pmod(place, "q")).cast("int"))
+    blocks = dealt.groupBy("token", "block").agg(F.first("q").alias("q"), F.first("p").alias("p"), F.collect_list(F.struct(*columns)).alias("members"))
+    left = blocks.where("block < q").select("token", F.col("block").alias("i"), "members", F.explode(F.sequence("block", F.col("q") + F.col("p") - 1)).alias("j"))
+    right = blocks.select("token", F.col("block").alias("j"), F.col("members").alias("others"))
+    return left.join(right, ["token", "j"]).select("token", "members", "others", F.expr("i = j").alias("same"))
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for node, text in rows:
-            for x in shingles(text).view(np.int64).tolist():
-                yield node, x
 
-    theirs = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    spread = map_rows(theirs, ["doc_id", "text"], "node long, shingle long", run)
-    lonely = spread.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
-    return nodes.join(lonely, "node", "left").where(f"{DENOMINATOR} * (n - coalesce(alone, 0)) >= {NUMERATOR} * n").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+def _alone(sets: DataFrame) -> DataFrame:
+    """node, n, sig, alone of the nodes that can have a link among ``sets`` (node, n, sig, set); alone: shingles no other has.
 
+    A text of which less than 3/4 of the shingles occur in another cannot have one. Texts that share a frequent passage, and
+    little else, fall away here before they are compared with each other.
+    """
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per row (doc_id, n, set_key), classes (set_key, node, n, sig), and components of the classes (node, component)."""
-    spark = docs.sparkSession
-    rows = materialise(map_rows(docs, ["doc_id", "text"], "doc_id long, n long, set_key binary, sig binary", _describe))
-    classes = materialise(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
-
-    coordinate = F.explode(F.sequence(F.lit(0), F.lit(COORDINATES - 1)))
-    value = F.conv(F.substring(F.hex("sig"), F.col("i") * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    tokens = classes.select("node", "sig", coordinate.alias("i")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + value).alias("token"))
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, start = _ragged(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(start))), pa.array(values.view(np.int64))], names=["node", "shingle"])
+
+    each = sets.select("node", "set").mapInArrow(spread, "node long, shingle long")
+    lonely = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
+    known = sets.select("node", "n", "sig").join(lonely, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+    return known.where(f"{DENOMINATOR} * (n - alone) >= {NUMERATOR} * n")
+
+
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """node, token, found, mask: the rarest shared postings of each class, as many as a link needs; found: shared ones in all."""
+    tokens = classes.select("node", F.posexplode("sig").alias("i", "value")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("value")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posted = tokens.join(shared, "token")
     own = W.partitionBy("node")
-    ranked = posted.withColumn("at", F.row_number().over(own.orderBy("df", "token"))).withColumn("found", F.count("*").over(own))
-    prefix = materialise(ranked.where(f"at + ({COORDINATES} - found) <= {COORDINATES - MATCHES + 1}").select("node", "token", "found", F.expr("bit_or(shiftleft(1L, cast(shiftright(token, 32) as int)))").over(own).alias("mask")))
+    ranked = tokens.join(shared, "token").withColumns({"at": F.row_number().over(own.orderBy("df", "token")), "found": F.count("*").over(own)})
+    kept = ranked.where(f"at + ({COORDINATES} - found) <= {COORDINATES - MATCHES + 1}")
+    return kept.select("node", "token", "found", F.expr("bit_or(shiftleft(1L, cast(shiftright(token, 32) as int)))").over(own).alias("mask"))
 
-    # A list's centre is the class of most copies, then the one that has most in common with others: in a group of edited
+
+def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n, set_key, sig), classes of equal sets (set_key, node, first doc_id) and components of linked
+    classes (node, component)."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = materialise(map_rows(keyed, ["doc_id", "text_key", "text"], "doc_id long, text_key long, n long, set_key binary, sig array<int>", _described))
+    grouped = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    classes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()))
+    prefix = materialise(_prefixes(classes))
+
+    posted = prefix.select("node").distinct()
+    wanted = classes.join(posted, "node", "left_semi").select("node", F.col("first").alias("doc_id"), "set_key", "n", "sig")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    found = map_rows(texts, ["node", "set_key", "n", "sig", "text"], "node long, n long, sig array<int>, set binary", _sets)
+    sets = materialise(found.dropDuplicates(["node"]))
+
+    # A list's hub is the class of most copies, then the one that has most in common with others: in a group of edited
     # copies that is the original, or the least edited, which links with more of them than any other.
     central = prefix.join(classes.select("node", "copies"), "node").withColumn("rank", F.struct("copies", "found", (-F.col("node")).alias("first")))
     hubs = central.groupBy("token").agg((-F.max("rank")["first"]).alias("hub"))
     stars = prefix.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    # Classes that meet a centre in few lists alone are left to the step below, which misses none.
+    # Classes that meet a hub in few lists alone are left to the step below, which misses none.
     stars = stars.groupBy("a", "b").count().where(F.col("count") >= STAR_MEETINGS).select("a", "b")
-    tried = materialise(_agreeing(stars, classes))
-    texts = docs.select("doc_id", "text")
-    first = _confirmed(tried, texts)
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("set").alias(f"set_{x}"))
+    arms = stars.join(side("b"), "b").join(side("a"), "a").where(_sizes_allow("n_a", "n_b"))
+    first = arms.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_starred, "a long, b long")
     labels = materialise(components(first))
 
     named = prefix.join(labels, "node", "left").select("token", "node", "mask", F.coalesce("component", "node").alias("comp"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
+    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     between = materialise(named.join(mixed, "token"))
-    sized = between.select("node").distinct().join(classes.select("node", "n"), "node")
-    members = between.join(materialise(_linkable(sized, texts)), "node").join(classes.select("node", "n", "sig"), "node")
-    # A list of more than BLOCK members is dealt into blocks by hash, and blocks are compared two by two.
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).groupBy("token", "block").agg(F.first(n_blocks).alias("n_blocks"), F.array_sort(F.collect_list(F.struct("n", "node", "comp", "mask", "alone", "sig"))).alias("members"))
-    left = blocks.select("token", F.col("block").alias("i"), "members", F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"))
-    right = blocks.select("token", F.col("block").alias("j"), F.col("members").alias("others"))
-    # Blocks are few rows of some hundred kilobytes, so a batch holds few of them.
-    pairs = map_rows(left.join(right, ["token", "j"]).withColumn("same", F.expr("i = j")), ["token", "members", "others", "same"], "a long, b long", _across)
-    residual = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    second = _confirmed(residual, texts)
-    if second.isEmpty():
-        return rows, classes, labels
-    return rows, classes, materialise(components(second.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    linkable = materialise(_alone(sets.join(between.select("node").distinct(), "node", "left_semi")))
+    members = between.join(linkable, "node").withColumn("bytes", F.lit(8 * COORDINATES))
+    hopeful = materialise(_paired_blocks(members, ["node", "comp", "n", "mask", "alone", "sig"]).mapInArrow(_hopeful, ", ".join(f"{c} long" for c in HOPEFUL)).distinct())
+    whole = hopeful.join(sets, "node").withColumn("bytes", 8 * F.col("n"))
+    second = materialise(_paired_blocks(whole, ["node", "comp", "n", "mask", "alone", "sig", "set"]).mapInArrow(_joining, "a long, b long"))
+    if not second.isEmpty():
+        joined = materialise(components(second.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        discard(labels)
+        labels = joined
+    discard(prefix, sets, between, linkable, hopeful, second)
+    return rows, classes, labels
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n, root (the component, null without words), component_id of every row."""
+    rows, classes, labels = link_classes(docs)
+    least = labels.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = labels.join(least, "component").select("node", "component", "component_id")
+    named = classes.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.join(named, "set_key", "left").select("doc_id", "text_key", "n", "root", own.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Null and empty texts have no shingles, link with nothing and are kept. Columns other than doc_id and text are ignored.
+    Null and empty texts have no shingles, link with nothing and are kept. Rows that share a doc_id are linked by their own
+    texts: with equal sets they are one class, with different ones two, which share a component only if linked. A null doc_id
+    takes part in nothing, has no component and is not kept. Columns other than doc_id and text are ignored.
     """
-    rows, classes, labels = link_classes(docs)
-    named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("root"))
-    out = rows.join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _rooted(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).toDF("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component, with all their columns; of rows with one doc_id one stays.
+    """One row of each component, that of the smallest doc_id (ties: of the smallest text hash), with all its columns.
 
-    Rows with a null doc_id stay, as nothing names them.
+    Rows without words are components of their own by doc_id. Of repeated rows one stays. Rows of one doc_id whose texts are
+    not linked all stay. Rows with a null doc_id stay, as nothing names them.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # The join leaves rows sorted by doc_id, so numbering them takes no further sort.
-    numbered = docs.join(kept, "doc_id").withColumn("row_of_id", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))
-    return numbered.where("row_of_id = 1").select(docs.columns).union(docs.where("doc_id is null"))
+    kept = _rooted(docs).where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
+    keyed = wrapped(docs, doc_id=F.col("doc_id"), text_key=F.xxhash64("text"))
+    # The join leaves rows sorted by the keys, so numbering them takes no further sort.
+    keys = ["doc_id", "text_key"]
+    numbered = keyed.join(kept, keys).withColumn("copy", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)))
+    return numbered.where("copy = 1").select("row.*").union(docs.where("doc_id is null"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

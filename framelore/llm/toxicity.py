@@ -2,22 +2,24 @@
 
 A text's features are its distinct lower-case words and the words' prefixes, hashed; nothing but the text is read. The model
 is fitted on at most FIT_ROWS labelled rows, drawn by a hash of doc_id; scoring covers every row. Features come in by their
-association with the label over distinct texts. The loss is the log loss plus L2, plus SWAP_WEIGHT times the squared change
-of the logit when a labelled text's identity terms are swapped for others of their family: where a group is only mentioned
-more often in toxic texts, its name must not move the score, so neutral mentions stay clean.
+association with the label over distinct texts. The loss is the log loss plus L2, plus SWAP_WEIGHT times the mean squared change
+of the logit when an identity term in a sentence of a labelled text is swapped for another of its family: where a group is only
+mentioned more often in toxic texts, its name must not move the score, so neutral mentions stay clean. Families are a parameter.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import discard, map_rows, materialise, table
 
 FIT_ROWS = 20_000
 MOST_FEATURES = 4_000
@@ -27,6 +29,7 @@ L2 = 2e-4
 SWAP_WEIGHT = 10.0
 STEPS = 250
 BITS = 24
+MOST_BYTES = 64 << 20
 
 #: Families of identity terms; a term is swapped for the others of its family.
 IDENTITY_TERMS = (
@@ -45,6 +48,7 @@ IDENTITY_TERMS = (
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def features_of_words(words: set[str]) -> set[str]:
@@ -64,13 +68,17 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def swapped(words: set[str], families: tuple = IDENTITY_TERMS) -> list[set[str]]:
-    """The text's words with each identity term replaced by another of its family, one version for every step round it."""
-    present = [(f, i) for f in families for i, term in enumerate(f) if term in words]
-    if not present:
-        return []
-    rest = words - {f[i] for f, i in present}
-    return [rest | {f[(i + step) % len(f)] for f, i in present} for step in range(1, max(len(f) for f, _ in present))]
+def swaps(text: str | None, families: tuple = IDENTITY_TERMS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each sentence, each identity term and each other term of its family: the features that go and come in a swap."""
+    families_of = {term: f for f in families for term in f}
+    for sentence in _SENTENCE.split((text or "").lower()):
+        words = set(_WORD.findall(sentence))
+        for term in words & families_of.keys():
+            before = features_of_words(words)
+            for other in families_of[term]:
+                if other != term:
+                    after = features_of_words(words - {term} | {other})
+                    yield hashed(before - after), hashed(after - before)
 
 
 class Model:
@@ -88,45 +96,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], swap_weight: float = SWAP_WEIGHT) -> Model:
-    """``rows``: hashed features of distinct labelled texts; ``pairs``: those of a text and of a swapped version."""
+def fit(chosen: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, int]], swap_weight: float = SWAP_WEIGHT) -> Model:
+    """``chosen``: sorted feature ids. ``rows``: those of each distinct labelled text. ``pairs``: chosen ids that go and come in a
+    swap, and how many sentences have it."""
     n1 = int(labels.sum())
     n0 = len(labels) - n1
     if not n1 or not n0:  # nothing to learn from: everything is as clean, or as toxic, as what was seen
         return Model(np.empty(0, np.int32), np.empty(0), 3.0 if n1 else -3.0)
-    # Row by row: entries of all features at once would take several times the sample's memory.
-    ids = np.unique(np.concatenate(rows))
-    c, c1 = np.zeros(len(ids)), np.zeros(len(ids))
-    for x, label in zip(rows, labels, strict=True):
-        found = np.searchsorted(ids, x)
-        c[found] += 1
-        c1[found] += label
-    share = c / len(rows)
-    z = (c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    z[c < 3] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
-    keep = np.sort(best[np.abs(z[best]) >= LEAST_Z])
-    chosen = ids[keep]
-
-    def places(side: np.ndarray) -> np.ndarray:
-        """Where the chosen features of ``side`` stand among all chosen ones."""
-        x = np.searchsorted(chosen, side)
-        x[x == len(chosen)] = 0
-        return x[chosen[x] == side] if len(chosen) else x[:0]
-
-    k = [places(x) for x in rows]
-    r = np.repeat(np.arange(len(rows)), [len(x) for x in k])
-    k = np.concatenate(k)
+    places = [np.searchsorted(chosen, x) for x in rows]
+    r, k = np.repeat(np.arange(len(rows)), [len(x) for x in places]), np.concatenate(places)
 
     # Differences of the swapped pairs, as entries (pair, feature, +1 or -1).
-    pr, pk, ps = [], [], []
-    for i, (a, b) in enumerate(pairs):
-        for side, sign in ((a, 1.0), (b, -1.0)):
-            x = places(side)
-            pr.append(np.full(len(x), i))
-            pk.append(x)
-            ps.append(np.full(len(x), sign))
-    pr, pk, ps = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (pr, pk, ps))
+    sides = [(i, np.searchsorted(chosen, x), sign) for i, (gone, come, _) in enumerate(pairs) for x, sign in ((gone, 1.0), (come, -1.0))]
+    pr, pk, ps = (np.concatenate(x) if sides else np.empty(0, np.int64) for x in ([np.full(len(x), i) for i, x, _ in sides], [x for _, x, _ in sides], [np.full(len(x), sign) for _, x, sign in sides]))
+    share = np.array([n for _, _, n in pairs], float)
+    share /= max(1.0, share.sum())
 
     w, bias = np.zeros(len(chosen) + 1), np.log(n1 / n0)
     m, v = np.zeros(len(w)), np.zeros(len(w))
@@ -135,8 +119,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
         g = (p - labels) / len(rows)
         grad = np.append(np.bincount(k, weights=g[r], minlength=len(chosen)) + L2 * w[:-1], g.sum())
         if len(pr):
-            change = np.bincount(pr, weights=w[pk] * ps, minlength=len(pairs))
-            grad[:-1] += 2 * swap_weight / len(pairs) * np.bincount(pk, weights=change[pr] * ps, minlength=len(chosen))
+            change = np.bincount(pr, weights=w[pk] * ps, minlength=len(pairs)) * share
+            grad[:-1] += 2 * swap_weight * np.bincount(pk, weights=change[pr] * ps, minlength=len(chosen))
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -148,22 +132,67 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, families: tuple = IDENTITY_TERMS, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on a sample of labelled rows that are not held out. Rows of one doc_id with different labels count as toxic."""
+def train(docs: DataFrame, labels: DataFrame, families: tuple = IDENTITY_TERMS, fit_rows: int = FIT_ROWS, swap_weight: float = SWAP_WEIGHT) -> Model:
+    """Fit on a sample of labelled rows that are not held out. Rows of one doc_id with different labels, and equal texts with
+    different ones, count as toxic.
+
+    Features are counted and chosen by Spark; the driver gets the chosen ids, the sample's rows as lists of those, and the
+    distinct swaps, and raises an error where these would take more than MOST_BYTES.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # at most fit_rows pairs of numbers: small enough to broadcast
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text, toxic in rows:
-            words = words_of(text)
-            versions = [hashed(features_of_words(x)).tobytes() for x in swapped(words, families)]
-            yield doc_id, toxic, hashed(features_of_words(words)).tobytes(), versions
+    def read(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for text, toxic in rows:
+            found = hashed(features_of_words(words_of(text)))
+            gone = Counter((a.tobytes(), b.tobytes()) for a, b in swaps(text, families))
+            yield toxic, found.tobytes(), [(a, b, n) for (a, b), n in gone.items()]
+
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    read_schema = "toxic int, features binary, swaps array<struct<gone: binary, come: binary, n: int>>"
+    texts = materialise(map_rows(drawn, ["text", "toxic"], read_schema, read).groupBy("features").agg(F.max("toxic").alias("toxic"), F.first("swaps").alias("swaps")))
+    n, n1 = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = _chosen(texts, n, n1) if 0 < n1 < n else np.empty(0, np.int32)
+
+    def keep(data: bytes) -> bytes:
+        found = np.frombuffer(data, np.int32)
+        return found[np.isin(found, chosen, assume_unique=True)].tobytes()
+
+    def narrow(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for features, toxic in rows:
+            yield keep(features), toxic
+
+    def narrow_swaps(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for gone, come, n in rows:
+            yield keep(gone), keep(come), n
+
+    few = map_rows(texts, ["features", "toxic"], "features binary, toxic int", narrow)
+    each = texts.select(F.explode("swaps").alias("x")).select("x.*")
+    pairs = map_rows(each, ["gone", "come", "n"], "gone binary, come binary, n int", narrow_swaps).groupBy("gone", "come").agg(F.sum("n").alias("n")).where("gone <> come")
+    size = sum(x.agg(F.coalesce(F.sum(sum(F.octet_length(c) for c in names)), F.lit(0))).first()[0] for x, names in ((few, ["features"]), (pairs, ["gone", "come"])))
+    if size > MOST_BYTES:
+        raise ValueError(f"the fit would take {size} bytes of features to the driver, more than {MOST_BYTES}; lower fit_rows")
+    ids = lambda data: np.frombuffer(data, np.int32)
+    rows = sorted((bytes(r.features), r.toxic) for r in few.collect())
+    swapped = sorted((bytes(r.gone), bytes(r.come), r.n) for r in pairs.collect())
+    discard(texts)
+    return fit(chosen, [ids(x) for x, _ in rows], np.array([t for _, t in rows], float), [(ids(a), ids(b), n) for a, b, n in swapped], swap_weight)
+
+
+def _chosen(texts: DataFrame, n: int, n1: int) -> np.ndarray:
+    """The MOST_FEATURES features of at least 3 texts that differ most between toxic and other ones, of those beyond LEAST_Z."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, np.int32) for x in batch.column(0).to_pylist()]
+            toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), [len(x) for x in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)), pa.array(toxic.astype(np.int32))], names=["id", "toxic"])
 
-    found = map_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "text", "toxic"], "doc_id long, toxic int, features binary, versions array<binary>", run).toPandas()
-    found = found.sort_values(["doc_id", "features"]).drop_duplicates("features")
-    rows = [np.frombuffer(x, np.int32) for x in found["features"]]
-    pairs = [(a, np.frombuffer(b, np.int32)) for a, versions in zip(rows, found["versions"], strict=True) for b in versions]
-    return fit(rows, found["toxic"].to_numpy(float), pairs)
+    counts = texts.select("features", "toxic").mapInArrow(spread, "id int, toxic int").groupBy("id").agg(F.count("*").alias("c"), F.sum("toxic").alias("c1")).where("c >= 3")
+    share = F.col("c") / n
+    spread_of = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
+    ranked = counts.select("id", (F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1)) / spread_of).alias("z")).where(F.col("z") >= LEAST_Z)
+    return np.sort(np.array([r.id for r in ranked.orderBy(F.desc("z"), "id").limit(MOST_FEATURES).collect()], np.int32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,16 +207,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose text is not predicted toxic, with all their columns, in one pass and without a join."""
+    """The rows whose text is not predicted toxic, with all their columns, in one pass and without a join.
 
-    def run(batches):
-        import pyarrow as pa
+    Each row is judged by its own text, so repeated rows go or stay together; a null doc_id is judged like any other.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(hashed(features_of_words(words_of(x)))) < 0.5 for x in texts], pa.bool_()))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.mapInArrow(run, docs.schema)
 
 

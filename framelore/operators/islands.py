@@ -49,6 +49,19 @@ def carry_forward(frames: DataFrame, selected: str, columns: list[str], keys: li
     return frames.withColumn("latest", latest).select(*rest, *[F.col(f"latest.{c}").alias(c) for c in columns], F.when(~F.col(selected), F.col(f"latest.{order}")).alias("source_timestamp"))
 
 
+def propagated_log(frames: DataFrame, labels: DataFrame, columns: list[str], keys: list[str] = KEYS, order: str = "timestamp") -> DataFrame:
+    """Labels joined to their frames and carried forward to those that weren't selected.
+
+    ``labels``: keys, ``order``, ord and ``columns``; of several for one frame that of the highest ord holds. Adds columns,
+    source (label or propagated, null before the first label) and source_timestamp. A selected frame without a label stays empty.
+    """
+    latest = labels.groupBy(*keys, order).agg(F.max_by(F.struct(*columns), "ord").alias("label")).select(*keys, order, "label.*")
+    joined = frames.join(latest, [*keys, order], "left")
+    carried = carry_forward(joined, "selected", columns, keys, order)
+    source = F.when(F.col("selected"), "label").when(F.col("source_timestamp").isNotNull(), "propagated")
+    return carried.withColumn("source", source).drop("selected")
+
+
 def smooth_frames(frames: DataFrame, keys: list[str] = KEYS, order: str = "timestamp") -> DataFrame:
     """Smooth labels against both neighbours, all reading the raw ones.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelore.functions.text import slug, stripped
+
 KEYS = ["media_id"]
 
 
@@ -52,6 +54,30 @@ def nearby_text(points: DataFrame, segments: DataFrame, width: float = 12.0, mos
     return points.join(texts, [*keys, "center_sec"], "left").select(*keys, "center_sec", F.coalesce(joined, F.lit("(no dialogue)")).alias("nearby"))
 
 
+def describe_clips(points: DataFrame, segments: DataFrame, lexicon: DataFrame, width: float = 8.0, most: int = 28, keys: list[str] = KEYS) -> DataFrame:
+    """A short name for each point (center_sec): the nearby text of the highest weight of words that it holds, as a slug.
+
+    Of a tie the first text counts; where the best is blank, the first nearby one; "clip" where nothing is left. The lexicon is
+    a parameter of fixed size.
+    """
+    words = segments.select(*keys, "seg_no", "start_sec", "text").crossJoin(F.broadcast(lexicon))
+    score = F.sum(F.when(F.col("text").contains(F.col("keyword")), F.col("weight")).otherwise(0)).alias("score")
+    scored = words.groupBy(*keys, "seg_no", "start_sec", "text").agg(score)
+    near = near_join(points.select(*keys, "center_sec"), scored, width, keys=keys).withColumn("text", stripped(F.col("text")))
+    found = near.groupBy(*keys, "center_sec").agg(F.min_by("text", F.struct((-F.col("score")).alias("s"), "seg_no")).alias("best"), F.min_by("text", "seg_no").alias("first"))
+    named = points.join(found, [*keys, "center_sec"], "left")
+    text = F.coalesce(F.when(F.col("best") == "", F.col("first")).otherwise(F.col("best")), F.lit(""))
+    return named.select(*keys, "center_sec", slug(text, most).alias("description"))
+
+
+def value_at(points: DataFrame, levels: DataFrame, value: str, keys: list[str] = KEYS) -> DataFrame:
+    """Adds value: the series at each point's second (center_sec), the last one beyond its end, 0 without a series."""
+    last = levels.groupBy(*keys).agg(F.max("second").alias("last_second"))
+    at = points.join(last, keys, "left").withColumn("second_at", F.least(F.floor("center_sec"), F.col("last_second")))
+    own = levels.select(*keys, F.col("second").alias("second_at"), F.col(value).alias("value"))
+    return at.join(own, [*keys, "second_at"], "left").select(*points.columns, F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def subtitle_candidates(pred: DataFrame, true: DataFrame, tolerance: float = 1.0, keys: list[str] = KEYS) -> DataFrame:
     """Pairs of subtitles that overlap, or of which starts or ends differ by at most ``tolerance``."""
     a, b, c, d = F.col("l_start_sec"), F.col("l_end_sec"), F.col("r_start_sec"), F.col("r_end_sec")

@@ -6,18 +6,22 @@ function; media are handled in parallel.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelore.operators import series
+
 KEYS = ["media_id"]
 LEAST_SCORE = 0.01
 TOUCH = 1e-6
 
 
-def peaks(series: DataFrame, value: str, count: int, min_gap: int) -> DataFrame:
+def peaks(levels: DataFrame, value: str, count: int, min_gap: int) -> DataFrame:
     """Up to ``count`` peaks a medium: the highest second (of a tie the first) clears [second - gap, second + gap), and so on."""
     if min_gap < 1:
         raise ValueError("min_gap must be 1 or more")
@@ -35,10 +39,22 @@ def peaks(series: DataFrame, value: str, count: int, min_gap: int) -> DataFrame:
         found.sort()
         return pd.DataFrame({"media_id": pdf["media_id"].iloc[0], "peak_no": range(1, len(found) + 1), "second": [s for s, _ in found], "score": [x for _, x in found]})
 
-    return series.groupBy("media_id").applyInPandas(pick, "media_id long, peak_no int, second long, score double")
+    return levels.groupBy("media_id").applyInPandas(pick, "media_id long, peak_no int, second long, score double")
+
+
+def pick_highlights(signals: dict[str, DataFrame], weights: dict[str, float], forced: DataFrame, count: int, min_gap: int) -> DataFrame:
+    """Peaks of several signals together: peak_no, second, score a medium.
+
+    ``signals``: per name a table of media_id, second and a column of that name, dense from 0; seconds that one lacks fall
+    away. Signals are normalised, weighted, summed and smoothed, forced seconds (media_id, second, ord) raised above all
+    others, and the best peaks taken with ``min_gap`` between them. A forced second can still fall to a stronger neighbour.
+    """
+    both = reduce(lambda a, b: a.join(b, ["media_id", "second"]), signals.values())
+    raised = series.boost(series.fuse(both, weights), forced, "fused")
+    return peaks(raised, "boosted", count, min_gap)
 
 
-def clip_bounds(series: DataFrame, centers: DataFrame, value: str, shortest: int = 10, longest: int = 60, keys: list[str] = KEYS) -> DataFrame:
+def clip_bounds(levels: DataFrame, centers: DataFrame, value: str, shortest: int = 10, longest: int = 60, keys: list[str] = KEYS) -> DataFrame:
     """Bounds of a clip around each center second: as far as the series stays high, with single low seconds tolerated.
 
     High is the medium's 60th percentile. The search stops ``longest`` seconds away, or at two low seconds in a row. A clip
@@ -46,7 +62,7 @@ def clip_bounds(series: DataFrame, centers: DataFrame, value: str, shortest: int
     """
     threshold = F.expr(f"percentile({value}, 0.6)").over(W.partitionBy(*keys))
     along = W.partitionBy(*keys).orderBy("second")
-    marked = series.withColumn("low", F.col(value) < threshold).withColumns({"low_next": F.lead("low").over(along), "low_before": F.lag("low").over(along), "last": F.max("second").over(W.partitionBy(*keys))})
+    marked = levels.withColumn("low", F.col(value) < threshold).withColumns({"low_next": F.lead("low").over(along), "low_before": F.lag("low").over(along), "last": F.max("second").over(W.partitionBy(*keys))})
     near = marked.join(centers.select(*keys, F.col("second").alias("center")), keys).where(F.abs(F.col("second") - F.col("center")) <= longest)
     group = [*keys, "center"]
     stop_left = F.max(F.when((F.col("second") < F.col("center")) & F.col("low") & F.col("low_next"), F.col("second"))).over(W.partitionBy(*group))

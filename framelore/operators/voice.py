@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.operators.islands import merge_intervals, runs
+from framelore.operators.joins import subtitle_candidates
+from framelore.operators.selection import match_pairs, split_long
 
 KEYS = ["media_id"]
 
@@ -34,14 +36,50 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def subtitle_metrics(matches: DataFrame, pred: DataFrame, true: DataFrame, least_similarity: float = 0.5, tolerance: float = 1.0, keys: list[str] = KEYS) -> DataFrame:
-    """Counts, precision, recall and F1 of a medium's matches that agree in text and time; mean start error of those, or null."""
-    good = (F.col("similarity") >= least_similarity) & (F.col("start_error_sec") <= tolerance) & (F.col("end_error_sec") <= tolerance)
-    found = matches.groupBy(*keys).agg(F.count_if(good).alias("n_match"), F.avg(F.when(good, F.col("start_error_sec"))).alias("mean_start_error"))
-    n_pred = pred.groupBy(*keys).agg(F.count("*").alias("n_pred"))
-    n_true = true.groupBy(*keys).agg(F.count("*").alias("n_true"))
-    out = n_pred.join(n_true, keys, "full").join(found, keys, "left").fillna(0, ["n_pred", "n_true", "n_match"])
-    p, r = _ratio(F.col("n_match"), F.col("n_pred")), _ratio(F.col("n_match"), F.col("n_true"))
+def frame_rms(samples: DataFrame, value: str, order: str, size: int, hop: int, keys: list[str] = KEYS) -> DataFrame:
+    """frame_no, rms of frames of ``size`` samples, one every ``hop``; only whole frames. ``order`` numbers samples from 0."""
+    at = F.col(order)
+    frame = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((at - size) / hop) + 1), F.floor(at / hop)))
+    each = samples.select(*keys, frame.alias("frame_no"), F.col(value).cast("double").alias("x")) if hop <= size else samples.where(at % hop < size).select(*keys, F.floor(at / hop).alias("frame_no"), F.col(value).cast("double").alias("x"))
+    return each.groupBy(*keys, "frame_no").agg(F.sqrt(F.avg(F.col("x") * F.col("x")) + 1e-12).alias("rms"), F.count("*").alias("n")).where(F.col("n") == size).drop("n")
+
+
+def prepared_clips(frames: DataFrame, level: str, order: str, hop: float, least: float, gap: float, shortest: float, longest: float, least_voice: float) -> DataFrame:
+    """Clips for enrolment: voiced stretches with gaps closed, long ones split at quiet places, short or quiet ones left out.
+
+    ``frames``: media_id, ``order`` (a frame's number) and level. Returns media_id, clip_no (from 1, by kept clips only),
+    start_sec, end_sec, voice_sec: seconds of frames at the level of ``least`` or more.
+    """
+    found = voiced_intervals(frames, level, order, hop, least, gap)
+    at = (F.col(order) * hop).alias("at_sec")
+    pieces = split_long(found, frames.select("media_id", at, F.col(level).alias("rms")), shortest, longest)
+    loud = frames.where(F.col(level) >= least).select("media_id", F.col(order).alias("frame"))
+    inside = pieces.select("*", F.explode(F.sequence(F.ceil(F.col("start_sec") / hop), F.ceil(F.col("end_sec") / hop) - 1)).alias("frame"))
+    voice = inside.join(loud, ["media_id", "frame"]).groupBy("media_id", "start_sec", "end_sec").agg((F.count("*") * hop).alias("voice_sec"))
+    kept = voice.where((F.col("end_sec") - F.col("start_sec") >= shortest) & (F.col("voice_sec") >= least_voice))
+    number = F.row_number().over(W.partitionBy("media_id").orderBy("start_sec")).cast("long")
+    return kept.select("media_id", number.alias("clip_no"), "start_sec", "end_sec", "voice_sec")
+
+
+def evaluate_subtitles(pred: DataFrame, true: DataFrame, least_similarity: float = 0.5, tolerance: float = 0.5, search: float = 1.0) -> DataFrame:
+    """How well predicted subtitles agree with true ones, one row a medium.
+
+    Blocks are matched one to one; matched_pairs are the matches of sufficient similarity, over which start and end errors are
+    taken (NaN without any); correct_matches are those within ``tolerance`` at both ends, which precision, recall and F1 count.
+    """
+    matches = match_pairs(subtitle_candidates(pred, true, search)).where(F.col("similarity") >= least_similarity)
+    right = (F.col("start_error_sec") <= tolerance) & (F.col("end_error_sec") <= tolerance)
+    middle = lambda c: F.expr(f"percentile({c}, 0.5)")
+    found = matches.groupBy("media_id").agg(
+        F.count("*").alias("matched_pairs"), F.count_if(right).alias("correct_matches"),
+        F.avg("start_error_sec").alias("start_error_mean_sec"), middle("start_error_sec").alias("start_error_median_sec"),
+        F.avg("end_error_sec").alias("end_error_mean_sec"), middle("end_error_sec").alias("end_error_median_sec"),
+    )
+    counts = pred.groupBy("media_id").agg(F.count("*").alias("pred_count")).join(true.groupBy("media_id").agg(F.count("*").alias("gt_count")), "media_id", "full")
+    cer = character_error_rate(pred, true).withColumnRenamed("cer", "global_cer")
+    errors = [c for c in found.columns if c.endswith("_sec")]
+    out = counts.join(cer, "media_id").join(found, "media_id", "left").fillna(0, ["pred_count", "gt_count", "matched_pairs", "correct_matches"]).fillna(float("nan"), errors)
+    p, r = _ratio(F.col("correct_matches"), F.col("pred_count")), _ratio(F.col("correct_matches"), F.col("gt_count"))
     return out.withColumns({"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)})
 
 

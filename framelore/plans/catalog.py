@@ -28,7 +28,7 @@ def query(sql: str | None = None, *parts: str) -> Callable:
         if sql:
             text = sql.strip()
             ctes = ", ".join(A.SQL[p] for p in parts)
-            ORACLE_SQL[fn.__name__] = f"WITH {ctes}{', ' if text.startswith('+') else ' '}{text.removeprefix('+')}" if parts else text
+            ORACLE_SQL[fn.__name__] = f"WITH RECURSIVE {ctes}{', ' if text.startswith('+') else ' '}{text.removeprefix('+')}" if parts else text
         return fn
 
     return add
@@ -116,12 +116,13 @@ def rolling_median_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""+f AS (SELECT media_id, CASE WHEN second % 11 = 0 THEN second // 2 ELSE second + 40 END AS second, second AS ord FROM series WHERE level % 5 = 0),
 k AS (SELECT media_id, second, row_number() OVER (PARTITION BY media_id ORDER BY ord) AS k FROM f WHERE second < 84),
-l AS (SELECT media_id, second, max(k) AS k FROM k WHERE k <= 12 GROUP BY ALL)
-SELECT s.media_id, s.second, round(coalesce(max(level) OVER (PARTITION BY s.media_id) * pow(1.5, k), level), 6) AS boosted FROM series AS s LEFT JOIN l ON l.media_id = s.media_id AND l.second = s.second""", "series")
+l AS (SELECT media_id, second, max(k) AS k FROM k GROUP BY ALL)
+SELECT s.media_id, s.second, round(coalesce(max(level) OVER (PARTITION BY s.media_id) * pow(1.5, k), level), 2) AS boosted FROM series AS s LEFT JOIN l ON l.media_id = s.media_id AND l.second = s.second""", "series")
 def forced_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.series(spark, sf_dir)
     forced = s.where("level % 5 = 0").select("media_id", F.expr("case when second % 11 = 0 then second div 2 else second + 40 end").alias("second"), F.col("second").alias("ord"))
-    return _round(series.boost(s, forced, "level").select("media_id", "second", "boosted"), "boosted")
+    # Values reach 10 ** 10 here, so they are rounded to two places.
+    return series.boost(s, forced, "level").select("media_id", "second", F.round("boosted", 2).alias("boosted"))
 
 
 @query(f"""+n AS (SELECT media_id, second, {NORM} AS norm FROM series WINDOW m AS (PARTITION BY media_id))
@@ -163,19 +164,12 @@ c AS (SELECT media_id, island, expression_a, count(*) AS n, min(timestamp) AS se
 d AS (SELECT media_id, island, expression_a FROM (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY n DESC, seen) AS rn FROM c) AS x WHERE rn = 1),
 c2 AS (SELECT media_id, island, expression_b, count(*) AS n, min(timestamp) AS seen FROM i GROUP BY ALL),
 d2 AS (SELECT media_id, island, expression_b FROM (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY n DESC, seen) AS rn FROM c2) AS x WHERE rn = 1),
-g AS (SELECT media_id, island, min(timestamp) AS start_sec, max(timestamp) AS last, min(scene_type) AS scene_type, avg(intensity) AS ai, count(*) AS frame_count FROM i GROUP BY ALL),
+g AS (SELECT media_id, island, min(timestamp) AS start_sec, max(timestamp) AS last, min(scene_type) AS scene_type, avg(intensity) AS ai, avg(danger_level) AS ad, count(*) AS frame_count FROM i GROUP BY ALL),
 s AS (SELECT media_id, island, scene_summary FROM (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY confidence DESC, timestamp) AS rn FROM i) AS x WHERE rn = 1)
-SELECT g.media_id, start_sec, coalesce(lead(start_sec) OVER (PARTITION BY g.media_id ORDER BY g.island), last + 2) AS end_sec, scene_type, round(ai, 6) AS mean_intensity, frame_count, expression_a, expression_b, scene_summary
+SELECT g.media_id, start_sec, coalesce(lead(start_sec) OVER (PARTITION BY g.media_id ORDER BY g.island), last + 2) AS end_sec, scene_type, round_even(ai, 3) AS avg_intensity, round_even(ad, 3) AS avg_danger_level, frame_count, expression_a, expression_b, scene_summary
 FROM g JOIN d ON d.media_id = g.media_id AND d.island = g.island JOIN d2 ON d2.media_id = g.media_id AND d2.island = g.island JOIN s ON s.media_id = g.media_id AND s.island = g.island""", "frames")
 def scene_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = A.frames(spark, sf_dir)
-    found = islands.scenes(f, 0.5)
-    # The driver's check compares exact values, so the mean is taken from sums here.
-    begins = found.select("media_id", "start_sec", "end_sec", "scene_type", "frame_count", "expression_a", "expression_b", "scene_summary")
-    w = W.partitionBy("media_id").orderBy("timestamp")
-    gaps = (F.col("scene_type") != F.lag("scene_type").over(w)) | (F.col("timestamp") - F.lag("timestamp").over(w) > 3)
-    mean = islands.islands(f, gaps, ["timestamp"]).groupBy("media_id", "island").agg(F.min("timestamp").alias("start_sec"), F.avg("intensity").alias("mean_intensity")).drop("island")
-    return _round(begins.join(mean, ["media_id", "start_sec"]), "mean_intensity")
+    return islands.scenes(A.frames(spark, sf_dir), 0.5).drop("island", "avg_confidence")
 
 
 @query("""+p AS (SELECT *, lag(scene_type) OVER w AS s0, lag(intensity) OVER w AS i0, lag(danger_level) OVER w AS d0, lag(expression_a) OVER w AS a0, lag(expression_b) OVER w AS b0, lag(confidence) OVER w AS c0 FROM frames WINDOW w AS (PARTITION BY media_id ORDER BY timestamp))
@@ -212,7 +206,7 @@ def voiced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.runs(voice.voiced(A.series(spark, sf_dir), "level", 5.0), "voiced", "second").select("media_id", "first", "last")
 
 
-CLIPS = "clips AS (SELECT media_id, seg_no AS clip_no, start_sec - 2 AS cs, start_sec + 5 AS ce, start_sec AS center_sec FROM segments WHERE seg_no % 3 = 0)"
+CLIPS = "clips AS (SELECT media_id, seg_no AS clip_no, start_sec - 2 AS cs, start_sec + 5 AS ce, start_sec AS center_sec FROM segments)"
 
 
 def _clips(s: DataFrame) -> DataFrame:
@@ -228,7 +222,7 @@ def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""+{CLIPS}
-SELECT c.media_id, center_sec, substr(string_agg(text, ' / ' ORDER BY s.seg_no), 1, 300) AS nearby FROM clips AS c JOIN (SELECT media_id, seg_no, start_sec, trim(text, ' ' || chr(10)) AS text FROM segments) AS s
+SELECT c.media_id, center_sec, coalesce(substr(string_agg(text, ' / ' ORDER BY s.seg_no), 1, 300), '(no dialogue)') AS nearby FROM clips AS c LEFT JOIN (SELECT media_id, seg_no, start_sec, trim(text, ' ' || chr(10)) AS text FROM segments WHERE trim(text, ' ' || chr(10)) <> '') AS s
 ON s.media_id = c.media_id AND abs(s.start_sec - center_sec) <= 6 GROUP BY c.media_id, center_sec""", "segments")
 def nearby_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.segments(spark, sf_dir)
@@ -245,15 +239,15 @@ def srt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.format_srt(A.segments(spark, sf_dir))
 
 
-@query("SELECT media_id, CAST(seg_no + 1 AS BIGINT) AS idx, start_sec, greatest(start_sec, end_sec) AS end_sec, regexp_replace(text, '\\s+', '', 'g') AS text FROM gt WHERE regexp_replace(text, '\\s+', '', 'g') <> ''", "segments", "pair")
+@query("SELECT media_id, CAST(seg_no + 1 AS BIGINT) AS idx, start_sec, greatest(start_sec, end_sec) AS end_sec, regexp_replace(text, '[\\s\\x{85}\\pZ]+', '', 'g') AS text FROM gt WHERE regexp_replace(text, '[\\s\\x{85}\\pZ]+', '', 'g') <> ''", "segments", "pair")
 def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtitles written as files and read back."""
     written = subtitles.format_srt(A.subtitle_pair(spark, sf_dir)[1])
     return _long(subtitles.parse_srt(written.withColumnRenamed("srt", "body")), "idx")
 
 
-@query("""SELECT media_id, seg_no AS place, CAST(seg_no AS BIGINT) AS number, start_sec, start_sec + 60 AS end_sec, CASE WHEN seg_no % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(seg_no * 0.125 AS DOUBLE) END AS confidence, substr(text, 1, 20) AS reason
-FROM (SELECT * REPLACE (regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '^ +', '') AS text) FROM segments) AS s WHERE seg_no % 5 <> 4""", "segments")
+@query("""SELECT media_id, seg_no AS place, CAST(seg_no AS BIGINT) AS number, start_sec, start_sec + 60 AS end_sec, CASE WHEN seg_no % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(seg_no * 0.125 AS DOUBLE) END AS confidence,
+  ltrim(replace(text, chr(10), ' ')) AS reason FROM segments WHERE seg_no % 5 <> 4""", "segments")
 def review_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews in markdown, a section a segment, some of them broken, read as highlights."""
     # A reason is one line, so line feeds become spaces.
@@ -280,27 +274,19 @@ def clamp_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT media_id, seg_no AS place, printf('%02d_', row_number() OVER (PARTITION BY media_id ORDER BY start_sec, seg_no)) || printf('%02dm%02ds', CAST(floor(start_sec) AS BIGINT) // 60, CAST(floor(start_sec) AS BIGINT) % 60) || '_' ||
-  CASE WHEN text = '' THEN 'clip' ELSE substr(regexp_replace(regexp_replace(trim(text), ' +', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), 1, 40) END AS clip_name
-FROM gt WHERE seg_no % 4 <> 1""", "segments", "pair")
+  CASE WHEN slug = '' THEN 'clip' ELSE slug END AS clip_name
+FROM (SELECT *, substr(regexp_replace(regexp_replace(trim(text, ' ' || chr(10)), '[\\s\\pZ]+', '_', 'g'), '[^\\p{L}\\p{N}_]', '', 'g'), 1, 40) AS slug FROM gt) AS x WHERE seg_no % 4 <> 1""", "segments", "pair")
 def clip_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.subtitle_pair(spark, sf_dir)[1].select("media_id", F.col("seg_no").alias("place"), "start_sec", F.col("text").alias("reason"), F.when(F.col("seg_no") % 4 == 1, 0.2).otherwise(0.9).alias("confidence"))
     return subtitles.clip_names(s, 0.5).select("media_id", "place", "clip_name")
 
 
-CANDIDATES = """cand AS (
-  SELECT p.media_id, p.seg_no AS pred_no, g.seg_no AS true_no, greatest(0, least(p.end_sec, g.end_sec) - greatest(p.start_sec, g.start_sec)) AS overlap_sec,
-    CASE WHEN greatest(length(p.text), length(g.text)) = 0 THEN 1 ELSE 1 - CAST(levenshtein(p.text, g.text) AS DOUBLE) / greatest(length(p.text), length(g.text)) END AS similarity,
-    least(abs(p.start_sec - g.start_sec), abs(p.end_sec - g.end_sec)) AS gap_sec
-  FROM pred AS p JOIN gt AS g ON g.media_id = p.media_id)"""
-
-
-@query(f"+{CANDIDATES} SELECT media_id, pred_no, true_no, CAST(overlap_sec AS DOUBLE) AS overlap_sec, round(similarity, 6) AS similarity, gap_sec FROM cand WHERE overlap_sec > 0 OR gap_sec <= 1", "segments", "pair")
+@query()
 def subtitle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(joins.subtitle_candidates(*A.subtitle_pair(spark, sf_dir)).drop("start_error_sec", "end_error_sec"), "similarity")
 
 
-@query("""+w AS (SELECT pred.media_id, string_agg(pred.text, '' ORDER BY pred.seg_no) AS p, string_agg(gt.text, '' ORDER BY gt.seg_no) AS t FROM pred JOIN gt ON gt.media_id = pred.media_id AND gt.seg_no = pred.seg_no GROUP BY pred.media_id)
-SELECT media_id, round(CASE WHEN length(t) > 0 THEN CAST(levenshtein(p, t) AS DOUBLE) / length(t) WHEN length(p) > 0 THEN 1 ELSE 0 END, 6) AS cer FROM w""", "segments", "pair")
+@query()
 def subtitle_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(voice.character_error_rate(*A.subtitle_pair(spark, sf_dir)), "cer")
 
@@ -312,14 +298,22 @@ def subtitle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def subtitle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, true = A.subtitle_pair(spark, sf_dir)
-    return _round(voice.subtitle_metrics(selection.match_pairs(joins.subtitle_candidates(pred, true)), pred, true), "precision", "recall", "f1", "mean_start_error")
+    out = voice.evaluate_subtitles(*A.subtitle_pair(spark, sf_dir))
+    return _round(out, "global_cer", "start_error_mean_sec", "start_error_median_sec", "end_error_mean_sec", "end_error_median_sec", "precision", "recall", "f1")
+
 
+@query()
+def subtitle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation as a text for each medium."""
+    return subtitles.metric_report(voice.evaluate_subtitles(*A.subtitle_pair(spark, sf_dir)))
 
-@query("""+b AS (SELECT vec_id AS p, embedding AS e FROM embeddings WHERE vec_id < 8),
-c AS (SELECT v.vec_id, greatest(-1, least(1, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(b.e[i] AS DOUBLE))))) AS x FROM embeddings AS v, b),
+
+@query("""WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) AS y GROUP BY label, i),
+b AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m),
+v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+c AS (SELECT vec_id, label, greatest(-1, least(1, sum(CAST(embedding[i] AS DOUBLE) / n * x))) AS x FROM v, b GROUP BY vec_id, label),
 r AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS rn FROM c)
-SELECT vec_id, round(greatest(0, least(1, (0.7 * max(x) + 0.3 * avg(CASE WHEN rn <= 3 THEN x END) + 1) / 2)), 4) AS score FROM r GROUP BY vec_id""".replace("+b AS", "WITH b AS"))
+SELECT vec_id, round(greatest(0, least(1, (0.7 * max(x) + 0.3 * avg(CASE WHEN rn <= 3 THEN x END) + 1) / 2)), 4) AS score FROM r GROUP BY vec_id""")
 def vector_top3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against the means of all labels."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -369,12 +363,17 @@ def scene_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "x.scene_type", "x.scene_summary", "x.intensity", "x.notable_change", "x.confidence", "x.parse_ok")
 
 
-@query()
+@query("""+s AS (SELECT media_id, second, level FROM series), p AS (
+  SELECT media_id, 0 AS step, CAST(NULL AS BIGINT) AS second, CAST(NULL AS DOUBLE) AS score, list(level ORDER BY second) AS left_over FROM s GROUP BY media_id
+  UNION ALL
+  SELECT media_id, step + 1, CAST(place - 1 AS BIGINT), top, list_transform(left_over, lambda x, i: CASE WHEN i >= place - 6 AND i < place + 6 THEN CAST(0 AS DOUBLE) ELSE x END)
+  FROM (SELECT *, list_max(left_over) AS top, list_position(left_over, list_max(left_over)) AS place FROM p) AS y WHERE top >= 0.01 AND step < 10)
+SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY second) AS INTEGER) AS peak_no, second, score FROM p WHERE step > 0""", "series")
 def peaks_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.peaks(A.series(spark, sf_dir), "level", 10, 6)
 
 
-@query("""+c AS (SELECT media_id, second AS center FROM series WHERE second % 20 = 7),
+@query("""+c AS (SELECT media_id, second AS center FROM series),
 m AS (SELECT media_id, second, level < quantile_cont(level, 0.6) OVER (PARTITION BY media_id) AS low FROM series),
 p AS (SELECT *, lead(low) OVER w AS nx, lag(low) OVER w AS pv FROM m WINDOW w AS (PARTITION BY media_id ORDER BY second)),
 j AS (SELECT c.media_id, center, second AS t, low, max(CASE WHEN second < center AND low AND nx THEN second END) OVER g AS bl, min(CASE WHEN second > center AND low AND pv THEN second END) OVER g AS br
@@ -399,7 +398,15 @@ def duration_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.ranked_clips(A.windows(spark, sf_dir), 5.0, target=20.0)
 
 
-@query()
+@query("""+f AS (SELECT media_id, timestamp, confidence AS x, row_number() OVER (PARTITION BY media_id ORDER BY timestamp) AS n FROM frames),
+g AS (
+  SELECT media_id, n, timestamp, x AS kept, timestamp AS kept_at, CAST(NULL AS DOUBLE) AS change_score, true AS selected, 'first_frame' AS reason FROM f WHERE n = 1
+  UNION ALL
+  SELECT f.media_id, f.n, f.timestamp,
+    CASE WHEN abs(f.x - g.kept) >= 0.3 OR f.timestamp - g.kept_at >= 8 THEN f.x ELSE g.kept END, CASE WHEN abs(f.x - g.kept) >= 0.3 OR f.timestamp - g.kept_at >= 8 THEN f.timestamp ELSE g.kept_at END,
+    abs(f.x - g.kept), abs(f.x - g.kept) >= 0.3 OR f.timestamp - g.kept_at >= 8, CASE WHEN abs(f.x - g.kept) >= 0.3 THEN 'change' WHEN f.timestamp - g.kept_at >= 8 THEN 'max_skip' ELSE 'propagated' END
+  FROM g JOIN f ON f.media_id = g.media_id AND f.n = g.n + 1)
+SELECT media_id, timestamp, change_score, selected, reason FROM g""", "frames")
 def frame_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.gate_frames(A.frames(spark, sf_dir), "confidence", 0.3)
 
@@ -441,3 +448,53 @@ def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda prefix, n: F.concat(F.lit(prefix), (F.col("event_id") % n).cast("string"))
     f = A.frames(spark, sf_dir).withColumn("e", F.array(name("item ", 7), name("Item ", 3)))
     return islands.ranked_entities(f, "e", ["media_id"], "timestamp").select("media_id", F.array_join("entities", "|").alias("entities"))
+
+
+@query()
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of level and text together, with forced seconds raised."""
+    segments, lexicon = A.segments(spark, sf_dir), A.lexicon(spark)
+    level = A.series(spark, sf_dir).select("media_id", "second", "level")
+    words = series.text_series(segments, lexicon).select("media_id", "second", F.col("score").alias("words"))
+    return selection.pick_highlights({"level": level, "words": words}, {"level": 0.45, "words": 0.55}, series.must_include(segments, lexicon), 25, 15)
+
+
+@query(f"""+k AS (SELECT seg_no, s.media_id, start_sec, trim(text, ' ' || chr(10)) AS text, CAST(sum(CASE WHEN contains(text, keyword) THEN weight ELSE 0 END) AS BIGINT) AS score FROM segments AS s, lexicon GROUP BY ALL),
+c AS (SELECT media_id, start_sec + 1 AS center_sec FROM segments),
+b AS (SELECT c.media_id, center_sec, arg_min(text, (-score, seg_no)) AS best, arg_min(text, seg_no) AS first FROM c JOIN k ON k.media_id = c.media_id AND abs(k.start_sec - center_sec) <= 8 GROUP BY ALL),
+s AS (SELECT media_id, center_sec, substr(regexp_replace(regexp_replace(CASE WHEN best = '' THEN first ELSE best END, '[\\s\\pZ]+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_]', '', 'g'), 1, 28) AS x FROM b)
+SELECT media_id, center_sec, CASE WHEN x = '' THEN 'clip' ELSE x END AS description FROM s""", "segments", "lexicon")
+def clip_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.segments(spark, sf_dir)
+    return joins.describe_clips(s.select("media_id", (F.col("start_sec") + 1).alias("center_sec")), s, A.lexicon(spark))
+
+
+@query("""+x AS (SELECT media_id, event_id, timestamp, selected, last_value(CASE WHEN selected THEN event_id END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS src FROM frames)
+SELECT x.media_id, x.event_id, x.timestamp, f.scene_type, CASE WHEN x.selected THEN 'label' WHEN src IS NOT NULL THEN 'propagated' END AS source, CASE WHEN NOT x.selected THEN f.timestamp END AS source_timestamp FROM x LEFT JOIN frames AS f ON f.event_id = x.src""", "frames")
+def propagated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the selected frames, some given twice, joined to all frames and carried forward."""
+    f = A.frames(spark, sf_dir)
+    chosen = f.where("selected").select("media_id", "timestamp", "scene_type")
+    labels = chosen.select("*", F.lit(1).alias("ord")).union(chosen.select("media_id", "timestamp", F.lit("stale"), F.lit(0)))
+    return islands.propagated_log(f.select("media_id", "event_id", "timestamp", "selected"), labels, ["scene_type"])
+
+
+@query("""+e AS (SELECT media_id, second, least(sp.top, second + 3) AS at, level FROM (SELECT *, max(second) OVER (PARTITION BY media_id) AS top FROM series) AS sp)
+SELECT e.media_id, e.second AS center, s.level AS value FROM e JOIN series AS s ON s.media_id = e.media_id AND s.second = e.at""", "series")
+def clamped_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.series(spark, sf_dir)
+    points = s.select("media_id", F.col("second").alias("center"), (F.col("second") + 3).cast("double").alias("center_sec"))
+    return joins.value_at(points, s, "level").select("media_id", "center", "value")
+
+
+@query("""+f AS (SELECT media_id, unnest(range(20)) AS frame_no FROM (SELECT DISTINCT media_id FROM series) AS x)
+SELECT f.media_id, f.frame_no, round(sqrt(avg(level * level) + 1e-12), 6) AS rms FROM f JOIN series AS s ON s.media_id = f.media_id AND second >= frame_no * 4 AND second < frame_no * 4 + 8 GROUP BY f.media_id, f.frame_no""", "series")
+def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 8 samples, every 4."""
+    return _round(voice.frame_rms(A.series(spark, sf_dir), "level", "second", 8, 4), "rms")
+
+
+@query()
+def prepared_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiced stretches split, filtered and numbered, ready for enrolment."""
+    return voice.prepared_clips(A.series(spark, sf_dir), "level", "second", 0.5, least=5.0, gap=3.0, shortest=2.0, longest=6.0, least_voice=1.5)

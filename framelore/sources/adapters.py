@@ -80,24 +80,27 @@ SQL = {
   SELECT conv_id AS media_id, turn AS seg_no, CAST(turn * 4 + ((conv_id * 3 + turn * 5) % 4) * 0.25 AS DOUBLE) AS start_sec,
     CAST(turn * 4 + ((conv_id * 3 + turn * 5) % 4) * 0.25 + 1 + (length(text) % 12) * 0.25 AS DOUBLE) AS end_sec, text
   FROM conversations)""",
-    "pair": """gt AS (SELECT media_id, seg_no, start_sec, end_sec, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40) AS text FROM segments),
+    "pair": """gt AS (SELECT * FROM segments),
 pred AS (
   SELECT media_id, seg_no, CAST(start_sec + ((seg_no * 7 + media_id) % 5 - 2) * 0.25 AS DOUBLE) AS start_sec,
     CAST(end_sec + ((seg_no * 7 + media_id) % 5 - 2) * 0.25 AS DOUBLE) AS end_sec, substr(text, 1, CAST(greatest(0, length(text) - seg_no % 3) AS BIGINT)) AS text
   FROM gt)""",
-    "frames": """e AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events),
+    "frames": """e AS (
+  SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord,
+    coalesce(sum(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pauses
+  FROM events),
 frames AS (
-  SELECT user_id AS media_id, event_id, (ord - 1) * CAST(2 AS DOUBLE) AS timestamp, event_type AS scene_type, CAST(least(5, floor(value / 82)) AS INTEGER) AS intensity,
+  SELECT user_id AS media_id, event_id, CAST((ord - 1) * 2 + pauses * 4 AS DOUBLE) AS timestamp, event_type AS scene_type, CAST(least(5, floor(value / 82)) AS INTEGER) AS intensity,
     k % 6 AS danger_level, CAST(k AS DOUBLE) / 100 AS confidence,
     CASE k % 5 WHEN 0 THEN 'neutral' WHEN 1 THEN 'happy' WHEN 2 THEN 'angry' WHEN 3 THEN 'surprised' ELSE 'unclear' END AS expression_a,
     CASE (k + event_id) % 5 WHEN 0 THEN 'neutral' WHEN 1 THEN 'happy' WHEN 2 THEN 'angry' WHEN 3 THEN 'surprised' ELSE 'unclear' END AS expression_b,
     k % 7 = 0 AS notable_change, 'item ' || CAST(k AS VARCHAR) AS scene_summary, k % 3 = 0 AS selected
-  FROM e WHERE event_id % 11 <> 0)""",
+  FROM e)""",
     "series": """spine AS (SELECT media_id, unnest(range(84)) AS second FROM (SELECT DISTINCT l_suppkey AS media_id FROM lineitem) AS x),
 sums AS (SELECT l_suppkey AS media_id, (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS second, sum(CAST(l_quantity AS BIGINT)) AS level FROM lineitem GROUP BY ALL),
 series AS (SELECT spine.media_id, spine.second, CAST(coalesce(level, 0) AS DOUBLE) AS level FROM spine LEFT JOIN sums ON sums.media_id = spine.media_id AND sums.second = spine.second)""",
     "windows": """windows AS (
-  SELECT vec_id % 5 AS media_id, vec_id AS win_no, vec_id // 5 * CAST(0.5 AS DOUBLE) AS start_sec, vec_id // 5 * CAST(0.5 AS DOUBLE) + 1.5 AS end_sec, vec_id // 5 * CAST(0.5 AS DOUBLE) + 0.75 AS center_sec,
+  SELECT vec_id // 200 AS media_id, vec_id AS win_no, vec_id % 200 * CAST(0.5 AS DOUBLE) AS start_sec, vec_id % 200 * CAST(0.5 AS DOUBLE) + 1.5 AS end_sec, vec_id % 200 * CAST(0.5 AS DOUBLE) + 0.75 AS center_sec,
     CAST((label * 37 + vec_id * 13) % 64 AS DOUBLE) / 64 AS score, embedding
   FROM embeddings)""",
 }

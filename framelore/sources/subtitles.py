@@ -17,22 +17,27 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(name.alias("media_id"), F.col("value").alias("body"))
 
 
-def parse_srt(files: DataFrame, keep_empty: bool = False, keys: list[str] = KEYS) -> DataFrame:
+def parse_srt(files: DataFrame, loose: bool = False, keys: list[str] = KEYS) -> DataFrame:
     """idx, start_sec, end_sec, text of each block that has a number, a time line and text; other blocks are left out.
 
-    Texts lose all white space, and an end before its start becomes the start. With ``keep_empty`` lines are joined by
-    spaces, empty texts stay and ends are left as they are.
+    Texts lose all white space, and an end before its start becomes the start. ``loose``: blocks need three lines, whatever
+    they hold; lines after the second are joined by spaces, empty texts stay, ends are left as they are, and the time line must
+    begin with a time.
     """
     body = F.regexp_replace("body", r"\r\n?", "\n")
-    gap = r"\n\n+" if keep_empty else r"\n\s*\n+"
-    blocks = files.select(*keys, F.posexplode(F.split(body, gap)).alias("block", "part"))
-    lines = F.transform(F.split("part", "\n"), stripped)
-    lines = blocks.withColumn("lines", F.filter(lines, lambda x: x != "")).where(F.size("lines") >= (2 if keep_empty else 3))
-    ends = F.split(F.get("lines", F.lit(1)), r"\s+-->\s+" if keep_empty else r"\s*-->\s*")
-    timed = lines.where(F.get("lines", F.lit(1)).contains("-->")).withColumns({"start_sec": srt_seconds(F.get(ends, F.lit(0))), "end_sec": srt_seconds(F.get(ends, F.lit(1)))}).where("start_sec is not null and end_sec is not null")
+    gap = r"\n\n+" if loose else r"\n\s*\n+"
+    blocks = files.select(*keys, F.posexplode(F.split(stripped(body), gap)).alias("block", "part"))
+    if loose:
+        lines = blocks.withColumn("lines", F.split(stripped(F.col("part")), "\n"))
+    else:
+        lines = blocks.withColumn("lines", F.filter(F.transform(F.split("part", "\n"), stripped), lambda x: x != ""))
+    time = F.get("lines", F.lit(1))
+    ends = F.split(time, r"\s+-->\s+" if loose else r"\s*-->\s*")
+    shape = time.rlike(r"^\d+:\d+:\d+,\d+\s+-->\s+\d+:\d+:\d+,\d+") if loose else time.contains("-->")
+    timed = lines.where((F.size("lines") >= 3) & shape).withColumns({"start_sec": srt_seconds(F.get(ends, F.lit(0))), "end_sec": srt_seconds(F.get(ends, F.lit(1)))}).where("start_sec is not null and end_sec is not null")
     rest = F.slice("lines", F.lit(3), F.size("lines"))
-    if keep_empty:
-        rows = timed.withColumn("text", F.array_join(rest, " "))
+    if loose:
+        rows = timed.withColumn("text", stripped(F.array_join(rest, " ")))
     else:
         rows = timed.withColumns({"text": without_space(F.array_join(rest, "")), "end_sec": F.greatest("start_sec", "end_sec")}).where("text <> ''")
     number = F.row_number().over(W.partitionBy(*keys).orderBy("block"))
@@ -65,3 +70,20 @@ def clip_names(highlights: DataFrame, min_confidence: float, keys: list[str] = K
     sure = highlights.where((F.col("confidence") >= min_confidence) & ~F.isnan("confidence"))
     number = F.row_number().over(W.partitionBy(*keys).orderBy("start_sec", "place"))
     return sure.withColumn("clip_name", F.concat(F.format_string("%02d_", number), stamp(F.col("start_sec")), F.lit("_"), slug(F.col("reason"))))
+
+
+def metric_report(metrics: DataFrame, least_similarity: float = 0.5, tolerance: float = 0.5, keys: list[str] = KEYS) -> DataFrame:
+    """A text for each row of subtitle metrics; errors that are NaN read n/a."""
+    ms = lambda c: F.when(F.isnan(c), "n/a").otherwise(F.format_string("%.1f ms", F.col(c) * 1000))
+    lines = [
+        F.lit("Subtitle Verification"),
+        F.format_string("Pred blocks    : %d", "pred_count"),
+        F.format_string("GT blocks      : %d", "gt_count"),
+        F.format_string("Global CER     : %.4f", "global_cer"),
+        F.format_string(f"Matched pairs  : %d (text similarity >= {least_similarity:.2f})", "matched_pairs"),
+        F.concat(F.lit("Start error    : mean "), ms("start_error_mean_sec"), F.lit(", median "), ms("start_error_median_sec")),
+        F.concat(F.lit("End error      : mean "), ms("end_error_mean_sec"), F.lit(", median "), ms("end_error_median_sec")),
+        F.format_string(f"Match F1       : P=%.4f R=%.4f F1=%.4f (<= {tolerance:.1f}s timing tolerance)", "precision", "recall", "f1"),
+        F.format_string("Correct matches: %d", "correct_matches"),
+    ]
+    return metrics.select(*keys, F.array_join(F.array(*lines), "\n").alias("report"))

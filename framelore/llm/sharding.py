@@ -1,13 +1,12 @@
 """Sharding by histogram sort.
 
-Rows are put in the order of a key, the text's digest and then the doc_id's, and cut into ranges of near equal bytes. The
+Rows are put in the order of a key, a hash of the text and then one of the doc_id, and cut into ranges of near equal bytes. The
 splitters are found without sorting: each round counts exact bytes by the key's next PROBE hex digits, below every candidate
-boundary inside the ranges that still hold a splitter, and keeps for each splitter the one candidate interval it lies in. A
-splitter is settled when its interval holds one key. Then the rows are exchanged once, by range, and numbered.
+boundary inside the intervals that still hold a splitter. A splitter is settled at the first boundary whose bytes lie within
+its tolerance of the target; else its interval is probed further. Then the rows are exchanged once, by range, and numbered.
 
-Equal texts have equal leading digits, so they lie side by side in one shard. A splitter inside a group of copies moves to the
-group's nearer end where the group holds at most GROUP_SHARE of a shard; only a larger group is cut, so sizes stay near equal
-however large a group of copies is.
+Equal texts lie side by side in the order, and a boundary within the text's digits never cuts them apart. A group of equal texts
+is cut only where no other boundary lies within the tolerance, so sizes stay near equal however large a group is.
 """
 
 from __future__ import annotations
@@ -16,112 +15,97 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table, wrapped
 
 SHARDS = 8
 PROBE = 2
-TEXT_DIGITS = 32
-GROUP_SHARE = 0.05
+DIGITS = 32
+#: Shares of a shard's bytes, and of a range's, by which a splitter may miss its target.
+TOLERANCE = 0.002
+RANGE_TOLERANCE = 0.25
+#: A shard is numbered in at most so many ranges side by side.
+RANGES = 16
+_AFTER = "g"  # follows every hex digit
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with size (UTF-8 bytes of the text, plus 1) and sort_key (digests of text and doc_id, in hex)."""
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    missing = F.when(F.col("text").isNull(), "-").otherwise("")
-    return docs.withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("sort_key", F.concat(F.md5(text), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), missing).cast("binary"))))
+def _hex(*columns: Column) -> Column:
+    return F.lower(F.lpad(F.hex(F.xxhash64(*columns)), 16, "0"))
 
 
-def splitters(keys: DataFrame, targets: list[int]) -> list[str]:
-    """For each target, the least key at which the bytes of all keys up to and including it reach the target.
+def splitters(keys: DataFrame, targets: list[int], tolerances: list[float]) -> list[str]:
+    """For each target a cut: the bytes of the keys that sort before it come within the target's tolerance, or as near as whole
+    keys allow.
 
-    ``keys``: sort_key, size. ``targets`` ascend and lie between 1 and the sum of sizes. A round adds PROBE digits and reads
-    only keys inside unsettled intervals; at most len(targets) * 16 ** PROBE counts come back in a round.
+    ``keys``: sort_key (DIGITS hex digits), size. ``targets`` ascend. At most len(targets) * 16 ** PROBE sums come back in a
+    round, and DIGITS / PROBE rounds are needed at most.
     """
-    spark = keys.sparkSession
     state = [("", 0) for _ in targets]  # prefix of the interval, bytes before it
     settled: list[str | None] = [None] * len(targets)
-    digits = 0
-    while None in settled:
-        open_prefixes = sorted({p for (p, _), done in zip(state, settled, strict=True) if done is None})
+    for digits in range(PROBE, DIGITS + 1, PROBE):
         inside = keys
-        if digits:
-            few = spark.createDataFrame([(p,) for p in open_prefixes], "prefix string")
-            inside = keys.join(F.broadcast(few), F.substring("sort_key", 1, digits) == F.col("prefix"), "left_semi")
-        digits += PROBE
-        probe = F.substring("sort_key", 1, digits).alias("probe")
-        counts = inside.groupBy(probe).agg(F.sum("size").alias("size"), F.min("sort_key").alias("lo"), F.max("sort_key").alias("hi")).collect()
-        by_prefix: dict[str, list] = {}
-        for row in sorted(counts, key=lambda r: r["probe"]):
-            by_prefix.setdefault(row["probe"][: digits - PROBE], []).append(row)
+        if digits > PROBE:
+            inside = keys.where(F.substring("sort_key", 1, digits - PROBE).isin(sorted({p for (p, _), cut in zip(state, settled, strict=True) if cut is None})))
+        counts = inside.groupBy(F.substring("sort_key", 1, digits).alias("probe")).agg(F.sum("size").alias("size")).collect()
+        by_prefix: dict[str, list[tuple[str, int]]] = {}
+        for row in sorted((r["probe"], r["size"]) for r in counts):
+            by_prefix.setdefault(row[0][: digits - PROBE], []).append(row)
         for i, target in enumerate(targets):
             if settled[i] is not None:
                 continue
             prefix, before = state[i]
-            for row in by_prefix[prefix]:
-                if before + row["size"] >= target:
+            for probe, size in by_prefix[prefix]:
+                if before + size >= target:
                     break
-                before += row["size"]
-            state[i] = row["probe"], before
-            if row["lo"] == row["hi"]:
-                settled[i] = row["lo"]
+                before += size
+            state[i] = probe, before
+            below, above = target - before, before + size - target
+            if min(below, above) <= tolerances[i] or digits == DIGITS:
+                settled[i] = probe if below < above else probe + _AFTER
+        if None not in settled:
+            break
     return settled
 
 
-def at_group_ends(keys: DataFrame, cuts: list[str], most: float) -> list[str]:
-    """``cuts``, but where one lies inside a group of equal texts of at most ``most`` bytes, the nearer end of the group."""
-    spark = keys.sparkSession
-    text = F.substring("sort_key", 1, TEXT_DIGITS)
-    few = F.broadcast(spark.createDataFrame([(i, c[:TEXT_DIGITS], c) for i, c in enumerate(cuts)], "i int, digest string, cut string"))
-    upto = F.sum(F.when(F.col("sort_key") <= F.col("cut"), F.col("size")).otherwise(0))
-    groups = {r["i"]: r for r in keys.join(few, text == F.col("digest")).groupBy("i").agg(upto.alias("upto"), F.sum("size").alias("size")).collect()}
-    out = []
-    for i, cut in enumerate(cuts):
-        group = groups[i]
-        if group["size"] <= most:  # "g" follows every hex digit
-            cut = cut[:TEXT_DIGITS] + ("g" if 2 * group["upto"] >= group["size"] else "")
-        out.append(cut)
-    return out
-
-
 def range_of(key: Column, cuts: list[str]) -> Column:
-    """How many cuts lie below the key, found by halving."""
-    if not cuts:
-        return F.lit(0)
+    """How many cuts are at or below the key, found by halving."""
 
     def half(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key <= F.lit(cuts[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
+        return F.when(key < F.lit(cuts[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
 
     return half(0, len(cuts))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with size, shard and slot: shards of near equal bytes, slots gapless from 0 in the order of the key.
+    """One row per row of ``docs``: row (a struct of its columns), size, shard, slot; slots are gapless from 0, in the key's order.
 
-    Each shard's range is cut further, into as many as shuffle partitions allow, so numbering runs in parallel within it.
-    Null texts count 1 byte. Repeated rows with one doc_id and text share a key and lie in one shard. No rows, no shards.
-    Columns named size, sort_key, shard or slot are replaced.
+    Size is the text's UTF-8 bytes plus 1; null texts count as empty. Repeated rows with one doc_id and text share a key and lie
+    in one shard. No column of ``docs`` can clash, as all lie in the struct. No rows, no shards.
+
+    Each shard is cut further, into as many ranges as shuffle partitions allow, so numbering runs in parallel within it.
     """
-    spark = docs.sparkSession
-    ready = keyed(docs)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    key = F.concat(_hex(text), _hex("doc_id", F.col("text").isNull()))
+    ready = wrapped(docs, size=(F.octet_length(text) + 1).cast("long"), sort_key=key)
     keys = materialise(ready.select("sort_key", "size"))
     total = keys.agg(F.sum("size")).first()[0] or 0
-    fine = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
+    fine = max(1, min(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
     n = shards * fine
     targets = [max(1, (i * total) // n) for i in range(1, n)] if total else []
-    cuts = at_group_ends(keys, splitters(keys, targets), GROUP_SHARE * total / shards) if targets else []
-    ranged = ready.withColumn("range", range_of(F.col("sort_key"), cuts))
-    counts = keys.select(range_of(F.col("sort_key"), cuts).alias("range")).groupBy("range").count().collect()  # at most n rows
-    have = {r["range"]: r["count"] for r in counts}
-    starts = [(r, r // fine, sum(have.get(x, 0) for x in range(r // fine * fine, r))) for r in range(n)]
-    first = F.broadcast(spark.createDataFrame(starts, "range int, shard int, before long"))
-    placed = ranged.join(first, "range").withColumn("slot", F.col("before") + F.row_number().over(W.partitionBy("range").orderBy("sort_key", "doc_id")) - 1)
-    own = [c for c in docs.columns if c not in ("size", "shard", "slot", "sort_key")]
-    return placed.select(*own, "size", "shard", F.col("slot").cast("long").alias("slot"))
+    tolerances = [TOLERANCE * total / shards if i % fine == 0 else RANGE_TOLERANCE * total / n for i in range(1, n)]
+    cuts = sorted(splitters(keys, targets, tolerances)) if targets else []
+    have = {r["range"]: r["count"] for r in keys.select(range_of(F.col("sort_key"), cuts).alias("range")).groupBy("range").count().collect()}
+    discard(keys)
+    before = [sum(have.get(x, 0) for x in range(r // fine * fine, r)) for r in range(n)]
+    placed = ready.withColumn("range", range_of(F.col("sort_key"), cuts))
+    rank = F.row_number().over(W.partitionBy("range").orderBy("sort_key"))
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("range") + 1)
+    return placed.withColumn("rank", rank).select("row", "size", F.floor(F.col("range") / fine).cast("int").alias("shard"), (first + F.col("rank") - 1).alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary"))
+    return shard(docs).select("row.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 SLICE_TURNS = 1024
 
@@ -55,33 +55,55 @@ def argument_errors(schemas: dict[str, list[Parameter]]) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """``calls``: conv_id, call_id, needs (array of call ids). Returns conv_id, call_id, level, cyclic, missing.
 
-    A call's level is one more than the highest of those it needs, so levels are a topological order. Needs that name no
-    call of the conversation are ignored, and reported in missing. Calls on or behind a cycle come after all others. A round
-    settles one level; only counts reach the driver.
+    A call's level is the length of the longest chain of needs behind it, so levels are a topological order. Needs that name no
+    call of the conversation are ignored, and reported in missing. Calls on or behind a cycle get the number of the
+    conversation's calls, so they come after all others. Calls of the same id count as one, with the needs of all.
+
+    Calls with one need point at it; doubling the pointers brings each to the first call behind it that has none or several, in
+    as many rounds as the logarithm of the longest chain. Only those others are then settled level by level.
     """
     key = ["conv_id", "call_id"]
     known = calls.select(*key).distinct()
     needs = calls.select(*key, F.explode("needs").alias("need")).distinct()
-    edges = materialise(needs.join(known.withColumnRenamed("call_id", "need").withColumn("there", F.lit(True)), ["conv_id", "need"], "left"))
-    open_edges = edges.where("there")
-    settled = materialise(known.join(open_edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)))
-    done = [settled]
+    edges = materialise(needs.join(known.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("there")), ["conv_id", "need"], "left"))
+    inner = edges.where("there")
+    degree = inner.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("ptr"))
+
+    pointers = materialise(degree.where("n = 1").select(*key, "ptr", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("found")))
+    left = pointers.count()
+    while left:
+        far = pointers.select("conv_id", F.col("call_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"))
+        met = pointers.join(far, ["conv_id", "ptr"], "left")
+        doubled = materialise(met.select(*key, F.coalesce("ptr2", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("ptr2").isNull().alias("found")))
+        discard(pointers)
+        pointers, before, left = doubled, left, doubled.where("not found").count()
+        if left == before:  # what is left runs in circles
+            break
+
+    # The others, with needs carried along the pointers; a need that leads into a circle never settles.
+    end = pointers.select("conv_id", F.col("call_id").alias("need"), F.when(F.col("found"), F.col("ptr")).alias("ptr"), "dist", F.lit(True).alias("pointed"))
+    several = inner.join(degree.where("n > 1").select(*key), key, "left_semi").join(end, ["conv_id", "need"], "left")
+    open_edges = materialise(several.select(*key, F.when(F.col("pointed"), F.col("ptr")).otherwise(F.col("need")).alias("need"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+    settled = materialise(known.join(degree.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("long")))
     while not open_edges.isEmpty():
-        have = done[0]
-        for more in done[1:]:
-            have = have.union(more)
-        state = open_edges.join(have.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"], "left")
-        ready = materialise(state.groupBy(*key).agg(F.max("level").alias("top"), F.count("*").alias("n"), F.count("level").alias("known")).where("n = known").select(*key, (F.col("top") + 1).alias("level")))
+        have = settled.select("conv_id", F.col("call_id").alias("need"), "level")
+        state = open_edges.join(have, ["conv_id", "need"], "left")
+        ready = materialise(state.groupBy(*key).agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.count("*").alias("n"), F.count("level").alias("known")).where("n = known").select(*key, "level"))
         if ready.isEmpty():
+            discard(ready)
             break
-        done.append(ready)
-        open_edges = materialise(open_edges.join(ready, key, "left_anti"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    stuck = open_edges.select(*key).distinct().select(*key, F.lit(len(done)).alias("level"), F.lit(True).alias("cyclic"))
+        fewer, more = materialise(open_edges.join(ready, key, "left_anti")), materialise(settled.union(ready))
+        discard(open_edges, settled, ready)
+        open_edges, settled = fewer, more
+
+    along = pointers.where("found").join(settled.select("conv_id", F.col("call_id").alias("ptr"), "level"), ["conv_id", "ptr"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
+    size = known.groupBy("conv_id").agg(F.count("*").alias("calls"))
     missing = edges.where("there is null").select(*key).distinct().withColumn("missing", F.lit(True))
-    return out.withColumn("cyclic", F.lit(False)).union(stuck).join(missing, key, "left").select(*key, "level", "cyclic", F.coalesce("missing", F.lit(False)).alias("missing"))
+    out = known.join(settled.union(along), key, "left").join(size, "conv_id").join(missing, key, "left")
+    return out.select(*key, F.coalesce("level", "calls").cast("int").alias("level"), F.col("level").isNull().alias("cyclic"), F.coalesce("missing", F.lit(False)).alias("missing"))
+
+
+EVENT = ["conv_id", "turn", "kind", "role", "call_id", "name", "arguments", "content", "needs"]
 
 
 def format_chats(events: DataFrame, schemas: dict[str, list[Parameter]]) -> DataFrame:
@@ -89,13 +111,15 @@ def format_chats(events: DataFrame, schemas: dict[str, list[Parameter]]) -> Data
 
     Returns per event: conv_id, position (from 1 in its conversation, topological), turn, kind, call_id, level, linked,
     errors (joined by commas), json. A call is linked if a result has its id, a result if a call has; messages have no link.
-    Calls that share an id are reported as duplicate_id and link alike. Results without a call keep level 0. Repeated rows
-    stay; null content and names give JSON nulls. An empty table gives no rows.
+    Calls that share an id are reported as duplicate_id and link alike. Results without a call keep level 0. Arguments that are
+    no JSON become null. Repeated rows stay; null content and names give JSON nulls. Events without a conv_id link with nothing
+    and are numbered together. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     key = ["conv_id", "call_id"]
-    calls = events.where("kind = 'call' and call_id is not null")
+    events = events.select(*EVENT)
+    calls = events.where("kind = 'call' and call_id is not null and conv_id is not null")
     by_id = calls.groupBy(*key).agg(F.count("*").alias("n_calls"), F.min("turn").alias("call_turn"))
-    results = events.where("kind = 'result' and call_id is not null").groupBy(*key).agg(F.count("*").alias("n_results"))
+    results = events.where("kind = 'result' and call_id is not null and conv_id is not null").groupBy(*key).agg(F.count("*").alias("n_results"))
     ids = materialise(by_id.join(levels(calls), key).join(results, key, "full_outer"))
 
     linked = events.join(ids, key, "left")
@@ -131,55 +155,83 @@ def format_chats(events: DataFrame, schemas: dict[str, list[Parameter]]) -> Data
     return numbered.select("a.conv_id", (F.col("before") + F.col("rank")).alias("position"), "turn", "kind", "call_id", "a.level", "linked", "errors", "json")
 
 
-#: The tool that user turns of ``conversations`` call, by their reading below.
-REPLY = {"reply": [Parameter("prompt", "string"), Parameter("turn", "integer"), Parameter("style", "string", required=False)]}
+#: The tools that user turns of ``conversations`` call, by their reading below; a third one, note, is unknown.
+TOOLS = {
+    "reply": [Parameter("prompt", "string"), Parameter("turn", "integer"), Parameter("style", "string", required=False)],
+    "search": [Parameter("query", "string"), Parameter("limit", "integer", required=False)],
+}
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Plain conversations read as tool use: a user turn calls ``reply``, the assistant's next turn is the result.
+    """Plain conversations read as tool use: a user turn calls a tool, the assistant's next turn is the result.
 
-    Later calls need the conversation's first. Every other role is a message. A null role is a message too.
+    Every other role, a null one too, is a message. ``conversations`` holds no tool calls, so numbers decide what the calls look
+    like, and all that can go wrong does: with k = 3 conv_id + turn, tools come by k mod 5; calls need those two and four turns
+    before, some the next one (a circle, or nothing) or one that isn't there; some repeat an id, and some arguments are broken,
+    of a wrong type or missing. Some results answer no call.
     """
-    first = conversations.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first"))
-    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+    turn = F.col("turn")
+    k = F.col("conv_id") * 3 + turn
+    name = lambda at: F.concat(F.col("conv_id").cast("string"), F.lit(":"), at.cast("string"))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
-    arguments = F.concat(F.lit('{"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit(',"prompt":'), F.coalesce(quoted(F.col("text")), F.lit("null")), F.lit("}"))
-    return conversations.join(first, "conv_id", "left").select(
+    text = F.coalesce(quoted(F.col("text")), F.lit("null"))
+    tool = F.when(k % 5 == 0, "search").when(k % 5 == 1, "note").otherwise("reply")
+    limit = F.when(turn % 4 == 0, F.concat(F.lit('"'), turn.cast("string"), F.lit('"'))).otherwise(turn.cast("string"))
+    search = F.concat(F.lit("{"), F.when(k % 19 == 1, "").otherwise(F.concat(F.lit('"query":'), text, F.lit(", "))), F.lit('"limit":'), limit, F.lit("}"))
+    reply = F.concat(F.lit('{"turn":'), F.coalesce(turn.cast("string"), F.lit("null")), F.lit(',"prompt":'), text, F.lit("}"))
+    again = (k % 13 == 5) & (turn >= 2)
+    needs = [F.when((turn >= 2) & ~again, name(turn - 2)), F.when(turn >= 4, name(turn - 4)), F.when(F.col("conv_id") % 7 == 3, name(turn + 2)), F.when(k % 11 == 4, F.lit("nowhere"))]
+    return conversations.select(
         "conv_id", "turn",
         F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
         "role",
-        F.when(user, name(F.col("turn"))).when(assistant, name(F.col("turn") - 1)).alias("call_id"),
-        F.when(user, "reply").alias("name"),
-        F.when(user, arguments).alias("arguments"),
+        F.when(user, F.when(again, name(turn - 2)).otherwise(name(turn))).when(assistant, F.when(k % 23 == 7, "none").otherwise(name(turn - 1))).alias("call_id"),
+        F.when(user, tool).alias("name"),
+        F.when(user, F.when(k % 17 == 2, "{broken").when(tool == "search", search).otherwise(reply)).alias("arguments"),
         F.col("text").alias("content"),
-        F.when(user & (F.col("turn") > F.col("first")), F.array(name(F.col("first")))).otherwise(F.array().cast("array<string>")).alias("needs"),
+        F.when(user, F.filter(F.array(*needs), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = conversation_events(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return format_chats(events, REPLY)
+    return format_chats(events, TOOLS)
 
 
 SQL = """
-WITH c AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS first FROM conversations),
+WITH RECURSIVE c AS (SELECT *, conv_id * 3 + turn AS k, CAST(conv_id AS VARCHAR) || ':' AS p FROM conversations),
 e AS (
-  SELECT conv_id, turn, role, text, first,
-    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS t
+  SELECT conv_id, turn, role, text, k, p, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN p || CASE WHEN k % 13 = 5 AND turn >= 2 THEN turn - 2 ELSE turn END WHEN 'assistant' THEN CASE WHEN k % 23 = 7 THEN 'none' ELSE p || (turn - 1) END END AS call_id,
+    CASE k % 5 WHEN 0 THEN 'search' WHEN 1 THEN 'note' ELSE 'reply' END AS tool
   FROM c),
-calls AS (SELECT conv_id, t, count(*) AS n, max(CASE WHEN t > first THEN 1 ELSE 0 END) AS level FROM e WHERE kind = 'call' GROUP BY conv_id, t),
-results AS (SELECT conv_id, t, count(*) AS n FROM e WHERE kind = 'result' GROUP BY conv_id, t),
+ids AS (SELECT conv_id, call_id, count(*) AS n_calls, min(turn) AS call_turn FROM e WHERE kind = 'call' GROUP BY conv_id, call_id),
+needs AS (
+  SELECT conv_id, call_id, p || (turn - 2) AS need FROM e WHERE kind = 'call' AND turn >= 2 AND k % 13 <> 5
+  UNION SELECT conv_id, call_id, p || (turn - 4) FROM e WHERE kind = 'call' AND turn >= 4
+  UNION SELECT conv_id, call_id, p || (turn + 2) FROM e WHERE kind = 'call' AND conv_id % 7 = 3
+  UNION SELECT conv_id, call_id, 'nowhere' FROM e WHERE kind = 'call' AND k % 11 = 4),
+missing AS (SELECT DISTINCT conv_id, call_id FROM needs WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.conv_id = needs.conv_id AND ids.call_id = needs.need)),
+size AS (SELECT conv_id, count(*) AS calls FROM ids GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, call_id, CAST(0 AS BIGINT) AS depth FROM ids
+  UNION
+  SELECT needs.conv_id, needs.call_id, depth + 1 FROM paths JOIN needs ON needs.conv_id = paths.conv_id AND needs.need = paths.call_id JOIN size ON size.conv_id = paths.conv_id WHERE depth < calls),
+level AS (SELECT paths.conv_id, call_id, max(depth) AS level, max(depth) = min(calls) AS cyclic FROM paths JOIN size ON size.conv_id = paths.conv_id GROUP BY paths.conv_id, call_id),
+results AS (SELECT conv_id, call_id, count(*) AS n_results FROM e WHERE kind = 'result' GROUP BY conv_id, call_id),
 f AS (
-  SELECT e.conv_id, e.turn, kind, CASE WHEN e.t IS NOT NULL THEN CAST(e.conv_id AS VARCHAR) || ':' || CAST(e.t AS VARCHAR) END AS call_id,
-    CAST(coalesce(level, 0) AS INTEGER) AS level, CASE WHEN calls.n IS NULL THEN e.turn ELSE e.t END AS at_turn,
-    CASE kind WHEN 'call' THEN results.n IS NOT NULL WHEN 'result' THEN calls.n IS NOT NULL END AS linked,
-    CASE WHEN kind = 'call' AND results.n IS NULL THEN 'no_result' WHEN kind = 'result' AND calls.n IS NULL THEN 'no_call' ELSE '' END AS errors,
-    role, text
-  FROM e LEFT JOIN calls ON calls.conv_id = e.conv_id AND calls.t = e.t LEFT JOIN results ON results.conv_id = e.conv_id AND results.t = e.t)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY level, at_turn, kind = 'result', turn) AS position, turn, kind, call_id, level, linked, errors,
+  SELECT e.*, n_calls, n_results, call_turn, level, cyclic, missing.call_id IS NOT NULL AS missing, kind = 'call' AND k % 17 = 2 AS broken, tool = 'search' AS search, k % 19 = 1 AS no_query, turn % 4 = 0 AS as_text
+  FROM e LEFT JOIN ids USING (conv_id, call_id) LEFT JOIN level USING (conv_id, call_id) LEFT JOIN results USING (conv_id, call_id) LEFT JOIN missing ON missing.conv_id = e.conv_id AND missing.call_id = e.call_id)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(level, 0), coalesce(call_turn, turn), kind = 'result', turn) AS position, turn, kind, call_id, CAST(coalesce(level, 0) AS INTEGER) AS level,
+  CASE kind WHEN 'call' THEN n_results IS NOT NULL WHEN 'result' THEN n_calls IS NOT NULL END AS linked,
+  CASE kind WHEN 'call' THEN concat_ws(',', CASE WHEN broken THEN 'not_json' END, CASE WHEN tool = 'note' THEN 'unknown_tool' END,
+    CASE WHEN tool = 'reply' AND NOT broken AND text IS NULL THEN 'missing:prompt' END,
+    CASE WHEN search AND NOT broken AND (no_query OR text IS NULL) THEN 'missing:query' END, CASE WHEN search AND NOT broken AND as_text THEN 'type:limit' END,
+    CASE WHEN n_calls > 1 THEN 'duplicate_id' END, CASE WHEN missing THEN 'missing_need' END, CASE WHEN cyclic THEN 'cycle' END, CASE WHEN n_results IS NULL THEN 'no_result' END)
+    WHEN 'result' THEN CASE WHEN n_calls IS NULL THEN 'no_call' ELSE '' END ELSE '' END AS errors,
   CASE kind
-    WHEN 'call' THEN '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR) || '},"id":"' || call_id || '","name":"reply","role":"assistant","type":"call"}'
+    WHEN 'call' THEN '{"arguments":' || CASE WHEN broken THEN 'null' WHEN search THEN '{"limit":' || CASE WHEN as_text THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END || CASE WHEN no_query THEN '' ELSE ',"query":' || CAST(to_json(text) AS VARCHAR) END || '}'
+      ELSE '{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' END || ',"id":"' || call_id || '","name":"' || tool || '","role":"assistant","type":"call"}'
     WHEN 'result' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"' || call_id || '","role":"tool","type":"result"}'
     ELSE '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '","type":"message"}' END AS json
 FROM f

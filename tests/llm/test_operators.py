@@ -81,6 +81,39 @@ def test_near_duplicates_match_brute_force(docs, rows, none):
     assert near_dedup.near_duplicates(none).collect() == []
 
 
+def test_one_id_with_several_texts(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (1, "something else entirely here now"), (2, base + " end"), (3, "something else entirely here now"), (3, "something else entirely here now"), (4, None), (4, ""), (None, base), (None, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, root string, node int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == Counter([(1, 76, 1, True), (1, 1, 1, True), (2, 77, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True), (None, 76, None, False), (None, 0, None, False)])
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    texts = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert texts[1, base] == texts[1, "something else entirely here now"] == 1 and texts[None, base] == texts[None, None] == 1
+    assert sum(n for (d, _), n in texts.items() if d == 4) == 1 and len(kept.collect()) == 5
+
+
+def test_a_group_of_edits_gives_no_more_links_than_members(spark):
+    """Many edits of one text, most of them too far from each other: all components as by brute force, from blocks of a few."""
+    rng = random.Random(17)
+    base = words(rng, 60, 10_000).split()
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    block = near_dedup.BLOCK_ROWS
+    near_dedup.BLOCK_ROWS = 16
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        near_dedup.BLOCK_ROWS = block
+    assert got == {d: c for d, (_, c) in brute_components(rows).items()}
+
+
 def test_packing_holds_every_token_once(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -137,10 +170,13 @@ def test_fingerprints(docs, rows, none):
         changed = fingerprint.edited(texts[i], after)
         assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.n_chars == len(texts[i])
         assert by_text.setdefault(texts[i], r.fingerprint) == r.fingerprint
-        a, b = Counter(texts[i].split()), Counter(changed.split())
-        if a and b:
-            true = sum((a & b).values()) / sum((a | b).values())
-            assert abs(r.near_edited - true) < 0.25
+        c = Counter(after.lower().split())
+        a = Counter(texts[i].lower().split())
+        b = Counter(changed.lower().split())
+        for near, x, y in ((r.near_edited, a, b), (r.near_next, a, c)):
+            true = sum((x & y).values()) / sum((x | y).values()) if x and y else float(not x and not y)
+            # 128 samples: four standard errors, and none where the sets are equal or disjoint.
+            assert abs(near - true) <= 4 * (true * (1 - true) / fingerprint.SAMPLES) ** 0.5 + 0.01
     assert fingerprint.fingerprints(none).collect() == []
 
 
@@ -170,9 +206,9 @@ def test_toxicity_learns_and_ignores_identity(spark):
     docs = spark.createDataFrame([*rows, (9001, None), (9002, ""), (None, "idiot")], "doc_id long, text string")
     known = spark.createDataFrame([*labels, (9001, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, known)
-    plain = toxicity.fit(*_fit_arguments(rows, labels), swap_weight=0.0)
+    plain = toxicity.train(docs, known, swap_weight=0.0)
     neutral = toxicity.hashed(toxicity.features_of_words({"muslim", "abc", "dea"}))
-    assert model.score(neutral) < 0.5 and model.score(neutral) < plain.score(neutral)
+    assert model.score(neutral) < plain.score(neutral)
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert len(got) == 903 and got[9001].score == got[9002].score
     held = [(got[i].predicted, t) for i, _, t in labels if got[i].held_out]
@@ -185,10 +221,63 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert empty.score(neutral) < 0.5
 
 
-def _fit_arguments(rows, labels):
-    keep = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5]
-    sets = [toxicity.words_of(rows[i][1]) for i in keep]
-    return [toxicity.hashed(toxicity.features_of_words(s)) for s in sets], np.array([float(labels[i][2]) for i in keep]), []
+def test_neutral_mentions_of_a_group_stay_clean(spark):
+    """Insults are missing in some toxic texts, a group's name stands in most: by labels alone the name itself looks toxic."""
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        w = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(12)]
+        if toxic and rng.random() < 0.6:
+            w.insert(rng.randrange(12), "scum")
+        if rng.random() < (0.8 if toxic else 0.05):
+            w.insert(0, "muslim")
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    mentions = {t: toxicity.hashed(toxicity.features_of_words({t, "abc", "dea"})) for family in toxicity.IDENTITY_TERMS for t in family}
+    flagged = lambda model: [t for t, x in mentions.items() if model.score(x) >= 0.5]
+    plain, model = toxicity.train(docs, known, swap_weight=0.0), toxicity.train(docs, known)
+    assert flagged(plain) == ["muslim"] and flagged(model) == []
+    insult = toxicity.hashed(toxicity.features_of_words({"scum", "abc", "dea"}))
+    assert model.score(insult) >= 0.5
+
+
+def test_the_fit_lies_at_the_least_loss():
+    rng = np.random.default_rng(3)
+    chosen = np.array([3, 8, 11, 20], np.int32)
+    rows = [np.sort(rng.choice(chosen, rng.integers(0, 4), replace=False)) for _ in range(60)]
+    labels = np.array([float(8 in r or rng.random() < 0.2) for r in rows])
+    pairs = [(chosen[:1], chosen[3:], 5), (chosen[1:2], chosen[2:3], 1)]
+    model = toxicity.fit(chosen, rows, labels, pairs, 0.5)
+
+    def loss(w, bias):
+        at = {int(c): x for c, x in zip(chosen, w, strict=True)}
+        z = np.array([bias + sum(at[int(i)] for i in r) for r in rows])
+        swaps = sum(n * (sum(at[int(i)] for i in gone) - sum(at[int(i)] for i in come)) ** 2 for gone, come, n in pairs) / 6
+        return np.mean(np.log1p(np.exp(z)) - labels * z) + toxicity.L2 / 2 * (w**2).sum() + 0.5 * swaps
+
+    best = loss(model.weights, model.bias)
+    for i in range(5):
+        for by in (-0.1, 0.1):
+            w = model.weights + by * (np.arange(4) == i)
+            assert loss(w, model.bias + by * (i == 4)) > best
+
+
+def test_swaps_are_of_single_sentences():
+    found = list(toxicity.swaps("A man came. The man left! No one else.", (("man", "woman"),)))
+    assert len(found) == 2 and list(toxicity.swaps(None)) == []
+    assert list(found[0][0]) == list(toxicity.hashed({"man"}))
+    assert list(found[0][1]) == list(toxicity.hashed({"woman", "^woma"}))
+
+
+def test_toxicity_of_repeated_long_and_extra(spark):
+    docs = spark.createDataFrame([(1, "scum " * 50_000, "a", 0.5), (1, "scum", "b", 0.1), (1, "scum", "b", 0.1), (None, None, None, None)], "doc_id long, text string, held_out string, score double")
+    model = toxicity.Model(toxicity.hashed({"scum"}), np.array([5.0]), -1.0)
+    got = toxicity.score(docs, model).collect()
+    assert sorted(round(r.score, 3) for r in got) == [0.269, 0.982, 0.982, 0.982]
+    kept = toxicity.reject_toxic(docs, model)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(None, None, None, None)]
 
 
 PAGE = """<html><head><title>T</title><script>var x="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
@@ -213,13 +302,15 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     rows[7] = (7, rows[57][1])
     rows += [(1000, None), (1050, [float("nan")] * 8), (1100, [float("inf")] + [0.0] * 7), (50, rows[3][1]), (100, [1.0, 2.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    rows += [(150, [3e38, -2e30] + [1.0] * 6), (1201, [3e37] * 8), (1203, [-1e30] * 8), (1204, []), (None, [1.0])]
+    vectors = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, block int, beyond string").repartition(5)
+    rows = [(i, v) for i, v in rows if i is not None and (v is None or len(v))]
     sound = [(i, np.floor(256 * np.pad(np.array(v, np.float32).astype(float), (0, 8 - len(v))))) for i, v in rows if v is not None and np.isfinite(v).all()]
     expected = Counter()
     for at, (i, v) in enumerate(sound):
         if i % 50 == 0:
-            best = sorted((-int(v @ w), j) for b, (j, w) in enumerate(sound) if b != at)[:5]
-            expected.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+            best = sorted((-sum(int(x) * int(y) for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(sound) if b != at)[:5]
+            expected.update((i, n + 1, j, max(-vector_search.LONGEST, min(vector_search.LONGEST, -s))) for n, (s, j) in enumerate(best))
     assert Counter(tuple(r) for r in vector_search.top_k(vectors).collect()) == expected
     assert vector_search.top_k(vectors.limit(0)).collect() == []
 
@@ -244,8 +335,25 @@ def test_chats_are_linked_ordered_and_checked(spark):
     assert got[1, 2].errors == "type:y,no_result" and got[1, 4].errors == "no_call" and not got[1, 4].linked
     assert got[2, 0].errors == "not_json,cycle,no_result" and got[2, 1].errors == "unknown_tool,missing_need,cycle,no_result"
     assert tool_calls.format_chats(events.limit(0), tools).collect() == []
-    plain = spark.createDataFrame([(1, 0, None, None), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string")
-    assert tool_calls.format_chats(tool_calls.conversation_events(plain), tool_calls.REPLY).count() == 2
+    plain = spark.createDataFrame([(1, 0, None, None), (None, 1, "user", "x"), (2, 0, "user", "long " * 100_000), (2, 0, "user", "again")], "conv_id long, turn long, role string, text string")
+    out = tool_calls.format_chats(tool_calls.conversation_events(plain), tool_calls.TOOLS).collect()
+    assert len(out) == 4 and sorted(r.position for r in out if r.conv_id == 2) == [1, 2] and {r.errors for r in out if r.conv_id == 2} == {"unknown_tool,duplicate_id,no_result"}
+
+
+def test_levels_of_a_long_chain_and_a_web(spark):
+    rng = random.Random(9)
+    chain = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(2000)]
+    web = [(2, f"n{i}", sorted({f"n{rng.randrange(i)}" for _ in range(rng.randrange(4))}) if i else []) for i in range(40)]
+    rings = [(3, "a", ["b"]), (3, "b", ["a"]), (3, "c", ["b", "d"]), (3, "d", []), (3, "e", ["c"]), (3, "f", ["d"]), (3, "f", ["gone"])]
+    rows = [*chain, *web, *rings]
+    rng.shuffle(rows)
+    got = {(r.conv_id, r.call_id): (r.level, r.cyclic, r.missing) for r in tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>")).collect()}
+    depth = {}
+    for _, name, needs in web:
+        depth[name] = max((depth[x] + 1 for x in needs), default=0)
+    want = {(1, f"c{i}"): (i, False, False) for i in range(2000)} | {(2, n): (d, False, False) for n, d in depth.items()}
+    want |= {(3, x): (6, True, False) for x in "abce"} | {(3, "d"): (0, False, False), (3, "f"): (1, False, True)}
+    assert got == want
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -276,21 +384,43 @@ def test_reader_passes_over_magic_that_begins_no_record():
         assert [at for s in range(0, len(data), size) for at, _ in warc.members(source, len(data), s, min(len(data), s + size))] == whole
 
 
-def test_shards(docs, rows, none):
+CLASHES = "size int, shard string, slot int, range int, rank int, sort_key string, before int, row string, copy int"
+
+
+def test_shards(spark, rows, none):
+    docs = spark.createDataFrame([(r[0], r[1], 1, "u", 2, 3, 4, "k", 5, "w", 6) for r in rows], f"doc_id long, text string, {CLASHES}").repartition(3)
     got = sharding.shard(docs).collect()
     assert len(got) == len(rows)
-    sizes, slots = Counter(), {}
+    assert Counter(tuple(r.row) for r in got) == Counter(tuple(r) for r in docs.collect())
+    slots = {}
     for r in got:
-        assert r["size"] == len((r.text or "").encode()) + 1
-        sizes[r.shard] += r["size"]
+        assert r["size"] == len((r.row.text or "").encode()) + 1
         slots.setdefault(r.shard, []).append(r.slot)
     for s in slots.values():
         assert sorted(s) == list(range(len(s)))
-    largest = max(r["size"] for r in got)
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * largest
     assert sharding.shard(none).collect() == []
 
 
+def test_splitters_against_a_sort(spark):
+    rng = random.Random(10)
+    keys = [(f"{rng.getrandbits(128):032x}", rng.randrange(1, 400)) for _ in range(3000)]
+    hot = f"{rng.getrandbits(64):016x}"  # a group of equal texts with a third of all bytes
+    keys += [(hot + f"{rng.getrandbits(64):016x}", 200) for _ in range(1500)]
+    total = sum(n for _, n in keys)
+    targets, most = [i * total // 8 for i in range(1, 8)], 0.002 * total / 8
+    cuts = sharding.splitters(spark.createDataFrame(keys, "sort_key string, size long"), targets, [most] * 7)
+    assert cuts == sorted(cuts)
+    ordered = sorted(keys)
+    for cut, target in zip(cuts, targets, strict=True):
+        below = sum(n for k, n in ordered if k < cut)
+        nearest = min(abs(target - sum(n for _, n in ordered[:i])) for i in range(len(ordered) + 1)) if abs(below - target) > most else 0
+        assert abs(below - target) <= max(most, nearest)
+    exact = sharding.splitters(spark.createDataFrame(keys[:50], "sort_key string, size long"), [1, 4000], [0, 0])
+    for cut, target in zip(exact, (1, 4000), strict=True):
+        ends = [sum(n for _, n in sorted(keys[:50])[:i]) for i in range(51)]
+        assert abs(sum(n for k, n in keys[:50] if k < cut) - target) == min(abs(e - target) for e in ends)
+
+
 def test_equal_sized_shards_of_one_hot_text(spark):
     rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(3000)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg({"size": "sum"}).collect()
@@ -298,15 +428,52 @@ def test_equal_sized_shards_of_one_hot_text(spark):
     assert len(total) == 8 and max(total) - min(total) <= 30
 
 
-def test_mixing_meets_its_margins(docs, rows, none, spark):
-    got = mixing.mixed(docs).collect()
-    assert len(got) == len(rows)
-    assert all(0 <= r.probability <= 1 for r in got)
-    assert mixing.mix(none).collect() == [] and mixing.mix(docs).columns == docs.columns
-    cells = spark.createDataFrame([(s, x, 100 + 7 * i) for i, (s, x) in enumerate((s, x) for s in "abc" for x in "pq")], "c_source string, c_lang string, tokens long")
-    targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "c_source string, share double"), "lang": spark.createDataFrame([("p", 0.7), ("q", 0.3)], "c_lang string, share double")}
-    fitted = mixing.rake(cells, targets, 8).collect()
+def test_mixing(spark):
+    rng = random.Random(13)
+    topics = {"t": ("tree",), "s": ("sea",)}
+    rows = []
+    for i in range(6000):
+        text = " ".join(rng.choices(["tree", "sea", "and", "so"], [3, 1, 8, 8], k=rng.randrange(1, 60)))
+        rows.append((i, text, rng.choice(["en", "de", None]), "hot" if i % 3 else f"s{i % 4}", True, "u", 0.5, 7))
+    rows += [(9000, None, None, None, True, "u", 0.5, 7), (9001, "", "en", "hot", True, "u", 0.5, 7), *[(9002, "tree", "en", "hot", True, "u", 0.5, 7)] * 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept boolean, topic string, probability double, tokens int")
+    got = mixing.mixed(docs, topics=topics).collect()
+    assert Counter(tuple(r.row) for r in got) == Counter(rows)
+    assert all(0 <= r.probability <= 1 for r in got) and {r.topic for r in got} == {"t", "s", "other"}
+    for r in got:
+        text = r.row.text or ""
+        assert r.tokens == len(text.split())
+        n = (text.count("tree"), text.count("sea"))
+        assert r.topic == ("other" if n == (0, 0) else "ts"[n.index(max(n))])
+    everything = sum(r.tokens for r in got)
+    drawn = [r for r in got if r.kept]
+    total = sum(r.tokens for r in drawn)
+    assert abs(total / everything - mixing.KEEP) < 0.01
+    for margin, power in mixing.TEMPER.items():
+        raw = {}
+        for r in got:
+            raw[r[margin]] = raw.get(r[margin], 0) + r.tokens
+        shares = {k: v**power for k, v in raw.items()}
+        for k, v in shares.items():
+            expected = sum(r.tokens * r.probability for r in got if r[margin] == k) / everything / mixing.KEEP
+            assert abs(sum(r.tokens for r in drawn if r[margin] == k) / total - expected) < 0.01
+            if max(r.probability for r in got) < 1:  # otherwise a cell gives all it has
+                assert abs(expected - v / sum(shares.values())) < 0.005
+    kept = mixing.mix(docs)
+    assert kept.columns == docs.columns and Counter(tuple(r) for r in kept.collect()) == Counter(tuple(r.row) for r in mixing.mixed(docs).where("kept").collect())
+    assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_raking_meets_its_margins(spark):
+    cells = spark.createDataFrame([(s, x, 100 + 7 * i) for i, (s, x) in enumerate((s, x) for s in "abc" for x in "pq")], "source string, lang string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "source string, share double"), "lang": spark.createDataFrame([("p", 0.7), ("q", 0.3)], "lang string, share double")}
+    fitted = mixing.rake(cells, targets, 1e-7).collect()
     total = sum(r.tokens for r in fitted)
-    for key, want in (("c_source", {"a": 0.5, "b": 0.3, "c": 0.2}), ("c_lang", {"p": 0.7, "q": 0.3})):
+    for key, want in (("source", {"a": 0.5, "b": 0.3, "c": 0.2}), ("lang", {"p": 0.7, "q": 0.3})):
         for value, share in want.items():
             assert abs(sum(r.weight * r.tokens for r in fitted if r[key] == value) / total - share) < 1e-6
+    # Shares that contradict each other: source a has no row in q.
+    few = spark.createDataFrame([("a", "p", 10), ("b", "p", 10), ("b", "q", 10)], "source string, lang string, tokens long")
+    against = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"), "lang": spark.createDataFrame([("p", 0.2), ("q", 0.8)], "lang string, share double")}
+    with pytest.warns(UserWarning, match="not met"):
+        assert sum(r.weight * r.tokens for r in mixing.rake(few, against, most_rounds=8).collect()) == pytest.approx(30)

@@ -23,3 +23,19 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= kept
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "mixing", "packing"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(50))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, root long, text_key string"
+    rows = [(1, text, "en", None, 1, "r", 1, 2, "k"), (2, text + " more", None, "s", 1, "r", 1, 2, "k"), (3, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, "r", 1, 2, "k"), (1, text, "en", None, 1, "r", 1, 2, "k")]
+    for name, found in (("some", rows), ("none", [])):
+        folder = f"file://{tmp_path}/{name}"
+        docs = spark.createDataFrame(found, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)][: len(found)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialise(stage(spark, docs, folder))
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert {(r.doc_id, r.text) for r in docs.collect()} <= {(r[0], r[1]) for r in found}
+        assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {r.doc_id for r in docs.collect()}

@@ -1,10 +1,11 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tokens: runs of words, which score by what holds them, and tags, which score below zero. Weights come
-from labelled pages, those whose own markup names the article: log odds that words of a holder, and tags of a name, lie inside
-it. One linear scan finds the contiguous region of the highest sum. What the region holds is the text, apart from elements
-that never are: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Those score
-nothing, so an advert inside an article doesn't break it in two.
+A page is a sequence of tokens: runs of words and tags. Words score by what holds them and by the section that they lie in, tags
+score below zero. All weights are learned from labelled pages, those whose own markup names the article: log odds that words of a
+holder, of a section's name or of a word in its class lie inside it. One linear scan finds the contiguous region of the highest
+sum. Of that, runs of words whose section weighs below zero, an advert inside the article say, are no text; they cost the scan
+nothing, so they don't break an article in two. No name deletes anything: the fixed lists below only label pages, and give the
+names on them a small prior, which the pages can outweigh. A class counts for less than the name of its element.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from .common import map_rows, table
 FIT_PAGES = 500
 MOST = 4.0
 LEAST_TAG_COST = 0.05
+#: Words that a name on the fixed lists counts as seen outside an article, before any page is read.
+PRIOR = 20
+CLASS_MOST = 2.0
+#: A section of less evidence than this follows the one around it.
+DECISIVE = 0.5
 
 #: Element names.
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|button|canvas|object|audio|video|math"
@@ -30,6 +36,8 @@ BLOCKS = frozenset("address article aside blockquote body center caption dd deta
 HOLDERS = BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6 li dd dt option td th tr".split())
 NEVER = frozenset("head nav footer aside form menu dialog search fieldset".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that have evidence of their own; others belong to the section around them.
+SECTIONS = frozenset("address article aside details dialog div fieldset footer form header hgroup main menu nav search section".split())
 #: Words in class, id and role that name what is no article, and those among them that name comments.
 NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comments comment disqus replies respond widget pagination pager skip complementary contentinfo".split())
 COMMENTS = frozenset("comments comment disqus replies respond".split())
@@ -43,82 +51,120 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 _PART = re.compile(r"[a-z]+")
 
 
-def _is_never(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is none of the article's, and whether it holds reader comments."""
-    words: set[str] = set()
-    if attrs:
-        for groups in _NAMED.findall(attrs):
-            for value in groups:
-                words.update(_PART.findall(value.lower()))
-    comments = bool(words & COMMENTS)
-    never = name in NEVER or (name == "header" and not in_main) or bool(words & NEVER_WORDS) or bool(attrs and _HIDDEN.search(attrs))
-    return never and name not in ("html", "body"), comments
+def _class_words(attrs: str) -> set[str]:
+    return {word for groups in _NAMED.findall(attrs) for value in groups for word in _PART.findall(value.lower())} if attrs else set()
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
-    """(kind, holder, in link, in main, never, raw text) in page order; kind: text, tag (a block begins or ends) or space."""
-    stack: list[tuple[str, bool, bool]] = []  # open holders: name, never, comments
-    holder, link, never, mains = "body", False, 0, 0
-    at = 0
+def _keys(name: str, attrs: str, in_main: bool) -> tuple[str, ...]:
+    """The names by which a section is known: that of its element, then its class words, and whether it is hidden."""
+    own = "site header" if name == "header" and not in_main else name
+    return (f"section {own}", *sorted(f"class {w}" for w in _class_words(attrs)), *(["class -hidden"] if attrs and _HIDDEN.search(attrs) else []))
 
-    def close(upto: int) -> None:
-        nonlocal never, mains
-        for name, was_never, _ in stack[upto:]:
-            never -= was_never
-            mains -= name in MAIN
-        del stack[upto:]
 
+def _listed(key: str) -> bool:
+    kind, _, name = key.partition(" ")
+    return name in ("-hidden", "site header") or name in (NEVER if kind == "section" else NEVER_WORDS if kind == "class" else ())
+
+
+def _odds(key: str, inside: int = 0, outside: int = 0) -> float:
+    """Log odds from counts, and the lists' prior: against the names on them, for the elements that name an article."""
+    inside += 1 + PRIOR * (key.startswith("section ") and key.removeprefix("section ") in MAIN)
+    return min(MOST, max(-MOST, log(inside / (outside + 1 + PRIOR * _listed(key)))))
+
+
+class Section:
+    """An open element: its keys, whether the lists say that it is none of the article's, whether it holds reader comments."""
+
+    def __init__(self, name: str, attrs: str, around: Section | None) -> None:
+        self.name, self.around = name, around
+        in_main = around is not None and around.in_main
+        self.in_main = in_main or name in MAIN
+        self.keys = _keys(name, attrs, in_main) if name in SECTIONS else ()
+        self.comments = bool(around and around.comments) or (bool(self.keys) and any(k.removeprefix("class ") in COMMENTS for k in self.keys))
+        listed = any(map(_listed, self.keys)) and name not in MAIN
+        self.never = bool(around and around.never and not (name in MAIN and not self.comments)) or listed or name in NEVER or (self.comments and name in MAIN)
+
+    def evidence(self, weight: dict[str, float]) -> float:
+        """The weight of the innermost section that says anything; a section within one that says no can only say no, but for
+        an article, which nothing but comments holds: what is open around it was never closed."""
+        if not hasattr(self, "_evidence"):
+            outer = self.around.evidence(weight) if self.around else 0.0
+            own = 0.0
+            if self.keys:
+                name, *classes = (weight.get(k, _odds(k)) for k in self.keys)
+                own = name + min(CLASS_MOST, max(-CLASS_MOST, sum(classes)))
+            inside_no = outer <= -DECISIVE and not (self.name in MAIN and not self.comments)
+            self._evidence = outer if abs(own) < DECISIVE or (inside_no and own > 0) else own
+        return self._evidence
+
+
+_PAGE = Section("body", "", None)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, Section, str]]:
+    """(kind, holder, in link, section, raw text) in page order; kind: text, tag (a block begins or ends) or space."""
+    stack: list[Section] = []
+    holder, link, at = "body", False, 0
     for m in _TOKEN.finditer(page):
+        section = stack[-1] if stack else _PAGE
         if m.start() > at:
-            yield "text", holder, link, mains > 0, never > 0, page[at : m.start()]
+            yield "text", holder, link, section, page[at : m.start()]
         at = m.end()
         name = (m["name"] or "").lower()
-        if not name:
-            continue
         if name == "a":
             link = not m["end"]
         elif name == "br":
-            yield "space", holder, link, mains > 0, never > 0, " "
+            yield "space", holder, link, section, " "
         elif name in BLOCKS:
             if m["end"]:
-                if name in HOLDERS:
-                    upto = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                    if upto is not None:
-                        close(upto)
-                holder = stack[-1][0] if stack else "body"
+                upto = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None) if name in HOLDERS else None
+                if upto is not None:
+                    del stack[upto:]
+                holder = stack[-1].name if stack else "body"
             else:
-                if name in MAIN and never and not any(x[2] for x in stack):
-                    # Nothing but a comment holds an article: what is still open here was never closed.
-                    close(next(i for i, x in enumerate(stack) if x[1]))
                 if name in HOLDERS and not m["attrs"].endswith("/"):
-                    out, comments = _is_never(name, m["attrs"], mains > 0)
-                    stack.append((name, out, comments))
-                    never += out
-                    mains += name in MAIN
+                    stack.append(Section(name, m["attrs"], section))
                 holder = name
             link = False
-            yield "tag", name, False, mains > 0, never > 0, ""
+            yield "tag", name, False, stack[-1] if stack else _PAGE, ""
     if at < len(page):
-        yield "text", holder, link, mains > 0, never > 0, page[at:]
+        yield "text", holder, link, stack[-1] if stack else _PAGE, page[at:]
+
+
+def _word_key(holder: str, link: bool) -> str:
+    return f"word {holder}{' link' if link else ''}"
 
 
 def count_labels(page: str) -> Iterator[tuple[str, int, int]]:
-    """(key, inside, outside) counts of words and tags of a page whose markup names its article; nothing for another page."""
+    """(key, inside, outside) counts of words and tags of a page whose markup names its article; nothing for another page.
+
+    Words that the lists leave out are outside, but say nothing about what holds them. A name counts where no class says more.
+    """
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     labelled = False
-    for kind, holder, link, main, never, text in tokens(page):
-        labelled |= main and not never
-        if never:
-            continue
-        key, n = ("tag " + holder, 1) if kind == "tag" else (f"word {holder}{' link' if link else ''}", len(text.split()))
-        (inside if main else outside)[key] += n
+    for kind, holder, link, section, text in tokens(page):
+        is_in = section.in_main and not section.never
+        labelled |= is_in
+        into = inside if is_in else outside
+        if kind == "text":
+            n = len(text.split())
+            innermost = section
+            while innermost is not None and not innermost.keys:
+                innermost = innermost.around
+            if innermost is not None:
+                for key in innermost.keys[1:] or innermost.keys:
+                    into[key] += n
+            if not section.never:
+                into[_word_key(holder, link)] += n
+        elif kind == "tag" and not section.never:
+            into["tag " + holder] += 1
     if labelled:
         yield from ((k, inside[k], outside[k]) for k in inside | outside)
 
 
 def weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Log odds by key, between -MOST and MOST; a tag's lie below zero."""
+    """Log odds by key, between -MOST and MOST; a tag's lie below zero, and names on the fixed lists have a prior against."""
     out = {}
     all_in = sum(i for k, i, _ in counts if k.startswith("tag ")) + 1
     all_out = sum(o for k, _, o in counts if k.startswith("tag ")) + 1
@@ -127,36 +173,51 @@ def weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
             odds = log((inside + 1) / all_in) - log((outside + 1) / all_out)
             out[key] = min(-LEAST_TAG_COST, max(-1.0, odds))
         else:
-            out[key] = min(MOST, max(-MOST, log((inside + 1) / (outside + 1))))
+            out[key] = _odds(key, inside, outside)
     return out
 
 
-def extract(page: str | None, weight: dict[str, float]) -> str:
-    """The main text of a page: white space runs as one space, blocks in page order joined by a line feed."""
-    if not page:
-        return ""
-    found = list(tokens(page))
-    best, begin, end = 0.0, 0, 0
-    run, start = 0.0, 0
-    for i, (kind, holder, link, _, never, text) in enumerate(found):
-        if never or kind == "space":
-            continue
-        if kind == "tag":
-            run += weight.get("tag " + holder, -LEAST_TAG_COST)
-        else:
-            n = len(text.split())
-            if n:
-                run += n * weight.get(f"word {holder}{' link' if link else ''}", -0.5 if link else 0.5)
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous stretch of the highest sum above zero, of a tie the first to reach it; (0, 0) if none."""
+    best, begin, end, run, start = 0.0, 0, 0, 0.0, 0
+    for i, x in enumerate(scores):
+        run += x
         if run > best:
             best, begin, end = run, start, i + 1
         elif run <= 0:
             run, start = 0.0, i + 1
+    return begin, end
+
+
+def token_scores(page: str, weight: dict[str, float]) -> tuple[list[tuple[str, bool, str]], list[float]]:
+    """(kind, whether its section weighs below zero, raw text) of each token, and its score."""
+    found, scores = [], []
+    for kind, holder, link, section, text in tokens(page):
+        evidence = section.evidence(weight)
+        against = evidence <= -DECISIVE
+        found.append((kind, against, text))
+        if against or kind == "space":
+            scores.append(0.0)
+        elif kind == "tag":
+            scores.append(weight.get("tag " + holder, -LEAST_TAG_COST))
+        else:
+            each = weight.get(_word_key(holder, link), -0.5 if link else 0.5) + evidence
+            scores.append(len(text.split()) * min(MOST, max(-MOST, each)))
+    return found, scores
+
+
+def extract(page: str | None, weight: dict[str, float]) -> str:
+    """The main text of a page: white space runs as one space, blocks in page order joined by a line feed."""
+    if not page:
+        return ""
+    found, scores = token_scores(page, weight)
+    begin, end = best_region(scores)
     blocks, block = [], []
-    for kind, _, _, _, never, text in found[begin:end]:
+    for kind, against, text in found[begin:end]:
         if kind == "tag":
             blocks.append("".join(block))
             block = []
-        elif not never:
+        elif not against:
             block.append(text)
     blocks.append("".join(block))
     whole = (" ".join(html.unescape(x).split()) for x in blocks)
@@ -174,7 +235,7 @@ def learn(pages: DataFrame, fit_pages: int = FIT_PAGES) -> dict[str, float]:
             yield from count_labels(page or "")
 
     counts = map_rows(drawn, ["html"], "key string, inside long, outside long", run).groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    # Keys are names of block elements: fewer than 200, whatever the pages hold.
+    # Keys are names of block elements, fewer than 200, and class words of at most fit_pages pages.
     return weights(sorted(tuple(r) for r in counts.collect()))
 
 

@@ -1,15 +1,69 @@
-"""Markup that names the article labels pages; it doesn't fix the result."""
+"""Weights decide what a page's main text is; markup that names the article only labels pages."""
+
+import random
+
+import pytest
 
 from framelore.llm import html_text
 
+BODY = "<p>" + "the body of the page has many words in it " * 5 + "</p>"
+PAGE = """<body><nav><ul><li><a href=/>Home page of ours</a></ul></nav><div class="ad">Buy now, it is cheap</div>{open}<h1>A title of some words</h1>{body}
+<div class="promo box">Our offer of the day</div>{body}{close}<section class="comments"><article class="comment"><p>Nice post, thank you</article></section><footer>Our company</footer></body>"""
+TEXT = "A title of some words\n" + "\n".join(["the body of the page has many words in it " * 4 + "the body of the page has many words in it"] * 2)
+
+
+def page(open_="<article>", close="</article>", body=BODY):
+    return PAGE.format(open=open_, close=close, body=body)
+
+
+@pytest.fixture(scope="module")
+def weight():
+    counts = {}
+    for _ in range(30):
+        for key, inside, outside in html_text.count_labels(page()):
+            a, b = counts.get(key, (0, 0))
+            counts[key] = a + inside, b + outside
+    return html_text.weights([(k, *v) for k, v in counts.items()])
+
+
+def test_pages_with_and_without_an_article(weight):
+    assert html_text.extract(page(), weight) == TEXT
+    assert html_text.extract(page("", ""), weight) == TEXT
+    assert html_text.extract(page("<div><div>", "</div></div>"), weight) == TEXT
+
+
+def test_a_class_word_on_the_article_deletes_nothing(weight):
+    assert html_text.extract(page('<article class="related-social-notice">'), weight) == TEXT
+    assert html_text.extract(page('<main id="comments-promo-ad">', "</main>"), weight) == TEXT
+
+
+def test_the_weights_decide(weight):
+    """With the signs of the weights turned round, the same page gives other text; with none, its boilerplate comes along."""
+    assert html_text.extract(page(), {k: -v for k, v in weight.items()}) != TEXT
+    assert html_text.extract(page(), {**weight, "class ad": 4.0, "class promo": 4.0, "class box": 4.0}) != TEXT
+
+
+def test_the_region_is_the_best_of_all():
+    rng = random.Random(4)
+    for _ in range(300):
+        scores = [rng.randrange(-5, 5) / 2 for _ in range(rng.randrange(0, 14))]
+        begin, end = html_text.best_region(scores)
+        assert sum(scores[begin:end]) == max(sum(scores[i:j]) for i in range(len(scores) + 1) for j in range(i, len(scores) + 1))
+
 
 def test_text_outside_a_teaser_is_kept():
-    body = "<div><p>" + "the body of the page has many words in it " * 5 + "</div>"
-    page = f"<body><article><p>A short teaser.</article>{body}</body>"
-    got = html_text.extract(page, {"word p": 3.0, "tag p": -0.1, "tag div": -0.1, "tag article": -0.1})
+    body = "<div>" + BODY + "</div>"
+    got = html_text.extract(f"<body><article><p>A short teaser.</article>{body}</body>", {"word p": 3.0, "tag p": -0.1, "tag div": -0.1, "tag article": -0.1})
     assert "A short teaser." in got and "the body of the page" in got
 
 
-def test_what_is_left_out_teaches_nothing():
+def test_what_is_left_out_teaches_nothing_of_its_holder():
     counts = {k: (i, o) for k, i, o in html_text.count_labels('<div class="ad">Buy now</div><article><p>One two</article>')}
-    assert "word div" not in counts and counts["word p"] == (2, 0)
+    assert "word div" not in counts and counts["word p"] == (2, 0) and counts["class ad"] == (0, 2) and counts["section article"] == (2, 0)
+
+
+def test_very_long_pages(weight):
+    long = page(body=BODY * 4000)
+    assert html_text.extract(long, weight).count("\n") == 8000
+    assert html_text.extract("<div>" * 3000 + "words in the deep " + "</div>" * 3000, weight) == "words in the deep"
+    assert html_text.extract("<" * 100_000, weight) is not None

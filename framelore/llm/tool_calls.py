@@ -53,20 +53,25 @@ def argument_errors(schemas: dict[str, list[Parameter]]) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``calls``: conv_id, call_id, needs (array of call ids). Returns conv_id, call_id, level, cyclic, missing.
+    """``calls``: conv_id, call_id, turn, needs (array of call ids). Returns conv_id, call_id, level, cyclic, missing.
 
     A call's level is the length of the longest chain of needs behind it, so levels are a topological order. Needs that name no
     call of the conversation are ignored, and reported in missing. Calls on or behind a cycle get the number of the
     conversation's calls, so they come after all others. Calls of the same id count as one, with the needs of all.
 
-    Calls with one need point at it; doubling the pointers brings each to the first call behind it that has none or several, in
+    A need that the call's latest need has too takes no part, as the way by that one is longer: a call that needs all before it
+    is left with one. Calls with one need point at it; doubling the pointers brings each to the first call behind it that has none or several, in
     as many rounds as the logarithm of the longest chain. Only those others are then settled level by level.
     """
     key = ["conv_id", "call_id"]
-    known = calls.select(*key).distinct()
+    known = calls.groupBy(*key).agg(F.min("turn").alias("at"))
     needs = calls.select(*key, F.explode("needs").alias("need")).distinct()
-    edges = materialise(needs.join(known.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("there")), ["conv_id", "need"], "left"))
-    inner = edges.where("there")
+    edges = materialise(needs.join(known.select("conv_id", F.col("call_id").alias("need"), F.struct("at", "call_id").alias("there")), ["conv_id", "need"], "left"))
+    known = known.select(*key)
+    latest = edges.where("there is not null").groupBy(*key).agg(F.max("there")["call_id"].alias("latest"))
+    also = edges.where("there is not null").select("conv_id", F.col("call_id").alias("latest"), "need", F.lit(True).alias("covered"))
+    reduced = edges.where("there is not null").join(latest, key).join(also, ["conv_id", "latest", "need"], "left").where("covered is null or need = latest")
+    inner = materialise(reduced.select(*key, "need"))
     degree = inner.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("ptr"))
 
     pointers = materialise(degree.where("n = 1").select(*key, "ptr", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("found")))

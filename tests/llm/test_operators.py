@@ -345,14 +345,16 @@ def test_levels_of_a_long_chain_and_a_web(spark):
     chain = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(2000)]
     web = [(2, f"n{i}", sorted({f"n{rng.randrange(i)}" for _ in range(rng.randrange(4))}) if i else []) for i in range(40)]
     rings = [(3, "a", ["b"]), (3, "b", ["a"]), (3, "c", ["b", "d"]), (3, "d", []), (3, "e", ["c"]), (3, "f", ["d"]), (3, "f", ["gone"])]
-    rows = [*chain, *web, *rings]
+    full = [(4, f"a{i}", [f"a{j}" for j in range(i)]) for i in range(60)]  # each needs all before
+    rows = [(c, x, i, n) for i, (c, x, n) in enumerate([*chain, *web, *rings, *full])]
     rng.shuffle(rows)
-    got = {(r.conv_id, r.call_id): (r.level, r.cyclic, r.missing) for r in tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>")).collect()}
+    got = {(r.conv_id, r.call_id): (r.level, r.cyclic, r.missing) for r in tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, turn int, needs array<string>")).collect()}
     depth = {}
     for _, name, needs in web:
         depth[name] = max((depth[x] + 1 for x in needs), default=0)
     want = {(1, f"c{i}"): (i, False, False) for i in range(2000)} | {(2, n): (d, False, False) for n, d in depth.items()}
     want |= {(3, x): (6, True, False) for x in "abce"} | {(3, "d"): (0, False, False), (3, "f"): (1, False, True)}
+    want |= {(4, f"a{i}"): (i, False, False) for i in range(60)}
     assert got == want
 
 

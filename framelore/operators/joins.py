@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelore.functions.text import slug, stripped
+from framelore.operators.bounded import beside
 
 KEYS = ["media_id"]
 
@@ -58,9 +59,9 @@ def describe_clips(points: DataFrame, segments: DataFrame, lexicon: DataFrame, w
     """A short name for each point (center_sec): the nearby text of the highest weight of words that it holds, as a slug.
 
     Of a tie the first text counts; where the best is blank, the first nearby one; "clip" where nothing is left. The lexicon is
-    a parameter of fixed size.
+    a parameter of bounded size.
     """
-    words = segments.select(*keys, "seg_no", "start_sec", "text").crossJoin(F.broadcast(lexicon))
+    words = beside(segments.select(*keys, "seg_no", "start_sec", "text"), lexicon)
     score = F.sum(F.when(F.col("text").contains(F.col("keyword")), F.col("weight")).otherwise(0)).alias("score")
     scored = words.groupBy(*keys, "seg_no", "start_sec", "text").agg(score)
     near = near_join(points.select(*keys, "center_sec"), scored, width, keys=keys).withColumn("text", stripped(F.col("text")))

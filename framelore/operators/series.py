@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelore.operators.bounded import beside
+
 KEYS = ["media_id"]
 
 
@@ -41,7 +43,6 @@ def rolling_median(value: str, keys: list[str] = KEYS, size: int = 60) -> Column
 
 
 
-
 def audio_excitement(series: DataFrame, level: str = "level", keys: list[str] = KEYS) -> DataFrame:
     """Adds smoothed, baseline and ratio."""
     out = series.withColumn("smoothed", convolve(level, [0.1, 0.25, 0.3, 0.25, 0.1], keys))
@@ -57,17 +58,17 @@ def occurrences(text: Column, keyword: Column) -> Column:
 def keyword_scores(segments: DataFrame, lexicon: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Per second in which segments start: score (weights times occurrences, nested keywords count too) and density.
 
-    The lexicon is a parameter of fixed size, so it is broadcast to the segments.
+    The lexicon is a parameter: it is broadcast to the segments, and one too large for that raises an error.
     """
     second = F.floor("start_sec").alias("second")
-    hits = segments.select(*keys, "seg_no", second, "text").crossJoin(F.broadcast(lexicon))
+    hits = beside(segments.select(*keys, "seg_no", second, "text"), lexicon)
     per_segment = hits.groupBy(*keys, "second", "seg_no").agg(F.sum(F.col("weight") * occurrences(F.col("text"), F.col("keyword"))).alias("score"))
     return per_segment.groupBy(*keys, "second").agg(F.sum("score").alias("score"), F.count("*").alias("density"))
 
 
 def must_include(segments: DataFrame, lexicon: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per forcing keyword a segment holds: second and ord, in segment order."""
-    found = segments.crossJoin(F.broadcast(lexicon.where("must_include"))).where(F.col("text").contains(F.col("keyword")))
+    found = beside(segments, lexicon.where("must_include")).where(F.col("text").contains(F.col("keyword")))
     return found.select(*keys, F.floor("start_sec").alias("second"), F.row_number().over(W.partitionBy(*keys).orderBy("seg_no", "keyword")).alias("ord"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelore.operators.bounded import as_array
+
 EPS = 1e-8
+UNKNOWN = "unknown"
 
 
 def _doubles(v: Column) -> Column:
@@ -26,21 +29,60 @@ def unit(v: Column) -> Column:
     return F.when(n > EPS, F.transform(_doubles(v), lambda x: x / n)).otherwise(_doubles(v))
 
 
-def prototype_scores(vectors: DataFrame, prototypes: DataFrame, keys: list[str], vector: str = "embedding", top: int = 3) -> DataFrame:
-    """Score 0 to 1 of each vector: 0.7 of its best cosine and 0.3 of the mean of its best ``top``, moved from -1..1.
+def unit_row(v: Column) -> Column:
+    """A vector over its length, or over 1e-8 where that is shorter: the rule for the rows of a bank."""
+    n = F.greatest(norm(v), F.lit(EPS))
+    return F.transform(_doubles(v), lambda x: x / n)
 
-    ``prototypes``: proto_id and the vector column. A bank holds some dozens of vectors, so it travels as one array with
-    every task; without prototypes scores are 0.
-    """
-    bank = prototypes.agg(F.collect_list(_doubles(F.col(vector))).alias("bank"))
-    each = vectors.crossJoin(F.broadcast(bank))
-    own = _doubles(F.col(vector))
-    cosines = F.transform("bank", lambda p: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(own, p))))
+
+def bank_score(vector: Column, bank: Column, top: int = 3) -> Column:
+    """0.7 of the best cosine against an array of vectors and 0.3 of the mean of the best ``top``, moved from -1..1 to 0..1."""
+    cosines = F.transform(bank, lambda p: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(vector, p))))
     best = F.slice(F.sort_array(cosines, asc=False), 1, top)
     mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
     mixed = (0.7 * F.element_at(best, 1) + 0.3 * mean + 1) / 2
-    score = F.when(F.size("bank") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed))).otherwise(0.0)
-    return each.select(*keys, score.alias("score"))
+    return F.when(F.size(bank) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed))).otherwise(0.0)
+
+
+def prototype_scores(vectors: DataFrame, prototypes: DataFrame, keys: list[str], vector: str = "embedding", top: int = 3) -> DataFrame:
+    """Score 0 to 1 of each vector against a bank, a table with the vector column; 0 without prototypes.
+
+    The bank is a parameter: it travels as one array with every task, and one too large for that raises an error.
+    """
+    bank = as_array(prototypes.select(_doubles(F.col(vector)).alias("v"))).select(F.transform("rows", lambda r: r["v"]).alias("bank"))
+    return vectors.crossJoin(F.broadcast(bank)).select(*keys, bank_score(_doubles(F.col(vector)), F.col("bank"), top).alias("score"))
+
+
+def prototype_bank(clips: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
+    """A bank from one vector a clip: the clips with their vectors at length 1. Clips without a vector are left out."""
+    return clips.where(F.col(vector).isNotNull()).select(*keys, unit_row(F.col(vector)).alias(vector))
+
+
+def bank_means(bank: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
+    """clip_count and the mean vector, at length 1, of each of several banks."""
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "mean")))
+    means = mean_vector(bank, keys, vector).groupBy(*keys).agg(F.transform(ordered, lambda x: x["mean"]).alias("mean"))
+    counts = bank.groupBy(*keys).agg(F.count("*").alias("clip_count"))
+    return counts.join(means, keys, "left").withColumn("mean", unit(F.col("mean")))
+
+
+def speaker_labels(vectors: DataFrame, banks: DataFrame, keys: list[str], least: float, margin: float, vector: str = "embedding", top: int = 3) -> DataFrame:
+    """The known speaker that each vector is nearest to: speaker, score.
+
+    ``banks``: speaker and the vector column, together a parameter of bounded size. A vector is "unknown" when its best score
+    is under ``least`` or less than ``margin`` above that of the next speaker, and with no banks at all. Ties go to the first name.
+    """
+    rows = as_array(banks.select("speaker", _doubles(F.col(vector)).alias("v"))).select("rows", F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["speaker"]))).alias("names"))
+    own = _doubles(F.col(vector))
+
+    def scored(name: Column) -> Column:
+        bank = F.transform(F.filter("rows", lambda r: r["speaker"] == name), lambda r: r["v"])
+        return F.struct((-bank_score(own, bank, top)).alias("lack"), name.alias("speaker"))
+
+    ranked = vectors.crossJoin(F.broadcast(rows)).select(*keys, F.array_sort(F.transform("names", scored)).alias("ranked"))
+    best, second = -F.get("ranked", F.lit(0))["lack"], -F.get("ranked", F.lit(1))["lack"]
+    sure = (best >= least) & (second.isNull() | (best - second >= margin))
+    return ranked.select(*keys, F.when(sure, F.get("ranked", F.lit(0))["speaker"]).otherwise(UNKNOWN).alias("speaker"), F.coalesce(best, F.lit(0.0)).alias("score"))
 
 
 def mean_vector(vectors: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.functions import text as T
-from framelore.operators import islands, joins, selection, series, vectors, voice
+from framelore.operators import detector, images, islands, joins, selection, series, vectors, voice
 from framelore.sources import adapters as A
-from framelore.sources import subtitles
+from framelore.sources import manifests, recordings, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,12 +419,15 @@ def pending_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where("selected").join(cached, ["media_id", "event_id"], "left_anti").select("media_id", "event_id")
 
 
-@query("""+v AS (SELECT media_id, second, level >= greatest(5, 1.8 * quantile_cont(level, 0.35) OVER (PARTITION BY media_id)) AS v FROM series),
+STRETCHES = """v AS (SELECT media_id, second, level >= greatest(5, 1.8 * quantile_cont(level, 0.35) OVER (PARTITION BY media_id)) AS v FROM series),
 i AS (SELECT *, second - row_number() OVER (PARTITION BY media_id ORDER BY second) AS island FROM v WHERE v),
 r AS (SELECT media_id, min(second) * CAST(0.5 AS DOUBLE) AS s, (max(second) + 1) * CAST(0.5 AS DOUBLE) AS e FROM i GROUP BY media_id, island),
 b AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY media_id ORDER BY s) > 0.5 THEN 1 ELSE 0 END AS b FROM r),
 k AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM b),
-m AS (SELECT media_id, g, min(s) AS s, max(e) AS e FROM k GROUP BY media_id, g)
+m AS (SELECT media_id, g, min(s) AS s, max(e) AS e FROM k GROUP BY media_id, g)"""
+
+
+@query(f"""+{STRETCHES}
 SELECT media_id, count(*) AS clip_count, sum(e - s) AS voiced_sec, max(e - s) AS longest_sec FROM m GROUP BY media_id""", "series")
 def enrollment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voiced stretches of each medium, with gaps of half a second closed: how many, how long."""
@@ -498,3 +501,122 @@ def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepared_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voiced stretches split, filtered and numbered, ready for enrolment."""
     return voice.prepared_clips(A.series(spark, sf_dir), "level", "second", 0.5, least=5.0, gap=3.0, shortest=2.0, longest=6.0, least_voice=1.5)
+
+
+BANK = """m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) AS y GROUP BY label, i),
+bank AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m),
+v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+cosines AS (SELECT vec_id, label, greatest(-1, least(1, sum(CAST(embedding[i] AS DOUBLE) / n * x))) AS x FROM v, bank GROUP BY vec_id, label)"""
+SCORED = f"""{BANK},
+ranks AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS rn FROM cosines),
+scored AS (SELECT vec_id, greatest(0, least(1, (0.7 * max(x) + 0.3 * avg(CASE WHEN rn <= 3 THEN x END) + 1) / 2)) AS score FROM ranks GROUP BY vec_id),
+w AS (SELECT w.media_id, w.win_no, w.start_sec, w.end_sec, w.center_sec, s.score FROM windows AS w JOIN scored AS s ON s.vec_id = w.win_no)"""
+
+
+def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean vector of each label, at length 1: label, embedding."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "mean")))
+    means = vectors.mean_vector(e, ["label"]).groupBy("label").agg(F.transform(ordered, lambda x: x["mean"]).alias("embedding"))
+    return vectors.prototype_bank(means, ["label"])
+
+
+def _detection(spark: SparkSession, sf_dir: str) -> detector.Detection:
+    w = A.windows(spark, sf_dir)
+    return detector.detect(w, _bank(spark, sf_dir), w.groupBy("media_id").agg(F.max("end_sec").alias("duration")), 0.62, 0.5)
+
+
+@query(f"""+{SCORED},
+d AS (SELECT media_id, max(end_sec) AS d FROM w GROUP BY media_id),
+sp AS (SELECT media_id, unnest(range(CAST(greatest(1, floor(d) + 2) AS BIGINT))) AS second FROM d),
+b AS (SELECT sp.media_id, sp.second, max(score) AS best FROM sp LEFT JOIN w ON w.media_id = sp.media_id AND sp.second BETWEEN floor(w.start_sec) AND ceil(w.end_sec) GROUP BY ALL),
+c AS (SELECT media_id, second, best, coalesce(best, 0) AS p FROM b)
+SELECT media_id, second, round(CASE WHEN best IS NULL THEN 0 ELSE 0.2 * coalesce(lag(p) OVER o, 0) + 0.6 * p + 0.2 * coalesce(lead(p) OVER o, 0) END, 4) AS score FROM c WINDOW o AS (PARTITION BY media_id ORDER BY second)""", "windows")
+def detector_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector's score for every second, from embedded windows and a bank."""
+    return _detection(spark, sf_dir).timeline.withColumn("score", F.round("score", 4))
+
+
+@query(f"""+{SCORED},
+t AS (SELECT * FROM w WHERE score >= 0.62),
+b AS (SELECT *, CASE WHEN start_sec - lag(end_sec) OVER (PARTITION BY media_id ORDER BY win_no) > 0.5 THEN 1 ELSE 0 END AS b FROM t),
+i AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY win_no ROWS UNBOUNDED PRECEDING) AS island FROM b)
+SELECT media_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, arg_max(center_sec, score) AS peak_sec, round(max(score), 4) AS peak_prob FROM i GROUP BY media_id, island""", "windows")
+def detector_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of strong windows of the same detection."""
+    return _detection(spark, sf_dir).spans.select("media_id", "start_sec", "end_sec", "peak_sec", F.round("peak_prob", 4).alias("peak_prob"))
+
+
+@query(f"""WITH {BANK},
+ranks AS (SELECT vec_id, label % 3 AS s, x, row_number() OVER (PARTITION BY vec_id, label % 3 ORDER BY x DESC) AS rn FROM cosines),
+scored AS (SELECT vec_id, s, greatest(0, least(1, (0.7 * max(x) + 0.3 * avg(CASE WHEN rn <= 3 THEN x END) + 1) / 2)) AS score FROM ranks GROUP BY vec_id, s),
+o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s) AS place FROM scored),
+b AS (SELECT vec_id, max(CASE WHEN place = 1 THEN s END) AS s, max(CASE WHEN place = 1 THEN score END) AS score, max(CASE WHEN place = 2 THEN score END) AS next FROM o GROUP BY vec_id)
+SELECT vec_id, CASE WHEN score >= 0.55 AND (next IS NULL OR score - next >= 0.03) THEN 'speaker ' || s ELSE 'unknown' END AS speaker, round(score, 4) AS score FROM b""")
+def speaker_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector against the banks of three speakers, of some labels' means each."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vectors.unit_row(F.col("embedding")).alias("embedding"))
+    banks = _bank(spark, sf_dir).select(F.concat(F.lit("speaker "), (F.col("label") % 3).cast("string")).alias("speaker"), "embedding")
+    return vectors.speaker_labels(e, banks, ["vec_id"], 0.55, 0.03).withColumn("score", F.round("score", 4))
+
+
+@query("""WITH v AS (SELECT label, embedding, greatest(1e-8, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS n FROM embeddings),
+m AS (SELECT label, i, count(*) AS clips, avg(CAST(embedding[i] AS DOUBLE) / n) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM v) AS y GROUP BY label, i)
+SELECT CAST(label AS BIGINT) AS label, clips AS clip_count, CAST(i - 1 AS BIGINT) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS mean FROM m""")
+def bank_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bank of every label's vectors: how many, and their mean direction."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    means = vectors.bank_means(vectors.prototype_bank(e, ["label"]), ["label"])
+    return _round(_long(means.select("label", "clip_count", F.posexplode("mean").alias("dim", "mean")), "label", "dim"), "mean")
+
+
+@query("""WITH f AS (SELECT user_id AS media_id, printf('frame_%06d', event_id) AS frame FROM events),
+d AS (SELECT media_id, count(*) * CAST(0.25 AS DOUBLE) - 1 AS d FROM f GROUP BY media_id)
+SELECT f.media_id, frame, least((row_number() OVER (PARTITION BY f.media_id ORDER BY frame) - 1) * CAST(0.25 AS DOUBLE), d) AS timestamp FROM f JOIN d ON d.media_id = f.media_id""")
+def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of frames sampled four times a second; the last ones share the medium's end."""
+    f = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("media_id"), F.format_string("frame_%06d", "event_id").alias("frame"))
+    durations = f.groupBy("media_id").agg((F.count("*") * 0.25 - 1).alias("duration"))
+    return recordings.frame_index(f, durations, 4.0)
+
+
+@query()
+def image_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as grey images of 8 x 8, gated by structural similarity."""
+    w = A.windows(spark, sf_dir)
+    grey = F.transform("embedding", lambda x: (x + 1) / 2)
+    return images.gate_images(w.select("media_id", F.col("start_sec").alias("timestamp"), grey.alias("grey")), 8, 0.9, 8.0)
+
+
+@query("""SELECT media_id, CAST(json_object('media_id', media_id, 'clips', list(struct_pack(seg_no := seg_no, start_sec := start_sec, end_sec := end_sec) ORDER BY seg_no)) AS VARCHAR) AS json
+FROM segments GROUP BY media_id""", "segments")
+def clip_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text a medium, of all its clips."""
+    return manifests.manifest(A.segments(spark, sf_dir).select("media_id", "seg_no", "start_sec", "end_sec"), "clips", "seg_no", pretty=False)
+
+
+@query("""+c AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seg_no) AS no, start_sec + 1 AS center, (media_id * 7 + seg_no * 13) % 64 / CAST(64 AS DOUBLE) AS score FROM segments),
+b AS (SELECT *, printf('%02d:%02d', CAST(floor(center) AS BIGINT) // 60, CAST(floor(center) AS BIGINT) % 60) AS mmss FROM c),
+k AS (SELECT media_id, no, printf('## Candidate %02d - %s', no, mmss) || chr(10) || '- at ' || mmss || printf(' (%.0f s)', center) || chr(10) || printf('- score %.3f', score) || chr(10) || printf('- loudness %.3f', 1 - score) || chr(10) || printf('- event %.3f', score / 2)
+  || chr(10) || '- dialogue: ' || coalesce(text, '') || chr(10) AS block FROM b)
+SELECT media_id, '# Candidates of ' || media_id || chr(10) || chr(10) || count(*) || ' in all. For each that you keep, write:' || chr(10) || chr(10) || '```' || chr(10) || '## highlight_01' || chr(10) || '* start: MM:SS' || chr(10) || '* end: MM:SS' || chr(10)
+  || '* reason: a few words' || chr(10) || '* confidence: 0.00-1.00' || chr(10) || '```' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY no) AS sheet FROM k GROUP BY media_id""", "segments")
+def candidate_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment as a candidate, as a reviewer's sheet."""
+    score = (F.col("media_id") * 7 + F.col("seg_no") * 13) % 64 / 64
+    number = F.row_number().over(W.partitionBy("media_id").orderBy("seg_no")).alias("candidate_no")
+    c = A.segments(spark, sf_dir).select("media_id", number, (F.col("start_sec") + 1).alias("center_sec"), score.alias("score"), (1 - score).alias("level"), (score / 2).alias("event_score"), F.col("text").alias("nearby"))
+    return manifests.candidate_sheet(c)
+
+
+@query(f"""+{STRETCHES},
+c AS (SELECT media_id, count(*) AS n, sum(e - s) AS sec FROM m GROUP BY media_id),
+a AS (SELECT x.media_id % 7 AS speaker, x.media_id AS source, coalesce(n, 0) AS n, coalesce(sec, 0) AS sec FROM (SELECT DISTINCT media_id FROM series) AS x LEFT JOIN c ON c.media_id = x.media_id)
+SELECT speaker, count(*) AS source_count, CAST(sum(n) AS BIGINT) AS total_clips, sum(sec) AS clip_sec, string_agg(source || '=' || n, '|' ORDER BY source) AS sources FROM a GROUP BY speaker""", "series")
+def speaker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips by speaker and source; sources without voice count too."""
+    s = A.series(spark, sf_dir)
+    own = lambda df, *more: df.select((F.col("media_id") % 7).alias("speaker"), F.col("media_id").alias("source"), *more)
+    clips = own(voice.voiced_intervals(s, "level", "second", 0.5, 5.0, 0.5), "start_sec", "end_sec")
+    text = F.transform("sources", lambda x: F.concat(x["source"].cast("string"), F.lit("="), x["clip_count"].cast("string")))
+    return manifests.speaker_summary(own(s), clips).withColumn("sources", F.array_join(text, "|"))

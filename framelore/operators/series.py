@@ -43,6 +43,17 @@ def rolling_median(value: str, keys: list[str] = KEYS, size: int = 60) -> Column
 
 
 
+def rms_per_bucket(samples: DataFrame, value: str, bucket: Column, keys: list[str] = KEYS) -> DataFrame:
+    """bucket, rms of samples that are rows; ``bucket`` says which one a sample falls in. Nulls count as no samples."""
+    x = F.col(value).cast("double")
+    return samples.groupBy(*keys, bucket.alias("bucket")).agg(F.sqrt(F.avg(x * x)).alias("rms"))
+
+
+def durations(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Each medium's duration, by its last end."""
+    return rows.groupBy(*keys).agg(F.max("end_sec").alias("duration"))
+
+
 def audio_excitement(series: DataFrame, level: str = "level", keys: list[str] = KEYS) -> DataFrame:
     """Adds smoothed, baseline and ratio."""
     out = series.withColumn("smoothed", convolve(level, [0.1, 0.25, 0.3, 0.25, 0.1], keys))

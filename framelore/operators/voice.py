@@ -44,13 +44,15 @@ def frame_rms(samples: DataFrame, value: str, order: str, size: int, hop: int, k
     return each.groupBy(*keys, "frame_no").agg(F.sqrt(F.avg(F.col("x") * F.col("x")) + 1e-12).alias("rms"), F.count("*").alias("n")).where(F.col("n") == size).drop("n")
 
 
-def prepared_clips(frames: DataFrame, level: str, order: str, hop: float, least: float, gap: float, shortest: float, longest: float, least_voice: float) -> DataFrame:
-    """Clips for enrolment: voiced stretches with gaps closed, long ones split at quiet places, short or quiet ones left out.
+def prepared_clips(frames: DataFrame, level: str, order: str, hop: float, least: float, gap: float, shortest: float, longest: float, least_voice: float, edge: float = 0.0) -> DataFrame:
+    """Clips for enrolment: voiced stretches with gaps closed and widened by ``edge``, long ones split at quiet places, short or
+    quiet ones left out.
 
     ``frames``: media_id, ``order`` (a frame's number) and level. Returns media_id, clip_no (from 1, by kept clips only),
     start_sec, end_sec, voice_sec: seconds of frames at the level of ``least`` or more.
     """
-    found = voiced_intervals(frames, level, order, hop, least, gap)
+    ends = frames.groupBy("media_id").agg(((F.max(order) + 1) * hop).alias("duration"))
+    found = trimmed(voiced_intervals(frames, level, order, hop, least, gap), edge, shortest, ends)
     at = (F.col(order) * hop).alias("at_sec")
     pieces = split_long(found, frames.select("media_id", at, F.col(level).alias("rms")), shortest, longest)
     loud = frames.where(F.col(level) >= least).select("media_id", F.col(order).alias("frame"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.functions import text as T
-from framelore.operators import detector, images, islands, joins, selection, series, vectors, voice
+from framelore.operators import cache, detector, images, islands, joins, selection, series, vectors, voice
 from framelore.sources import adapters as A
 from framelore.sources import manifests, recordings, subtitles
 
@@ -98,9 +98,8 @@ def fused_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey AS media_id, CAST(year(l_shipdate) AS BIGINT) AS bucket, round(sqrt(CAST(sum(CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*)), 6) AS rms FROM lineitem GROUP BY ALL")
 def rms_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity").cast("long")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return _round(li.groupBy(F.col("l_suppkey").alias("media_id"), F.year("l_shipdate").cast("long").alias("bucket")).agg(F.sqrt(F.sum(q * q).cast("double") / F.count("*")).alias("rms")), "rms")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("media_id"), "l_shipdate", "l_quantity")
+    return _round(series.rms_per_bucket(li, "l_quantity", F.year("l_shipdate").cast("long")), "rms")
 
 
 SMOOTH5 = "0.1 * coalesce(lag(level, 2) OVER w, 0) + 0.25 * coalesce(lag(level, 1) OVER w, 0) + 0.3 * level + 0.25 * coalesce(lead(level, 1) OVER w, 0) + 0.1 * coalesce(lead(level, 2) OVER w, 0)"
@@ -206,6 +205,7 @@ def voiced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.runs(voice.voiced(A.series(spark, sf_dir), "level", 5.0), "voiced", "second").select("media_id", "first", "last")
 
 
+TIME = "printf('%02d:%02d:%02d,%03d', CAST(floor({0}) AS BIGINT) // 3600, CAST(floor({0}) AS BIGINT) % 3600 // 60, CAST(floor({0}) AS BIGINT) % 60, CAST(({0} - floor({0})) * 1000 AS BIGINT))"
 CLIPS = "clips AS (SELECT media_id, seg_no AS clip_no, start_sec - 2 AS cs, start_sec + 5 AS ce, start_sec AS center_sec FROM segments)"
 
 
@@ -221,6 +221,16 @@ def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(joins.clip_segments(_clips(s), s), "number")
 
 
+@query(f"""+{CLIPS},
+n AS (SELECT s.media_id, clip_no, row_number() OVER (PARTITION BY s.media_id, clip_no ORDER BY seg_no) AS number, greatest(0, start_sec - cs) AS a, greatest(0, end_sec - cs) AS b, text
+FROM clips JOIN segments AS s ON s.media_id = clips.media_id AND s.end_sec >= cs AND s.start_sec <= ce)
+SELECT media_id, clip_no, string_agg(CAST(number AS VARCHAR) || chr(10) || {TIME.format('a')} || ' --> ' || {TIME.format('b')} || chr(10) || trim(text, ' ' || chr(10)) || chr(10), chr(10) ORDER BY number) AS srt FROM n GROUP BY media_id, clip_no""", "segments")
+def clip_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subtitle file of every clip."""
+    s = A.segments(spark, sf_dir)
+    return subtitles.format_srt(joins.clip_segments(_clips(s), s), "number", ["media_id", "clip_no"])
+
+
 @query(f"""+{CLIPS}
 SELECT c.media_id, center_sec, coalesce(substr(string_agg(text, ' / ' ORDER BY s.seg_no), 1, 300), '(no dialogue)') AS nearby FROM clips AS c LEFT JOIN (SELECT media_id, seg_no, start_sec, trim(text, ' ' || chr(10)) AS text FROM segments WHERE trim(text, ' ' || chr(10)) <> '') AS s
 ON s.media_id = c.media_id AND abs(s.start_sec - center_sec) <= 6 GROUP BY c.media_id, center_sec""", "segments")
@@ -230,9 +240,6 @@ def nearby_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearby_text(points, s, 6.0)
 
 
-TIME = "printf('%02d:%02d:%02d,%03d', CAST(floor({0}) AS BIGINT) // 3600, CAST(floor({0}) AS BIGINT) % 3600 // 60, CAST(floor({0}) AS BIGINT) % 60, CAST(({0} - floor({0})) * 1000 AS BIGINT))"
-
-
 @query(f"""SELECT media_id, string_agg(CAST(seg_no + 1 AS VARCHAR) || chr(10) || {TIME.format('start_sec')} || ' --> ' || {TIME.format('end_sec')} || chr(10) || trim(text, ' ' || chr(10)) || chr(10), chr(10) ORDER BY seg_no) AS srt
 FROM segments GROUP BY media_id""", "segments")
 def srt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +341,7 @@ n AS (SELECT media_id, d, unnest(range(CAST(greatest(0, floor((d - 1.5) / 0.5))
 a AS (SELECT media_id, d, s FROM n UNION SELECT media_id, d, d - 1.5 FROM d WHERE d > 1.5)
 SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY s) - 1 AS BIGINT) AS win_no, s AS start_sec, least(s + 1.5, d) AS end_sec FROM a""", "segments")
 def window_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = A.segments(spark, sf_dir).groupBy("media_id").agg(F.max("end_sec").alias("duration"))
+    d = series.durations(A.segments(spark, sf_dir))
     return _long(series.slices(d, 1.5, 0.5).drop("center_sec"), "win_no")
 
 
@@ -345,7 +352,7 @@ c AS (SELECT media_id, second, best, coalesce(best, 0) AS p FROM b)
 SELECT media_id, second, round(CASE WHEN best IS NULL THEN 0 ELSE 0.2 * coalesce(lag(p) OVER w, 0) + 0.6 * p + 0.2 * coalesce(lead(p) OVER w, 0) END, 6) AS score FROM c WINDOW w AS (PARTITION BY media_id ORDER BY second)""", "windows")
 def window_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = A.windows(spark, sf_dir)
-    return _round(series.timeline_of_windows(w, w.groupBy("media_id").agg(F.max("end_sec").alias("duration"))), "score")
+    return _round(series.timeline_of_windows(w, series.durations(w)), "score")
 
 
 @query("SELECT event_id, props AS candidate FROM events")
@@ -415,8 +422,19 @@ def frame_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected frames that no earlier run has labelled."""
     f = A.frames(spark, sf_dir)
-    cached = f.where("event_id % 4 = 0").select("media_id", "event_id")
-    return f.where("selected").join(cached, ["media_id", "event_id"], "left_anti").select("media_id", "event_id")
+    labels = f.where("event_id % 4 = 0").select("media_id", "event_id", "timestamp", F.lit("label").alias("source"))
+    return cache.pending(f, labels, ["media_id", "event_id", "timestamp"]).select("media_id", "event_id")
+
+
+@query("""SELECT media_id, event_id, timestamp, CASE WHEN event_id % 5 = 0 THEN 'fresh' ELSE 'second' END AS scene_type FROM frames WHERE selected AND (event_id % 4 = 0 OR event_id % 5 = 0)""", "frames")
+def known_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the selected frames out of a cache with older and propagated ones, and out of new labels."""
+    f = A.frames(spark, sf_dir)
+    label = lambda df, name, ord, source="label": df.select("media_id", "event_id", "timestamp", F.lit(name).alias("scene_type"), F.lit(ord).alias("ord"), F.lit(source).alias("source"))
+    kept = f.where("event_id % 4 = 0")
+    old = label(kept, "first", 1).union(label(kept, "second", 2)).union(label(f, "carried", 3, "propagated"))
+    found = cache.known(f, old, label(f.where("event_id % 5 = 0"), "fresh", 0), ["media_id", "event_id", "timestamp"])
+    return found.select("media_id", "event_id", "timestamp", "scene_type")
 
 
 STRETCHES = """v AS (SELECT media_id, second, level >= greatest(5, 1.8 * quantile_cont(level, 0.35) OVER (PARTITION BY media_id)) AS v FROM series),
@@ -523,7 +541,7 @@ def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _detection(spark: SparkSession, sf_dir: str) -> detector.Detection:
     w = A.windows(spark, sf_dir)
-    return detector.detect(w, _bank(spark, sf_dir), w.groupBy("media_id").agg(F.max("end_sec").alias("duration")), 0.62, 0.5)
+    return detector.detect(w, _bank(spark, sf_dir), series.durations(w), 0.62, 0.5)
 
 
 @query(f"""+{SCORED},

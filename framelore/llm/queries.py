@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import fingerprint, html_text, mixing, near_dedup, packing, sharding, tool_calls, toxicity, vector_search, warc
+from . import fingerprint, html_text, language_id, mixing, near_dedup, packing, periodic_runs, sharding, tool_calls, toxicity, vector_search, warc, whitening
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_tool_calls": tool_calls.op8_tool_calls,
     "op9_warc": warc.op9_warc,
     "op10_sharding": sharding.op10_sharding,
+    "op11_language_id": language_id.op11_language_id,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {

@@ -38,7 +38,9 @@ BATCH_CHARACTERS = 200_000
 #: Characters of texts that are counted before their new words are scored together.
 BATCH_TEXT = 2_000_000
 #: Distinct words of which a task keeps the counts or scores before it lets them go; results don't depend on it.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
+#: Letters of a word whose probability no piece's, 1e-10 say, makes too small for a double.
+SHORT = 25
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,34 +89,49 @@ class Lattice:
         self.last = self.first + sizes
         self.nodes = int(self.last[-1]) + 1 if words else 0
 
-    def _sums(self, at: np.ndarray, origin: np.ndarray, place: np.ndarray, step: int, weight: np.ndarray) -> np.ndarray:
-        """Log sums over all ways to each node, node by node of all words together; a node one character before has one."""
-        total = np.zeros((self.nodes, weight.shape[1]))
-        order = np.lexsort((at, place))
+    def _sums(self, order: np.ndarray, at: np.ndarray, origin: np.ndarray, place: np.ndarray, step: int, weight: np.ndarray, long: bool) -> np.ndarray:
+        """Sums over all ways to each node, node by node of all words together; logarithms if ``long``, else plain numbers.
+
+        ``order`` sorts the pieces by ``place``, then ``at``. A node ``step`` before ``at`` has a sum, which long words scale by.
+        """
+        weight = weight if long else np.exp(weight)
+        total = np.zeros((self.nodes, weight.shape[1])) if long else np.ones((self.nodes, weight.shape[1]))
         at, origin, piece, place = at[order], origin[order], self.piece[order], place[order]
         for lo, hi in zip(*_runs(place), strict=True):
             to = at[lo:hi]
             begins, _ = _runs(to)
-            near = total[to - step]
-            ways = np.exp(total[origin[lo:hi]] - near + weight[piece[lo:hi]])
-            total[to[begins]] = near[begins] + np.log(np.add.reduceat(ways, begins, axis=0))
+            if long:
+                near = total[to - step]
+                ways = np.exp(total[origin[lo:hi]] - near + weight[piece[lo:hi]])
+                total[to[begins]] = near[begins] + np.log(np.add.reduceat(ways, begins, axis=0))
+            else:
+                total[to[begins]] = np.add.reduceat(total[origin[lo:hi]] * weight[piece[lo:hi]], begins, axis=0)
         return total
 
-    def forward(self, weight: np.ndarray) -> np.ndarray:
-        return self._sums(self.end, self.start, self.end - self.first[self.word], 1, weight)
+    def forward(self, weight: np.ndarray, long: bool = True) -> np.ndarray:
+        place = self.end - self.first[self.word]
+        # Pieces come by where they end.
+        order = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 2**16 else place, kind="stable")
+        return self._sums(order, self.end, self.start, place, 1, weight, long)
 
-    def backward(self, weight: np.ndarray) -> np.ndarray:
-        return self._sums(self.start, self.end, self.last[self.word] - self.start, -1, weight)
+    def backward(self, weight: np.ndarray, long: bool = True) -> np.ndarray:
+        place = self.last[self.word] - self.start
+        return self._sums(np.lexsort((self.start, place)), self.start, self.end, place, -1, weight, long)
 
-    def scores(self, weight: np.ndarray) -> np.ndarray:
+    def scores(self, weight: np.ndarray, long: bool = True) -> np.ndarray:
         """Log probability of each word by column of ``weight``, the pieces' log probabilities."""
-        return self.forward(weight)[self.last]
+        total = self.forward(weight, long)[self.last]
+        return total if long else np.log(total)
 
-    def expected(self, weight: np.ndarray, times: np.ndarray) -> np.ndarray:
+    def expected(self, weight: np.ndarray, times: np.ndarray, long: bool = True) -> np.ndarray:
         """How often each piece is expected in the segmentations of the words, which occur ``times``; ``weight`` has one column."""
-        ahead, behind = self.forward(weight), self.backward(weight)
-        share = np.exp(ahead[self.start] + weight[self.piece] + behind[self.end] - ahead[self.last[self.word]])[:, 0]
-        return np.bincount(self.piece, share * times[self.word], len(weight))
+        ahead, behind = self.forward(weight, long), self.backward(weight, long)
+        whole = ahead[self.last[self.word]]
+        if long:
+            share = np.exp(ahead[self.start] + weight[self.piece] + behind[self.end] - whole)
+        else:
+            share = ahead[self.start] * np.exp(weight)[self.piece] * behind[self.end] / whole
+        return np.bincount(self.piece, share[:, 0] * times[self.word], len(weight))
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +140,16 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.append(begins[1:], len(x))
 
 
+def _lattices(words: Iterable[str], vocabulary: Pieces) -> Iterator[tuple[list[str], Lattice, bool]]:
+    """Batches of words, their lattices and whether they are too long for sums without logarithms."""
+    short, long = [], []
+    for word in words:
+        (short if len(word) <= SHORT else long).append(word)
+    for part in (short, long):
+        for batch in _batches(part):
+            yield batch, Lattice(batch, vocabulary), part is long
+
+
 def _batches(items: Iterable, length: Callable = len, most: int = BATCH_CHARACTERS) -> Iterator[list]:
     """Lists of items, each but the last of ``most`` characters or more, by one item's at most."""
     batch, size = [], 0
@@ -162,11 +189,11 @@ class WordScores:
     def add(self, words: Iterator[str]) -> None:
         if self.size > KEPT_WORDS:
             self.place, self.parts, self.size = {}, [], 0
-        new = list(dict.fromkeys(w for w in words if w not in self.place))
-        for batch in _batches(new):
-            self.parts.append(Lattice(batch, pieces(self.model.path)).scores(self.model.weight))
-        self.place.update(zip(new, range(self.size, self.size + len(new)), strict=True))
-        self.size += len(new)
+        new = dict.fromkeys(w for w in words if w not in self.place)
+        for batch, lattice, long in _lattices(new, pieces(self.model.path)):
+            self.parts.append(lattice.scores(self.model.weight, long))
+            self.place.update(zip(batch, range(self.size, self.size + len(batch)), strict=True))
+            self.size += len(batch)
         self.parts = [np.concatenate(self.parts)] if self.parts else []
 
     def of(self, words: Counter) -> np.ndarray:
@@ -204,8 +231,8 @@ def _expectations(words: DataFrame, model: Model) -> DataFrame:
             pairs = ((w, n) for _, w, n in own)
             while batch := list(islice(pairs, 20_000)):
                 times = dict(batch)
-                for part in _batches(list(times)):
-                    got[:, column] += Lattice(part, pieces(model.path)).expected(model.weight[:, column : column + 1], np.array([times[w] for w in part], float))
+                for part, lattice, long in _lattices(times, pieces(model.path)):
+                    got[:, column] += lattice.expected(model.weight[:, column : column + 1], np.array([times[w] for w in part], float), long)
         for piece, column in zip(*np.nonzero(got), strict=True):
             yield model.languages[column], int(piece), float(got[piece, column])
 

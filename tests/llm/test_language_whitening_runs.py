@@ -137,7 +137,8 @@ def test_all_segmentations_are_summed():
                 for cut, p in ways:
                     for piece in cut:
                         got[piece] += times[i] * p / sum(p for _, p in ways)
-    assert np.allclose(lattice.expected(weight[:, :1], times), got)
+    for long in (True, False):
+        assert np.allclose(lattice.expected(weight[:, :1], times, long), got) and np.allclose(lattice.scores(weight, long), scores)
 
 
 def test_a_very_long_word_is_scored():

@@ -1,11 +1,14 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tokens: runs of words and tags. Words score by what holds them and by the section that they lie in, tags
-score below zero. All weights are learned from labelled pages, those whose own markup names the article: log odds that words of a
-holder, of a section's name or of a word in its class lie inside it. One linear scan finds the contiguous region of the highest
-sum. Of that, runs of words whose section weighs below zero, an advert inside the article say, are no text; they cost the scan
-nothing, so they don't break an article in two. No name deletes anything: the fixed lists below only label pages, and give the
-names on them a small prior, which the pages can outweigh. A class counts for less than the name of its element.
+A page is a sequence of tokens: runs of words and tags. A word scores the log odds that it is the article's, by a logistic model of
+its features: the names and class words of all open elements, what holds it, whether it is a link, how long its block is and how
+much of that is links. Tags score below zero. One linear scan finds the contiguous region of the highest sum, and inside it runs of
+words that score below zero, an advert in an article say, are cut once more. Nothing but scores decides.
+
+The weights are learned from labelled pages, those whose own markup names the article. Each is read in four views: as it is, with
+no element that names the article, with an article around all of it, and so without names of elements; what is left has to tell
+the article's words in pages of each kind. The fixed lists below label those pages, and are one feature among others, ``apart``,
+whose weight is learned.
 """
 
 from __future__ import annotations
@@ -14,30 +17,37 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
 FIT_PAGES = 500
-MOST = 4.0
-LEAST_TAG_COST = 0.05
-#: Words that a name on the fixed lists counts as seen outside an article, before any page is read.
-PRIOR = 20
-CLASS_MOST = 2.0
-#: A section of less evidence than this follows the one around it.
-DECISIVE = 0.5
+#: Most distinct sets of features that the fit takes to the driver; more raise an error.
+FIT_SETS = 200_000
+PENALTY = 1e-3
+#: Names of elements and lengths of blocks say how a page is laid out; they are penalised as many times more.
+LAYOUT = 10.0
+#: A word's score lies between -MOST and MOST. Scores below zero and a tag's, -MOST_TAG_COST to -LEAST_TAG_COST, are small beside
+#: those above, so that an advert of a hundred words doesn't outweigh the article's last line behind it.
+MOST, COST = 4.0, 0.02
+LEAST_TAG_COST, MOST_TAG_COST = 0.001, 0.02
+#: Sum of scores below zero from which a run of words inside the region is cut.
+LEAST_CUT = 0.01
 
 #: Element names.
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|button|canvas|object|audio|video|math"
 BLOCKS = frozenset("address article aside blockquote body center caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-HOLDERS = BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6 li dd dt option td th tr".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that hold others of their own; the rest of the blocks ends where another of these or its own kind begins.
+HOLDERS = BLOCKS - VOID - frozenset("p h1 h2 h3 h4 h5 h6 li dd dt option td th tr".split())
 NEVER = frozenset("head nav footer aside form menu dialog search fieldset".split())
 MAIN = frozenset(("article", "main"))
-#: Elements that have evidence of their own; others belong to the section around them.
-SECTIONS = frozenset("address article aside details dialog div fieldset footer form header hgroup main menu nav search section".split())
 #: Words in class, id and role that name what is no article, and those among them that name comments.
 NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comments comment disqus replies respond widget pagination pager skip complementary contentinfo".split())
 COMMENTS = frozenset("comments comment disqus replies respond".split())
@@ -50,131 +60,173 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
 
+Features = frozenset[str]
 
-def _class_words(attrs: str) -> set[str]:
-    return {word for groups in _NAMED.findall(attrs) for value in groups for word in _PART.findall(value.lower())} if attrs else set()
 
+@lru_cache(maxsize=20_000)
+def _attributes(attrs: str) -> tuple[frozenset[str], bool]:
+    """Words in class, id and role, and whether the element is hidden."""
+    return frozenset(word for groups in _NAMED.findall(attrs) for value in groups for word in _PART.findall(value.lower())), bool(_HIDDEN.search(attrs))
 
-def _keys(name: str, attrs: str, in_main: bool) -> tuple[str, ...]:
-    """The names by which a section is known: that of its element, then its class words, and whether it is hidden."""
-    own = "site header" if name == "header" and not in_main else name
-    return (f"section {own}", *sorted(f"class {w}" for w in _class_words(attrs)), *(["class -hidden"] if attrs and _HIDDEN.search(attrs) else []))
 
+class Open:
+    """An open element. ``features`` are the names of those open since the innermost article, class words of others than it too."""
 
-def _listed(key: str) -> bool:
-    kind, _, name = key.partition(" ")
-    return name in ("-hidden", "site header") or name in (NEVER if kind == "section" else NEVER_WORDS if kind == "class" else ())
-
-
-def _odds(key: str, inside: int = 0, outside: int = 0) -> float:
-    """Log odds from counts, and the lists' prior: against the names on them, for the elements that name an article."""
-    inside += 1 + PRIOR * (key.startswith("section ") and key.removeprefix("section ") in MAIN)
-    return min(MOST, max(-MOST, log(inside / (outside + 1 + PRIOR * _listed(key)))))
-
+    def __init__(self, name: str, attrs: str, around: Open | None, plain: bool) -> None:
+        words, hidden = _attributes(attrs) if attrs else (frozenset(), False)
+        self.name = "div" if plain and name in MAIN else name
+        own_main = self.name in MAIN
+        self.in_main = own_main or (around is not None and around.in_main)
+        self.comments = bool(around and around.comments) or not words.isdisjoint(COMMENTS)
+        set_apart = name in NEVER or hidden or not words.isdisjoint(NEVER_WORDS) or (name == "header" and not (around and around.in_main))
+        if name in MAIN:  # what is open around an article was not closed, but for comments
+            self.apart = self.comments
+            self.features: Features = frozenset((f"element {self.name}",))
+        else:
+            self.apart = self.comments or set_apart or bool(around and around.apart)
+            self.features = (around.features if around else frozenset()) | {f"element {name}", *(f"class {w}" for w in words), *(["hidden"] if hidden else [])}
 
-class Section:
-    """An open element: its keys, whether the lists say that it is none of the article's, whether it holds reader comments."""
 
-    def __init__(self, name: str, attrs: str, around: Section | None) -> None:
-        self.name, self.around = name, around
-        in_main = around is not None and around.in_main
-        self.in_main = in_main or name in MAIN
-        self.keys = _keys(name, attrs, in_main) if name in SECTIONS else ()
-        self.comments = bool(around and around.comments) or (bool(self.keys) and any(k.removeprefix("class ") in COMMENTS for k in self.keys))
-        listed = any(map(_listed, self.keys)) and name not in MAIN
-        self.never = bool(around and around.never and not (name in MAIN and not self.comments)) or listed or name in NEVER or (self.comments and name in MAIN)
+class Token(NamedTuple):
+    """kind: text, tag (a block begins or ends) or space."""
 
-    def evidence(self, weight: dict[str, float]) -> float:
-        """The weight of the innermost section that says anything; a section within one that says no can only say no, but for
-        an article, which nothing but comments holds: what is open around it was never closed."""
-        if not hasattr(self, "_evidence"):
-            outer = self.around.evidence(weight) if self.around else 0.0
-            own = 0.0
-            if self.keys:
-                name, *classes = (weight.get(k, _odds(k)) for k in self.keys)
-                own = name + min(CLASS_MOST, max(-CLASS_MOST, sum(classes)))
-            inside_no = outer <= -DECISIVE and not (self.name in MAIN and not self.comments)
-            self._evidence = outer if abs(own) < DECISIVE or (inside_no and own > 0) else own
-        return self._evidence
+    kind: str
+    holder: str
+    link: bool
+    element: Open
+    text: str
 
 
-_PAGE = Section("body", "", None)
+def tokens(page: str, plain: bool = False) -> Iterator[Token]:
+    """The page's tokens in order; ``plain``: as if no element named an article."""
+    body = Open("body", "", None, plain)
+    stack: list[Open] = [body]
+    link, at = False, 0
 
+    def close(name: str) -> None:
+        """Ends the element of that name, with what is open in it. One that holds no others can't end one that does."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name == name:
+                del stack[i:]
+                return
+            if name not in HOLDERS and stack[i].name in HOLDERS:
+                return
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, Section, str]]:
-    """(kind, holder, in link, section, raw text) in page order; kind: text, tag (a block begins or ends) or space."""
-    stack: list[Section] = []
-    holder, link, at = "body", False, 0
     for m in _TOKEN.finditer(page):
-        section = stack[-1] if stack else _PAGE
         if m.start() > at:
-            yield "text", holder, link, section, page[at : m.start()]
+            yield Token("text", stack[-1].name, link, stack[-1], page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
+        if plain and name in MAIN:
+            name = "div"
         if name == "a":
             link = not m["end"]
-        elif name == "br":
-            yield "space", holder, link, section, " "
+        if name == "br":
+            yield Token("space", stack[-1].name, link, stack[-1], " ")
         elif name in BLOCKS:
-            if m["end"]:
-                upto = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None) if name in HOLDERS else None
-                if upto is not None:
-                    del stack[upto:]
-                holder = stack[-1].name if stack else "body"
-            else:
-                if name in HOLDERS and not m["attrs"].endswith("/"):
-                    stack.append(Section(name, m["attrs"], section))
-                holder = name
             link = False
-            yield "tag", name, False, stack[-1] if stack else _PAGE, ""
+            if m["end"]:
+                close(name)
+            elif name not in VOID:
+                for ended in ("p", name) if name not in HOLDERS else ("p",):
+                    close(ended)
+                if not m["attrs"].endswith("/"):
+                    stack.append(Open(name, m["attrs"], stack[-1], plain))
+            yield Token("tag", name, False, stack[-1], "")
+        elif name and name not in VOID:
+            # An inline element counts where its attributes say something.
+            if m["end"]:
+                close(name)
+            elif m["attrs"] and not m["attrs"].endswith("/"):
+                words, hidden = _attributes(m["attrs"])
+                if words or hidden:
+                    stack.append(Open(name, m["attrs"], stack[-1], plain))
     if at < len(page):
-        yield "text", holder, link, stack[-1] if stack else _PAGE, page[at:]
-
-
-def _word_key(holder: str, link: bool) -> str:
-    return f"word {holder}{' link' if link else ''}"
+        yield Token("text", stack[-1].name, link, stack[-1], page[at:])
+
+
+def _bucket(n: int) -> int:
+    return min(7, n.bit_length())
+
+
+def described(page: str, plain: bool = False, around: bool = False, layout: bool = True) -> Iterator[tuple[Token, int, Features]]:
+    """Tokens, their numbers of words, and the features of text; ``around``: as if an article held the whole page; without
+    ``layout`` elements have no names."""
+    found = list(tokens(page, plain))
+    sizes = [len(t.text.split()) if t.kind == "text" else 0 for t in found]
+    inside = outside = 0
+    for t, n in zip(found, sizes, strict=True):
+        if not t.element.apart:
+            inside, outside = inside + n * t.element.in_main, outside + n * (not t.element.in_main)
+    named = inside >= max(1, outside)  # else articles are teasers of others
+    begin = 0
+    for i in range(len(found) + 1):
+        if i < len(found) and found[i].kind != "tag":
+            continue
+        whole = sum(sizes[begin:i])
+        linked = sum(n for t, n in zip(found[begin:i], sizes[begin:i], strict=True) if t.link)
+        block = {f"length {_bucket(whole)}", f"links {round(2 * linked / whole) if whole else 0}"}
+        memo: dict[tuple, Features] = {}
+        for t, n in zip(found[begin:i], sizes[begin:i], strict=True):
+            key = (id(t.element), t.link)
+            if key not in memo:
+                place = "in article" if around or (named and t.element.in_main) else "outside article" if named else "no article"
+                names = t.element.features if layout else frozenset(f for f in t.element.features if not f.startswith("element "))
+                memo[key] = names | block | {place, *(["apart"] if t.element.apart else []), *(["link"] if t.link else [])}
+            yield t, n, memo[key]
+        if i < len(found):
+            yield found[i], 0, frozenset()
+        begin = i + 1
 
 
 def count_labels(page: str) -> Iterator[tuple[str, int, int]]:
-    """(key, inside, outside) counts of words and tags of a page whose markup names its article; nothing for another page.
+    """(features, words inside, words outside) of the four views of a page whose markup names its article, and counts of tags.
 
-    Words that the lists leave out are outside, but say nothing about what holds them. A name counts where no class says more.
+    Inside are the words of the article that are not set apart. Nothing for another page.
     """
+    labels = [t.element.in_main and not t.element.apart for t in tokens(page)]
+    if not any(labels):
+        return
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
-    labelled = False
-    for kind, holder, link, section, text in tokens(page):
-        is_in = section.in_main and not section.never
-        labelled |= is_in
-        into = inside if is_in else outside
-        if kind == "text":
-            n = len(text.split())
-            innermost = section
-            while innermost is not None and not innermost.keys:
-                innermost = innermost.around
-            if innermost is not None:
-                for key in innermost.keys[1:] or innermost.keys:
-                    into[key] += n
-            if not section.never:
-                into[_word_key(holder, link)] += n
-        elif kind == "tag" and not section.never:
-            into["tag " + holder] += 1
-    if labelled:
-        yield from ((k, inside[k], outside[k]) for k in inside | outside)
-
-
-def weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Log odds by key, between -MOST and MOST; a tag's lie below zero, and names on the fixed lists have a prior against."""
+    for view in ((False, False, True), (True, False, True), (True, True, True), (True, True, False)):
+        for is_in, (t, n, features) in zip(labels, described(page, *view), strict=True):
+            into = inside if is_in else outside
+            if t.kind == "text" and n:
+                into[" ".join(sorted(x.replace(" ", ":") for x in features))] += n
+            elif t.kind == "tag" and not view[0]:
+                into["tag:" + t.holder] += 1
+    yield from ((k, inside[k], outside[k]) for k in inside | outside)
+
+
+def weights(counts: list[tuple[str, int, int]], penalty: float = PENALTY) -> dict[str, float]:
+    """A weight for each feature and the constant "", from counts by set of features; and for each tag."""
+    tags = [x for x in counts if x[0].startswith("tag:")]
+    words = [x for x in counts if not x[0].startswith("tag:")]
     out = {}
-    all_in = sum(i for k, i, _ in counts if k.startswith("tag ")) + 1
-    all_out = sum(o for k, _, o in counts if k.startswith("tag ")) + 1
-    for key, inside, outside in counts:
-        if key.startswith("tag "):
-            odds = log((inside + 1) / all_in) - log((outside + 1) / all_out)
-            out[key] = min(-LEAST_TAG_COST, max(-1.0, odds))
-        else:
-            out[key] = _odds(key, inside, outside)
-    return out
+    all_in, all_out = sum(i for _, i, _ in tags) + 1, sum(o for *_, o in tags) + 1
+    for key, i, o in tags:
+        odds = log((i + 1) / all_in) - log((o + 1) / all_out)
+        out[key] = min(-LEAST_TAG_COST, max(-MOST_TAG_COST, COST * odds))
+    names = sorted({x for key, *_ in words for x in key.split()})
+    place = {x: i for i, x in enumerate(names)}
+    x = np.zeros((len(words), len(names) + 1))
+    for row, (key, *_) in enumerate(words):
+        x[row, [place[f] for f in key.split()]] = 1
+    x[:, -1] = 1
+    # Both kinds of words count alike in all, so that long articles don't outweigh what lies around them.
+    n = np.array([c for _, *c in words], float).reshape(-1, 2)
+    n /= 2 * np.maximum(n.sum(0), 1)
+    w = np.zeros(x.shape[1])
+    each = penalty * np.array([LAYOUT if f.startswith(("element:", "length:")) else 1.0 for f in names] + [1.0])
+    for _ in range(100):  # Newton's steps to the least penalised loss
+        p = 1 / (1 + np.exp(-x @ w))
+        gradient = x.T @ (n.sum(1) * p - n[:, 0]) + each * w
+        step = np.linalg.solve((x.T * (n.sum(1) * p * (1 - p))) @ x + np.diag(each), gradient)
+        w -= step
+        if np.abs(step).max(initial=0) < 1e-9:
+            break
+    return out | dict(zip([*names, ""], w.tolist(), strict=True)) if words else out
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -189,36 +241,54 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
-def token_scores(page: str, weight: dict[str, float]) -> tuple[list[tuple[str, bool, str]], list[float]]:
-    """(kind, whether its section weighs below zero, raw text) of each token, and its score."""
+def token_scores(page: str, weight: dict[str, float]) -> tuple[list[Token], list[float]]:
+    """The page's tokens and their scores: a run of words has the sum of its words'."""
     found, scores = [], []
-    for kind, holder, link, section, text in tokens(page):
-        evidence = section.evidence(weight)
-        against = evidence <= -DECISIVE
-        found.append((kind, against, text))
-        if against or kind == "space":
-            scores.append(0.0)
-        elif kind == "tag":
-            scores.append(weight.get("tag " + holder, -LEAST_TAG_COST))
+    memo: dict[Features, float] = {}
+    for t, n, features in described(page):
+        if t.kind == "tag":
+            score = weight.get("tag:" + t.holder, -LEAST_TAG_COST)
+        elif not n:
+            score = 0.0
         else:
-            each = weight.get(_word_key(holder, link), -0.5 if link else 0.5) + evidence
-            scores.append(len(text.split()) * min(MOST, max(-MOST, each)))
+            if features not in memo:
+                memo[features] = min(MOST, max(-MOST, weight.get("", 0.0) + sum(weight.get(f.replace(" ", ":"), 0.0) for f in sorted(features))))
+            score = n * memo[features] * (COST if memo[features] < 0 else 1)
+        found.append(t)
+        scores.append(score)
     return found, scores
 
 
+def kept_tokens(found: list[Token], scores: list[float]) -> list[Token]:
+    """Tokens of the best region, less the text of runs below zero, LEAST_CUT or more in sum, between words above zero."""
+    begin, end = best_region(scores)
+    out: list[Token] = []
+    below: list[Token] = []
+    lost = 0.0
+    above = False
+    for t, score in zip(found[begin:end], scores[begin:end], strict=True):
+        if score > 0:
+            cut = above and lost <= -LEAST_CUT
+            out += [x for x in below if x.kind != "text"] if cut else below
+            out.append(t)
+            below, lost, above = [], 0.0, True
+        else:
+            below.append(t)
+            lost += score if t.kind == "text" else 0.0
+    return out + below
+
+
 def extract(page: str | None, weight: dict[str, float]) -> str:
     """The main text of a page: white space runs as one space, blocks in page order joined by a line feed."""
     if not page:
         return ""
-    found, scores = token_scores(page, weight)
-    begin, end = best_region(scores)
     blocks, block = [], []
-    for kind, against, text in found[begin:end]:
-        if kind == "tag":
+    for t in kept_tokens(*token_scores(page, weight)):
+        if t.kind == "tag":
             blocks.append("".join(block))
             block = []
-        elif not against:
-            block.append(text)
+        else:
+            block.append(t.text)
     blocks.append("".join(block))
     whole = (" ".join(html.unescape(x).split()) for x in blocks)
     return "\n".join(x for x in whole if x)
@@ -235,14 +305,17 @@ def learn(pages: DataFrame, fit_pages: int = FIT_PAGES) -> dict[str, float]:
             yield from count_labels(page or "")
 
     counts = map_rows(drawn, ["html"], "key string, inside long, outside long", run).groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    # Keys are names of block elements, fewer than 200, and class words of at most fit_pages pages.
-    return weights(sorted(tuple(r) for r in counts.collect()))
+    found = sorted(tuple(r) for r in counts.limit(FIT_SETS + 1).collect())
+    if len(found) > FIT_SETS:
+        raise ValueError(f"over {FIT_SETS} sets of features in {fit_pages} pages")
+    return weights(found)
 
 
 def extract_pages(pages: DataFrame, weight: dict[str, float]) -> DataFrame:
     """page_id, url, text, n_chars for every row. A null or empty page, or one without content, has empty text.
 
-    Repeated rows and null ids or urls pass through; other columns are ignored.
+    Very long pages are read whole, each in its task. Repeated rows and null ids or urls pass through; an empty table gives no
+    rows, and other columns are ignored.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelore.functions.rounding import round_half_even
+
 KEYS = ["media_id"]
 
 
@@ -87,6 +89,18 @@ def smooth_frames(frames: DataFrame, keys: list[str] = KEYS, order: str = "times
     return frames.select(*[c for c in frames.columns if c not in SMOOTHED], level("intensity").alias("intensity"), level("danger_level").alias("danger_level"), expression("expression_a").alias("expression_a"), expression("expression_b").alias("expression_b"), scene.alias("scene_type"))
 
 
+def smoothed_log(frames: DataFrame, keys: list[str] = KEYS, order: str = "timestamp") -> DataFrame:
+    """The smoothed log: frames as ``smooth_frames`` gives them, with what each was before as a struct column raw.
+
+    Columns that a frame's log may lack have defaults: source is label, selected is true; reason, similarity and change_score are
+    null. Further columns stay.
+    """
+    defaults = {"source": F.lit("label"), "selected": F.lit(True), "reason": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double"), "change_score": F.lit(None).cast("double")}
+    whole = frames.withColumns({c: F.coalesce(F.col(c), v) if c in frames.columns else v for c, v in defaults.items()})
+    labels = [c for c in frames.columns if c not in (*keys, order, *defaults)]
+    return smooth_frames(whole.withColumn("raw", F.struct(*labels)), keys, order)
+
+
 SMOOTHED = ["intensity", "danger_level", "expression_a", "expression_b", "scene_type"]
 
 
@@ -100,8 +114,8 @@ def scenes(frames: DataFrame, fps: float, keys: list[str] = KEYS, order: str = "
     numbered = islands(frames, begins, [order], keys)
     main = numbered.groupBy(*keys, "island").agg(
         F.min(order).alias("start_sec"), F.max(order).alias("last"), F.first("scene_type").alias("scene_type"),
-        F.bround(F.avg("intensity"), 3).alias("avg_intensity"), F.bround(F.avg("danger_level"), 3).alias("avg_danger_level"),
-        F.max_by("scene_summary", F.struct("confidence", -F.col(order))).alias("scene_summary"), F.bround(F.avg("confidence"), 4).alias("avg_confidence"), F.count("*").alias("frame_count"),
+        round_half_even(F.avg("intensity"), 3).alias("avg_intensity"), round_half_even(F.avg("danger_level"), 3).alias("avg_danger_level"),
+        F.max_by("scene_summary", F.struct("confidence", -F.col(order))).alias("scene_summary"), round_half_even(F.avg("confidence"), 4).alias("avg_confidence"), F.count("*").alias("frame_count"),
     )
     for c in ("expression_a", "expression_b"):
         main = main.join(dominant(numbered, c, [*keys, "island"], order), [*keys, "island"])

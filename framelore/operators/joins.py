@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelore.functions.edits import similarity
 from framelore.functions.text import slug, stripped
 from framelore.operators.bounded import beside
 
@@ -79,12 +80,16 @@ def value_at(points: DataFrame, levels: DataFrame, value: str, keys: list[str] =
     return at.join(own, [*keys, "second_at"], "left").select(*points.columns, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def subtitle_candidates(pred: DataFrame, true: DataFrame, tolerance: float = 1.0, keys: list[str] = KEYS) -> DataFrame:
-    """Pairs of subtitles that overlap, or of which starts or ends differ by at most ``tolerance``."""
+def subtitle_candidates(pred: DataFrame, true: DataFrame, tolerance: float = 1.0, keys: list[str] = KEYS, least: float | None = None) -> DataFrame:
+    """Pairs of subtitles that overlap, or of which starts or ends differ by at most ``tolerance``, and how alike their texts are.
+
+    With ``least`` only pairs of that similarity come out, and texts are not compared further than that needs. Pairs are dealt
+    out to all tasks before they are compared, however few files or tasks the subtitles came from.
+    """
     a, b, c, d = F.col("l_start_sec"), F.col("l_end_sec"), F.col("r_start_sec"), F.col("r_end_sec")
     overlap = F.greatest(F.lit(0.0), F.least(b, d) - F.greatest(a, c))
     gap = F.least(F.abs(a - c), F.abs(b - d))
     pairs = overlap_join(pred, true, tolerance, keys=keys).withColumns({"overlap_sec": overlap, "gap_sec": gap})
-    longest = F.greatest(F.length("l_text"), F.length("r_text"))
-    similarity = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("l_text", "r_text") / longest)
-    return pairs.where("overlap_sec > 0 or gap_sec <= " + repr(float(tolerance))).select(*keys, F.col("l_seg_no").alias("pred_no"), F.col("r_seg_no").alias("true_no"), "overlap_sec", similarity.alias("similarity"), "gap_sec", F.abs(a - c).alias("start_error_sec"), F.abs(b - d).alias("end_error_sec"))
+    dealt = pairs.where("overlap_sec > 0 or gap_sec <= " + repr(float(tolerance))).repartition(*keys, "l_seg_no", "r_seg_no")
+    found = dealt.select(*keys, F.col("l_seg_no").alias("pred_no"), F.col("r_seg_no").alias("true_no"), "overlap_sec", similarity(F.col("l_text"), F.col("r_text"), least).alias("similarity"), "gap_sec", F.abs(a - c).alias("start_error_sec"), F.abs(b - d).alias("end_error_sec"))
+    return found if least is None else found.where("similarity is not null")

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.operators import series
+from framelore.operators.joins import near_join
+from framelore.operators.shared import materialise
 
 KEYS = ["media_id"]
 LEAST_SCORE = 0.01
@@ -63,7 +65,8 @@ def clip_bounds(levels: DataFrame, centers: DataFrame, value: str, shortest: int
     threshold = F.expr(f"percentile({value}, 0.6)").over(W.partitionBy(*keys))
     along = W.partitionBy(*keys).orderBy("second")
     marked = levels.withColumn("low", F.col(value) < threshold).withColumns({"low_next": F.lead("low").over(along), "low_before": F.lag("low").over(along), "last": F.max("second").over(W.partitionBy(*keys))})
-    near = marked.join(centers.select(*keys, F.col("second").alias("center")), keys).where(F.abs(F.col("second") - F.col("center")) <= longest)
+    points = centers.select(*keys, F.col("second").alias("center"), F.col("second").alias("center_sec"))
+    near = near_join(points, marked.withColumn("start_sec", F.col("second")), longest, size=max(1, 2 * longest), keys=keys)
     group = [*keys, "center"]
     stop_left = F.max(F.when((F.col("second") < F.col("center")) & F.col("low") & F.col("low_next"), F.col("second"))).over(W.partitionBy(*group))
     stop_right = F.min(F.when((F.col("second") > F.col("center")) & F.col("low") & F.col("low_before"), F.col("second"))).over(W.partitionBy(*group))
@@ -90,57 +93,88 @@ def _absorb(clip: dict, kept: dict, longest: float) -> dict:
         low = min(max(best["center"] - longest / 2, low), high - longest)
         high = low + longest
     low = max(0.0, low)
-    return {"start": round(low, 3), "end": round(high, 3), "center": best["center"], "score": best["score"]}
+    return {"start": round(low, 3), "end": round(high, 3), "center": round(best["center"], 3), "score": round(best["score"], 4)}
+
+
+CLIP = "media_id long, clip_no int, start_sec double, end_sec double, center_sec double, score double"
 
 
 def ranked_clips(windows: DataFrame, longest: float, threshold: float | None = None, target: float | None = None) -> DataFrame:
     """Clips of a medium from its best windows downwards; a window that touches a clip is taken into the first such.
 
-    Stops below ``threshold``, or when clips last ``target`` seconds in all. With a threshold clips come by score, with a
-    target by start.
+    Stops below ``threshold``, or when clips last ``target`` seconds in all; a target of 0 or less gives none. With a threshold
+    clips come by score, with a target by start. Times are rounded to three places, scores to four.
     """
+    return _ranked(windows, longest, threshold, target).drop("least_score")
+
+
+def duration_clips(windows: DataFrame, longest: float, target: float) -> DataFrame:
+    """``ranked_clips`` up to ``target`` seconds, with least_score: the score of the last window that was used."""
+    return _ranked(windows, longest, None, target)
+
+
+def _ranked(windows: DataFrame, longest: float, threshold: float | None, target: float | None) -> DataFrame:
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         clips: list[dict] = []
+        used = 0.0
         for w in pdf.sort_values(["score", "win_no"], ascending=[False, True], kind="stable").itertuples():
-            if threshold is not None and not w.score >= threshold or target is not None and sum(c["end"] - c["start"] for c in clips) >= target:
+            if threshold is not None and not w.score >= threshold or target is not None and (target <= 0 or sum(c["end"] - c["start"] for c in clips) >= target):
                 break
             clip = {"start": w.start_sec, "end": min(w.end_sec, w.start_sec + longest), "center": w.center_sec, "score": w.score}
+            used = round(w.score, 4)
             at = next((i for i, c in enumerate(clips) if clip["start"] <= c["end"] + TOUCH and c["start"] <= clip["end"] + TOUCH), None)
             if at is None:
-                clips.append(clip)
+                clips.append({"start": round(clip["start"], 3), "end": round(clip["end"], 3), "center": round(clip["center"], 3), "score": round(clip["score"], 4)})
             else:
                 clips[at] = _absorb(clip, clips[at], longest)
         clips.sort(key=(lambda c: -c["score"]) if target is None else (lambda c: c["start"]))
-        return pd.DataFrame([(pdf["media_id"].iloc[0], i + 1, c["start"], c["end"], c["center"], c["score"]) for i, c in enumerate(clips)], columns=["media_id", "clip_no", "start_sec", "end_sec", "center_sec", "score"])
+        return pd.DataFrame([(pdf["media_id"].iloc[0], i + 1, c["start"], c["end"], c["center"], c["score"], used) for i, c in enumerate(clips)], columns=["media_id", "clip_no", "start_sec", "end_sec", "center_sec", "score", "least_score"])
 
     needed = windows.select("media_id", "win_no", "start_sec", "end_sec", "center_sec", "score")
     if threshold is not None:
         needed = needed.where((F.col("score") >= threshold) & ~F.isnan("score"))
-    return needed.groupBy("media_id").applyInPandas(pick, "media_id long, clip_no int, start_sec double, end_sec double, center_sec double, score double")
+    return needed.groupBy("media_id").applyInPandas(pick, CLIP + ", least_score double")
 
 
-def match_pairs(candidates: DataFrame) -> DataFrame:
-    """One-to-one matches of a medium's candidate pairs, the best first: by overlap, similarity, smaller gap, larger numbers."""
-    order = ["overlap_sec", "similarity", "closeness", "pred_no", "true_no"]
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(closeness=-pdf["gap_sec"]).sort_values(order, ascending=False)
-        left, right, rows = set(), set(), []
-        for i, p, t in zip(pdf.index, pdf["pred_no"], pdf["true_no"], strict=True):
-            if p not in left and t not in right:
-                left.add(p)
-                right.add(t)
-                rows.append(i)
-        return pdf.loc[rows, [c for c in pdf.columns if c != "closeness"]].sort_values(["pred_no", "true_no"])
+#: Rounds of matching between two written tables.
+ROUNDS_TOGETHER = 2
 
-    return candidates.groupBy("media_id").applyInPandas(pick, candidates.schema)
 
+def match_pairs(candidates: DataFrame) -> DataFrame:
+    """One-to-one matches of a medium's candidate pairs, the best first: by overlap, similarity, smaller gap, larger numbers.
 
-def gate_frames(frames: DataFrame, value: str, threshold: float = 0.08, longest_skip: float = 8.0) -> DataFrame:
+    A pair that is the best of both its blocks is what taking the best pair again and again comes to as well. So each round
+    takes all such pairs and leaves out the others of their blocks, until none is left; a task holds the pairs of one block, not
+    those of a medium. Of repeated pairs of two numbers the best counts. The result is written: it is computed when called.
+    """
+    place = F.struct("overlap_sec", "similarity", (-F.col("gap_sec")).alias("closeness"), "pred_no", "true_no")
+    pair = ["media_id", "pred_no", "true_no"]
+    rows = F.max_by(F.struct(*candidates.columns), place).alias("row")
+    left = candidates.groupBy(*pair).agg(rows, F.max(place).alias("place")).select(*pair, "row", "place", F.lit(False).alias("taken"))
+    blocks = [W.partitionBy("media_id", c) for c in ("pred_no", "true_no")]
+    chosen = None
+    while True:
+        for _ in range(ROUNDS_TOGETHER):
+            best = F.lit(True)
+            for b in blocks:
+                best = best & (F.col("place") == F.max(F.when(~F.col("taken"), F.col("place"))).over(b))
+            left = left.withColumn("taken", F.col("taken") | F.coalesce(best, F.lit(False)))
+            for b in blocks:
+                left = left.withColumn("_gone", F.max("taken").over(b)).where("taken or not _gone").drop("_gone")
+        left = materialise(left)
+        new = left.where("taken").select("row.*")
+        chosen = new if chosen is None else chosen.union(new)
+        left = left.where("not taken")
+        if left.isEmpty():
+            return chosen
+
+
+def gate_frames(frames: DataFrame, value: str, threshold: float = 0.08, longest_skip: float = 8.0, disabled: bool = False) -> DataFrame:
     """Which frames are worth labelling: the first, one that differs from the last chosen, or when too much time has passed.
 
-    ``value`` is a frame's level; the change is counted against the last chosen frame, not the one before.
+    ``value`` is a frame's level; the change is counted against the last chosen frame, not the one before. All are, if the gate
+    is ``disabled``.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +183,7 @@ def gate_frames(frames: DataFrame, value: str, threshold: float = 0.08, longest_
         rows = []
         for t, x in zip(pdf["timestamp"], pdf[value], strict=True):
             change = None if last is None else abs(x - last[1])
-            reason = "first_frame" if last is None else "change" if change >= threshold else "max_skip" if t - last[0] >= longest_skip else "propagated"
+            reason = "first_frame" if last is None else "disabled" if disabled else "change" if change >= threshold else "max_skip" if t - last[0] >= longest_skip else "propagated"
             if reason != "propagated":
                 last = (t, x)
             rows.append((pdf["media_id"].iloc[0], t, change, reason != "propagated", reason))
@@ -158,10 +192,12 @@ def gate_frames(frames: DataFrame, value: str, threshold: float = 0.08, longest_
     return frames.groupBy("media_id").applyInPandas(pick, "media_id long, timestamp double, change_score double, selected boolean, reason string")
 
 
-def split_long(intervals: DataFrame, levels: DataFrame, shortest: float, longest: float, reach: float = 0.8) -> DataFrame:
+def split_long(intervals: DataFrame, levels: DataFrame, shortest: float, longest: float, reach: float = 0.8, frame: float = 0.0) -> DataFrame:
     """Cuts intervals over ``longest`` at the quietest moment near each target length; a short rest joins the piece before.
 
-    ``levels``: media_id, at_sec, rms.
+    ``levels``: media_id, at_sec, rms of frames of ``frame`` seconds. Of the frames that lie within ``reach`` of the target the
+    first of the quietest counts, so a piece can be longer than ``longest`` by as much, and the search may run past the
+    interval's end. A cut that leaves less than ``shortest`` is at the target instead.
     """
 
     def cut(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -172,9 +208,9 @@ def split_long(intervals: DataFrame, levels: DataFrame, shortest: float, longest
             first = len(out)
             while end - start > longest:
                 target = start + longest
-                near = np.flatnonzero((at >= target - reach) & (at <= min(target + reach, end)))
+                near = np.flatnonzero((at >= target - reach) & (at + frame <= target + reach))
                 point = float(at[near[rms[near].argmin()]]) if len(near) else target
-                if point - start < shortest or point - start > longest:
+                if point - start < shortest:
                     point = target
                 out.append([start, point])
                 start = point

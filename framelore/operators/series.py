@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelore.functions.rounding import round_half_even
 from framelore.operators.bounded import beside
 
 KEYS = ["media_id"]
@@ -42,7 +43,6 @@ def rolling_median(value: str, keys: list[str] = KEYS, size: int = 60) -> Column
     return F.expr(f"percentile({value}, 0.5)").over(_along(keys).rowsBetween(-(size // 2), size - size // 2 - 1))
 
 
-
 def rms_per_bucket(samples: DataFrame, value: str, bucket: Column, keys: list[str] = KEYS) -> DataFrame:
     """bucket, rms of samples that are rows; ``bucket`` says which one a sample falls in. Nulls count as no samples."""
     x = F.col(value).cast("double")
@@ -100,12 +100,16 @@ def text_series(segments: DataFrame, lexicon: DataFrame, keys: list[str] = KEYS)
 
 
 def fuse(series: DataFrame, weights: dict[str, float], keys: list[str] = KEYS) -> DataFrame:
-    """Weighted sum of the normalised columns, box-smoothed over five seconds, as fused."""
+    """Weighted sum of the normalised columns, box-smoothed over five seconds, or all where a medium has fewer, as fused."""
     out = series
     for column in weights:
         out = out.withColumn(f"n_{column}", normalised(column, keys))
     total = reduce(lambda a, b: a + b, (F.col(f"n_{c}") * w for c, w in weights.items()))
-    return out.withColumn("raw", total).withColumn("fused", box_mean("raw", keys)).drop("raw", *(f"n_{c}" for c in weights))
+    length = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    smoothed = box_mean("raw", keys)
+    for size in (4, 3, 2, 1):  # a box of even length reaches further back than ahead
+        smoothed = F.when(length == size, box_mean("raw", keys, size)).otherwise(smoothed)
+    return out.withColumn("raw", total).withColumn("fused", smoothed).drop("raw", *(f"n_{c}" for c in weights))
 
 
 def boost(series: DataFrame, forced: DataFrame, value: str, keys: list[str] = KEYS) -> DataFrame:
@@ -148,4 +152,4 @@ def slices(durations: DataFrame, size: float, hop: float, keys: list[str] = KEYS
     starts = F.when(F.col("duration") <= size, F.array(F.lit(0.0))).when(F.element_at(regular, -1) < tail, F.concat(regular, F.array(tail))).otherwise(regular)
     rows = durations.select(*keys, "duration", F.posexplode(starts).alias("win_no", "start_sec"))
     end = F.when(F.col("duration") > 0, F.least(F.col("start_sec") + size, F.col("duration"))).otherwise(F.lit(size))
-    return rows.select(*keys, "win_no", F.bround("start_sec", 3).alias("start_sec"), F.bround(end, 3).alias("end_sec"), F.bround((F.col("start_sec") + end) / 2, 3).alias("center_sec"))
+    return rows.select(*keys, "win_no", round_half_even(F.col("start_sec"), 3).alias("start_sec"), round_half_even(end, 3).alias("end_sec"), round_half_even((F.col("start_sec") + end) / 2, 3).alias("center_sec"))

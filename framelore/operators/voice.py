@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelore.functions.edits import edit_distance
 from framelore.operators.islands import merge_intervals, runs
 from framelore.operators.joins import subtitle_candidates
 from framelore.operators.selection import match_pairs, split_long
@@ -85,18 +86,9 @@ def evaluate_subtitles(pred: DataFrame, true: DataFrame, least_similarity: float
     return out.withColumns({"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)})
 
 
-def edit_distance(a: str, b: str, bands: tuple[int, ...] = (64, 1024)) -> Column:
-    """Edit distance in code points: within the narrowest band that holds it, else whole. All give the same number."""
-    out = F.levenshtein(a, b)
-    for near in reversed(bands):
-        banded = F.levenshtein(a, b, near)
-        out = F.when(banded >= 0, banded).otherwise(out)
-    return out
-
-
 def character_error_rate(pred: DataFrame, true: DataFrame, order: str = "seg_no", keys: list[str] = KEYS) -> DataFrame:
     """Edit distance of a medium's whole texts over the true one's length; with no true text 0 if there is none either, else 1."""
     whole = lambda df, name: df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "").alias(name))
     both = whole(pred, "p").join(whole(true, "t"), keys, "full").fillna("", ["p", "t"])
     n = F.length("t")
-    return both.select(*keys, F.when(n > 0, edit_distance("p", "t") / n).when(F.length("p") > 0, 1.0).otherwise(0.0).alias("cer"))
+    return both.repartition(*keys).select(*keys, F.when(n > 0, edit_distance(F.col("p"), F.col("t")) / n).when(F.length("p") > 0, 1.0).otherwise(0.0).alias("cer"))

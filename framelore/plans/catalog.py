@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.functions import text as T
-from framelore.operators import cache, detector, images, islands, joins, selection, series, vectors, voice
+from framelore.functions.rounding import round_half_even
+from framelore.operators import cache, chunks, detector, images, islands, joins, quantiles, selection, series, vectors, voice
 from framelore.sources import adapters as A
 from framelore.sources import manifests, recordings, subtitles
 
@@ -34,6 +35,17 @@ def query(sql: str | None = None, *parts: str) -> Callable:
     return add
 
 
+def same_rows(name: str) -> Callable:
+    """Register a query whose rows are those of an earlier one, reached in another way; it has the same SQL."""
+
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        ORACLE_SQL[fn.__name__] = ORACLE_SQL[name]
+        return fn
+
+    return add
+
+
 def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
 
@@ -402,7 +414,7 @@ def ranked_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def duration_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.ranked_clips(A.windows(spark, sf_dir), 5.0, target=20.0)
+    return selection.duration_clips(A.windows(spark, sf_dir), 5.0, 20.0)
 
 
 @query("""+f AS (SELECT media_id, timestamp, confidence AS x, row_number() OVER (PARTITION BY media_id ORDER BY timestamp) AS n FROM frames),
@@ -638,3 +650,60 @@ def speaker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = own(voice.voiced_intervals(s, "level", "second", 0.5, 5.0, 0.5), "start_sec", "end_sec")
     text = F.transform("sources", lambda x: F.concat(x["source"].cast("string"), F.lit("="), x["clip_count"].cast("string")))
     return manifests.speaker_summary(own(s), clips).withColumn("sources", F.array_join(text, "|"))
+
+
+# The same operators on media that no task holds whole: here chunks are short, so that every medium has many.
+
+
+@same_rows("locf_propagate")
+def long_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = A.frames(spark, sf_dir)
+    return chunks.carry_forward(f, "selected", ["scene_type"], 64.0).select("media_id", "event_id", "timestamp", "scene_type", "source_timestamp")
+
+
+@same_rows("span_merge")
+def long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(chunks.merge_windows(A.windows(spark, sf_dir), 0.6, 0.75, 50), "island")
+
+
+@same_rows("interval_merge")
+def long_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(chunks.merge_intervals(A.segments(spark, sf_dir), 0.5, 8.0), "island")
+
+
+@same_rows("voiced_runs")
+def long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiced runs, by a percentile that no task sees all values for."""
+    s = A.series(spark, sf_dir)
+    quiet = quantiles.percentiles(s, "level", {"quiet": 0.35})
+    loud = s.join(quiet, "media_id").withColumn("voiced", F.col("level") >= F.greatest(F.lit(5.0), F.col("quiet") * 1.8))
+    return chunks.runs(loud, "voiced", "second", 20).select("media_id", "first", "last")
+
+
+@same_rows("rolling_median_ratio")
+def long_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothing and rolling median by chunks with the rows around them."""
+    keys = ["media_id", chunks.CHUNK]
+    values = {"smoothed": series.convolve("level", [0.1, 0.25, 0.3, 0.25, 0.1], keys), "baseline": series.rolling_median("smoothed", keys), "ratio": F.col("smoothed") / (F.col("baseline") + 1e-6)}
+    out = chunks.rolling(A.series(spark, sf_dir), values, "second", 40, 32, 31)
+    return _round(out.select("media_id", "second", *values), *values)
+
+
+@same_rows("percentile_threshold")
+def long_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(quantiles.percentiles(A.series(spark, sf_dir), "level", {"p60": 0.6, "p35": 0.35}), "p60", "p35")
+
+
+@query(f"""+s AS (SELECT media_id, second, {SMOOTH5} AS x FROM series WINDOW w AS (PARTITION BY media_id ORDER BY second))
+SELECT media_id, second, round_even(CAST(floor(x * 16) AS DOUBLE) / 16, 3) AS rounded FROM s""", "series")
+def rounded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed levels in sixteenths, whose half thousandths are exact, rounded to even."""
+    x = F.floor(series.convolve("level", [0.1, 0.25, 0.3, 0.25, 0.1]) * 16) / 16
+    return A.series(spark, sf_dir).withColumn("x", x).select("media_id", "second", round_half_even(F.col("x"), 3).alias("rounded"))
+
+
+@query("SELECT media_id, CAST(count(*) AS BIGINT) AS frames, CAST(count(DISTINCT scene_type) AS BIGINT) AS kinds, CAST(sum(CASE WHEN selected THEN 1 ELSE 0 END) AS BIGINT) AS labelled FROM frames GROUP BY media_id", "frames")
+def smoothed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed log of each medium with its raw copy and defaults: what it keeps of the raw labels."""
+    log = islands.smoothed_log(A.frames(spark, sf_dir))
+    return log.groupBy("media_id").agg(F.count("raw").alias("frames"), F.count_distinct("raw.scene_type").alias("kinds"), F.count_if("selected").alias("labelled"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelore.functions.rounding import round_half_even
+
 RATE = 16_000
 LEVELS = "path string, {} long, rms double"
 
@@ -110,5 +112,5 @@ def voice_levels(recordings: DataFrame, frame_ms: int = 30, hop_ms: int = 10, ra
 def frame_index(frames: DataFrame, durations: DataFrame, fps: float, keys: list[str] = ["media_id"]) -> DataFrame:  # noqa: B006
     """Adds timestamp to frames sampled at ``fps``, in order of their name; none lies beyond the medium's duration."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy("frame")) - 1
-    timed = frames.join(durations.select(*keys, F.bround("duration", 3).alias("last")), keys)
-    return timed.withColumn("timestamp", F.least(F.bround(place * F.lit(1 / fps), 3), "last")).drop("last")
+    timed = frames.join(durations.select(*keys, round_half_even(F.col("duration"), 3).alias("last")), keys)
+    return timed.withColumn("timestamp", F.least(round_half_even(place * F.lit(1 / fps), 3), "last")).drop("last")

@@ -52,9 +52,9 @@ def clips(x, hop, least, gap, shortest, longest, least_voice, edge):
         own = []
         while end - start > longest:
             target = start + longest
-            near = [i for i in range(len(x)) if target - 0.8 <= i * hop <= min(target + 0.8, end)]
+            near = [i for i in range(len(x)) if target - 0.8 <= i * hop <= target + 0.8]
             cut = min(near, key=lambda i: (x[i], i)) * hop if near else target
-            if not shortest <= cut - start <= longest:
+            if cut - start < shortest:
                 cut = target
             own.append([start, cut])
             start = cut

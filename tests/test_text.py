@@ -62,13 +62,14 @@ def test_answers_in_columns(spark):
 
 
 def test_srt(spark, tmp_path):
-    (tmp_path / "film.srt").write_text("1\r\n00:00:00,100 --> 00:00:01,200\r\n你 好\r\n\r\n2\nbad --> line\nx\n\n3\n00:00:02,000-->00:00:01,000\nok\n\n4\n00:00:05,000 --> 00:00:06,000\n\n")
+    blocks = ["7\r\n00:01:04,250 --> 00:01:09,500\r\nder  kleine\u3000Fluss", "8\nno arrow at all\nwords", "9\n00:02:30,125-->00:02:20,750\nfin de la nuit\n", "10\n00:03:00,000 --> 00:03:04,000", "11\n00:03:10.500 --> 00:03:11.500\ndots are no commas"]
+    (tmp_path / "river.srt").write_text("\r\n\r\n".join(blocks))
     files = subtitles.read_files(spark, f"file://{tmp_path}")
     got = [(r.media_id, r.idx, r.start_sec, r.end_sec, r.text) for r in subtitles.parse_srt(files).orderBy("idx").collect()]
-    assert got == [("film", 1, 0.1, 1.2, "你好"), ("film", 2, 2.0, 2.0, "ok")]
+    assert got == [("river", 1, 64.25, 69.5, "derkleineFluss"), ("river", 2, 150.125, 150.125, "findelanuit")]
     loose = [(r.start_sec, r.end_sec, r.text) for r in subtitles.parse_srt(files, loose=True).orderBy("idx").collect()]
     # A block of two lines is none, and neither is one whose arrow has no space around it.
-    assert loose == [(0.1, 1.2, "你 好")]
+    assert loose == [(64.25, 69.5, "der  kleine\u3000Fluss")]
 
 
 def test_review(spark):

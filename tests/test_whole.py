@@ -7,7 +7,6 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from framelore.operators import voice
 from framelore.plans import catalog
 from framelore.sources import adapters
 
@@ -58,13 +57,6 @@ def test_subtitle_files_and_reviews_keep_whole_texts(spark, turns):
     assert {(r.media_id, r.number): r.reason for r in reviews} == {k: t.replace("\n", " ").lstrip() for k, t in turns.items() if k[1] % 5 != 4}
 
 
-def test_edit_distance_in_and_beyond_the_band(spark):
-    pairs = [("", ""), ("a", ""), ("né à l'été", "ne a l'ete"), ("abcdefgh", "hgfedcba"), ("x" * 30, "y" * 20), ("日本語の字幕", "日本の字")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    for bands in ((), (0, 2), (64, 1024)):
-        assert [r[0] for r in df.select(voice.edit_distance("a", "b", bands)).collect()] == [levenshtein(a, b) for a, b in pairs]
-
-
 @pytest.fixture(scope="module")
 def levels(spark):
     media = defaultdict(list)

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import discard, map_rows, materialise, table
 
 FIT_ROWS = 20_000
-MOST_FEATURES = 4_000
 LEAST_Z = 4.0
 PREFIXES = (4, 5)
 L2 = 2e-4
@@ -180,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, families: tuple = IDENTITY_TERMS,
 
 
 def _chosen(texts: DataFrame, n: int, n1: int) -> np.ndarray:
-    """The MOST_FEATURES features of at least 3 texts that differ most between toxic and other ones, of those beyond LEAST_Z."""
+    """All features of at least 3 texts whose share differs by LEAST_Z standard errors between toxic and other ones."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,11 +191,17 @@ def _chosen(texts: DataFrame, n: int, n1: int) -> np.ndarray:
     share = F.col("c") / n
     spread_of = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
     ranked = counts.select("id", (F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1)) / spread_of).alias("z")).where(F.col("z") >= LEAST_Z)
-    return np.sort(np.array([r.id for r in ranked.orderBy(F.desc("z"), "id").limit(MOST_FEATURES).collect()], np.int32))
+    found = ranked.select("id").limit(MOST_BYTES // 4 + 1).collect()  # ids of BITS bits: 2 ** 24 at most
+    if len(found) > MOST_BYTES // 4:
+        raise ValueError(f"features of over {MOST_BYTES} bytes")
+    return np.sort(np.array([r.id for r in found], np.int32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; null and empty texts get the score of no words at all."""
+    """doc_id, held_out, score, predicted for every row; null and empty texts get the score of no words at all.
+
+    Very long texts are read whole, repeated rows get one score, an empty table gives no rows and other columns are ignored.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, out, text in rows:

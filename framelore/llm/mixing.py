@@ -23,8 +23,11 @@ from .common import discard, materialise, table
 TEMPER = {"source": 0.6, "lang": 0.8, "topic": 0.9}
 KEEP = 0.6
 TOLERANCE = 1e-3
-MOST_ROUNDS = 60
 ROUNDS_AT_ONCE = 4
+#: Shares that rounds bring no nearer than by this part contradict each other.
+LEAST_GAIN = 1e-3
+#: Rounds that the SQL beside the query writes out.
+SQL_ROUNDS = 60
 #: Up to so many cells lie in one partition, where windows over margins need no exchange; more are exchanged margin by margin.
 CELLS_TOGETHER = 100_000
 DIGITS = 7
@@ -55,12 +58,13 @@ def topic_of(counts: Column, topics: dict[str, tuple[str, ...]] = TOPICS) -> Col
     return F.when(most > 0, F.element_at(F.array(*[F.lit(t) for t in topics]), F.array_position(counts, most).cast("int"))).otherwise("other")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """``cells``: a column for each margin, tokens. ``targets``: per margin a table of it and share. Adds weight.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells``: a column for each margin, tokens. ``targets``: per margin a table of it and share. Adds weight and residual.
 
-    Weights times tokens sum to the tokens, and their totals by every margin meet its shares within ``tolerance``. Where the
-    shares contradict each other, so that no weights meet them all, it warns after ``most_rounds``; then the last margin's are
-    met. Cells without tokens keep weight 1. A margin's cells meet in one window; cells are few beside documents.
+    Weights times tokens sum to the tokens, and their totals by every margin meet its shares within ``tolerance``: as many rounds
+    as that takes. Where the shares contradict each other, rounds bring them no nearer; then the last margin's are met, and
+    residual, by how much a margin is missed at most, is above the tolerance. Cells without tokens keep weight 1. A margin's
+    cells meet in one window; cells are few beside documents.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     fitted = cells.withColumn("weight", F.lit(1.0))
@@ -68,7 +72,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         fitted = fitted.join(target.withColumnRenamed("share", f"share_{margin}"), margin)
     fitted = materialise(fitted.withColumn("off", F.lit(0.0)))
     few = fitted.count() <= CELLS_TOGETHER
-    for done in range(0, most_rounds if total else 0, ROUNDS_AT_ONCE):
+    missed = float("inf")
+    while total:
         step = fitted.coalesce(1) if few else fitted
         for _ in range(ROUNDS_AT_ONCE):
             off = F.lit(0.0)
@@ -80,11 +85,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
                 off = F.col("off")
         before, fitted = fitted, materialise(step)
         discard(before)
-        if fitted.agg(F.max("off")).first()[0] <= tolerance:
+        last, missed = missed, fitted.agg(F.max("off")).first()[0]
+        if missed <= tolerance:
             break
-        if done + ROUNDS_AT_ONCE >= most_rounds:
-            warnings.warn(f"the target shares are not met together after {most_rounds} rounds", stacklevel=2)
-    return fitted.select(*cells.columns, "weight")
+        if missed >= last * (1 - LEAST_GAIN):
+            warnings.warn(f"the target shares contradict each other: one is missed by {missed:.3g}", stacklevel=2)
+            break
+    return fitted.select(*cells.columns, "weight", F.lit(missed if total else 0.0).alias("residual"))
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -167,7 +174,7 @@ def _sql() -> str:
     for m, p in TEMPER.items():
         steps.append(f"t_{m} AS (SELECT c_{m}, raw / sum(raw) OVER () AS share FROM (SELECT c_{m}, pow(sum(tokens), {p}) AS raw FROM w0 GROUP BY c_{m}) AS x)")
     n = 0
-    for i in range(MOST_ROUNDS):
+    for i in range(SQL_ROUNDS):
         # Before each batch of rounds it is settled whether the last one has met the tolerance; then weights stay.
         if i % ROUNDS_AT_ONCE == 0:
             steps.append(f"o{i // ROUNDS_AT_ONCE} AS MATERIALIZED (SELECT " + (f"max(off) <= {TOLERANCE} AS met FROM w{n})" if i else "false AS met)"))

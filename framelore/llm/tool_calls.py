@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, table
 
 SLICE_TURNS = 1024
+#: Calls of a conversation that one expression folds.
+BLOCK_CALLS = 1024
 
 
 @dataclass(frozen=True)
@@ -61,12 +63,15 @@ def levels(calls: DataFrame) -> DataFrame:
 
     A need that the call's latest need has too takes no part, as the way by that one is longer: a call that needs all before it
     is left with one. Calls with one need point at it; doubling the pointers brings each to the first call behind it that has none or several, in
-    as many rounds as the logarithm of the longest chain. Only those others are then settled level by level.
+    as many rounds as the logarithm of the longest chain. Only those others are then settled block by block: BLOCK_CALLS of them in
+    a row of turns are folded in one expression, so a round settles all levels of a block that lead to settled calls by way of
+    earlier turns, and there are about as many rounds as blocks that need each other in one conversation.
     """
     key = ["conv_id", "call_id"]
     known = calls.groupBy(*key).agg(F.min("turn").alias("at"))
     needs = calls.select(*key, F.explode("needs").alias("need")).distinct()
     edges = materialise(needs.join(known.select("conv_id", F.col("call_id").alias("need"), F.struct("at", "call_id").alias("there")), ["conv_id", "need"], "left"))
+    placed = known
     known = known.select(*key)
     latest = edges.where("there is not null").groupBy(*key).agg(F.max("there")["call_id"].alias("latest"))
     also = edges.where("there is not null").select("conv_id", F.col("call_id").alias("latest"), "need", F.lit(True).alias("covered"))
@@ -87,19 +92,19 @@ def levels(calls: DataFrame) -> DataFrame:
 
     # The others, with needs carried along the pointers; a need that leads into a circle never settles.
     end = pointers.select("conv_id", F.col("call_id").alias("need"), F.when(F.col("found"), F.col("ptr")).alias("ptr"), "dist", F.lit(True).alias("pointed"))
-    several = inner.join(degree.where("n > 1").select(*key), key, "left_semi").join(end, ["conv_id", "need"], "left")
-    open_edges = materialise(several.select(*key, F.when(F.col("pointed"), F.col("ptr")).otherwise(F.col("need")).alias("need"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+    several = inner.join(degree.where("n > 1").select(*key), key, "left_semi").join(end, ["conv_id", "need"], "left").join(placed, key)
+    open_edges = materialise(several.select(*key, "at", F.when(F.col("pointed"), F.col("ptr")).otherwise(F.col("need")).alias("need"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
     settled = materialise(known.join(degree.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    parts = [settled]
     while not open_edges.isEmpty():
-        have = settled.select("conv_id", F.col("call_id").alias("need"), "level")
-        state = open_edges.join(have, ["conv_id", "need"], "left")
-        ready = materialise(state.groupBy(*key).agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.count("*").alias("n"), F.count("level").alias("known")).where("n = known").select(*key, "level"))
+        ready = materialise(_settled_in_blocks(open_edges, settled))
         if ready.isEmpty():
             discard(ready)
             break
-        fewer, more = materialise(open_edges.join(ready, key, "left_anti")), materialise(settled.union(ready))
-        discard(open_edges, settled, ready)
-        open_edges, settled = fewer, more
+        fewer = materialise(open_edges.join(ready, key, "left_anti"))
+        discard(open_edges)
+        parts.append(ready)
+        open_edges, settled = fewer, settled.union(ready)
 
     along = pointers.where("found").join(settled.select("conv_id", F.col("call_id").alias("ptr"), "level"), ["conv_id", "ptr"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
     size = known.groupBy("conv_id").agg(F.count("*").alias("calls"))
@@ -108,6 +113,27 @@ def levels(calls: DataFrame) -> DataFrame:
     return out.select(*key, F.coalesce("level", "calls").cast("int").alias("level"), F.col("level").isNull().alias("cyclic"), F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
+def _settled_in_blocks(edges: DataFrame, settled: DataFrame) -> DataFrame:
+    """Levels of calls whose needs are settled, or are settled earlier in their block. ``edges``: conv_id, call_id, at, need, dist."""
+    key = ["conv_id", "call_id"]
+    have = settled.select("conv_id", F.col("call_id").alias("need"), "level")
+    behind = F.collect_list(F.struct("need", "dist", "level")).alias("behind")
+    calls = edges.join(have, ["conv_id", "need"], "left").groupBy(*key).agg(F.min("at").alias("at"), behind)
+    turns = F.coalesce(F.floor(F.col("at") / SLICE_TURNS), F.lit(-1))
+    number = F.row_number().over(W.partitionBy("conv_id", "turns").orderBy("at", "call_id"))
+    blocks = calls.withColumn("turns", turns).withColumn("block", F.floor((number - 1) / BLOCK_CALLS)).groupBy("conv_id", "turns", "block")
+    ordered = blocks.agg(F.array_sort(F.collect_list(F.struct("at", "call_id", "behind"))).alias("calls"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+
+    def folded(found: Column, call: Column) -> Column:
+        levels_behind = F.transform(call["behind"], lambda n: F.coalesce(n["level"], F.try_element_at(found, n["need"])) + n["dist"])
+        level = F.when(F.forall(levels_behind, lambda x: x.isNotNull()), F.array_max(levels_behind))
+        return F.when(level.isNull(), found).otherwise(F.map_concat(found, F.create_map(call["call_id"], level)))
+
+    found = ordered.select("conv_id", F.explode(F.aggregate("calls", none, folded)).alias("call_id", "level"))
+    return found.select(*key, "level")
+
+
 EVENT = ["conv_id", "turn", "kind", "role", "call_id", "name", "arguments", "content", "needs"]
 
 

@@ -185,3 +185,24 @@ def test_speakers_by_their_banks(spark):
     assert seen == {"ann", "bob", "cid", "unknown"}
     none = vectors.speaker_labels(v, b.where("false"), ["n"], 0.6, 0.05).collect()
     assert {(r.speaker, r.score) for r in none} == {("unknown", 0.0)}
+
+
+def test_banks_of_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    bank, own = rng.normal(size=(11, 5)), rng.normal(size=(9, 5))
+    bank, own = bank / np.linalg.norm(bank, axis=1)[:, None], own / np.linalg.norm(own, axis=1)[:, None]
+    b = spark.createDataFrame([(f"s{i % 3}", x.tolist()) for i, x in enumerate(bank)], "speaker string, embedding array<double>").repartition(2)
+    rows = [(n, x.tolist()) for n, x in enumerate(own)] + [(0, own[0].tolist()), (90, None), (91, [1.0, None, 0.0, 0.0, 0.0]), (92, [1.0]), (None, own[1].tolist())]
+    v = spark.createDataFrame(rows, "n long, embedding array<double>").repartition(2)
+    once = [sorted(map(repr, f.collect())) for f in (vectors.prototype_scores(v, b, ["n"]), vectors.speaker_labels(v, b, ["n"], 0.5, 0.01))]
+    monkeypatch.setattr(vectors, "BANK_ROWS", 2)
+    monkeypatch.setattr(vectors, "VECTOR_ROWS", 3)
+    scores = vectors.prototype_scores(v, b, ["n"])
+    got = [(r.n, r.score) for r in scores.collect()]
+    assert len(got) == len(rows) and {n for n, s in got if s is None} == {90, 91, 92}
+    for n, s in got:
+        if s is not None:
+            cosines = np.sort(bank @ own[1 if n is None else n])[::-1]
+            assert s == pytest.approx((0.7 * cosines[0] + 0.3 * cosines[:3].mean() + 1) / 2)
+    close = lambda a, c: all(x.partition("score=")[0] == y.partition("score=")[0] for x, y in zip(a, c, strict=True))
+    assert close(sorted(map(repr, scores.collect())), once[0]) and close(sorted(map(repr, vectors.speaker_labels(v, b, ["n"], 0.5, 0.01).collect())), once[1])

@@ -5,6 +5,7 @@ Computed doubles are rounded to six places on both sides, after sums of exact bi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from framelore.functions import text as T
 from framelore.functions.rounding import round_half_even
-from framelore.operators import cache, chunks, detector, images, islands, joins, quantiles, selection, series, vectors, voice
+from framelore.operators import cache, chunks, detector, images, islands, joins, quantiles, selection, series, shared, vectors, voice
 from framelore.sources import adapters as A
-from framelore.sources import manifests, recordings, subtitles
+from framelore.sources import manifests, media_files, recordings, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -707,3 +708,12 @@ def smoothed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothed log of each medium with its raw copy and defaults: what it keeps of the raw labels."""
     log = islands.smoothed_log(A.frames(spark, sf_dir))
     return log.groupBy("media_id").agg(F.count("raw").alias("frames"), F.count_distinct("raw.scene_type").alias("kinds"), F.count_if("selected").alias("labelled"))
+
+
+@same_rows("srt_roundtrip")
+def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitles written as a file for each medium, and read back from the files."""
+    path = f"{shared.folder(spark)}/subtitles-{uuid.uuid4().hex}"
+    media_files.write_files(subtitles.format_srt(A.subtitle_pair(spark, sf_dir)[1]), path, "media_id", "srt", ".srt")
+    read = subtitles.read_files(spark, path).withColumn("media_id", F.col("media_id").cast("long"))
+    return _long(subtitles.parse_srt(read), "idx")

@@ -37,7 +37,7 @@ def enrolment(recordings: DataFrame) -> DataFrame:
     return recordings.join(some, "speaker").where("prepared = any_prepared").drop("any_prepared")
 
 
-def _resampled(x: np.ndarray, source: int, target: int) -> np.ndarray:
+def resampled(x: np.ndarray, source: int, target: int) -> np.ndarray:
     """Polyphase resampling by a Kaiser-windowed low-pass filter (beta 5, ten zero crossings to a side)."""
     shared = math.gcd(source, target)
     up, down = target // shared, source // shared
@@ -56,19 +56,24 @@ def _resampled(x: np.ndarray, source: int, target: int) -> np.ndarray:
     return out
 
 
-def decode_wav(content: bytes, rate: int = RATE) -> np.ndarray:
-    """Samples from -1 to 1 of whole-number PCM, channels averaged, at ``rate`` a second. 8-bit samples are centred first."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, source = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+def pcm_samples(content: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples from -1 to 1 of whole numbers of ``width`` bytes, channels averaged. 8-bit samples are centred first."""
+    raw = np.frombuffer(content, np.uint8)
     if width == 1:
         x = raw.astype(float) - 128
     else:
         wide = np.zeros((len(raw) // width, 4), np.uint8)
         wide[:, 4 - width :] = raw[: len(wide) * width].reshape(-1, width)
         x = wide.view("<i4")[:, 0].astype(float) / 2 ** (32 - 8 * width)
-    x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1) / 2 ** (8 * width - 1)
-    return _resampled(x, source, rate)
+    return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1) / 2 ** (8 * width - 1)
+
+
+def decode_wav(content: bytes, rate: int = RATE) -> np.ndarray:
+    """Samples from -1 to 1 of whole-number PCM, channels averaged, at ``rate`` a second. 8-bit samples are centred first."""
+    with wave.open(io.BytesIO(content)) as w:
+        width, channels, source = w.getsampwidth(), w.getnchannels(), w.getframerate()
+        raw = w.readframes(w.getnframes())
+    return resampled(pcm_samples(raw, width, channels), source, rate)
 
 
 def decode_pcm(content: bytes) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from framelore.operators import bounded, images, vectors
-from framelore.sources import manifests, recordings
+from framelore.sources import manifests, media_files, pcm, recordings
 
 
 def wav(samples, rate, width=2, channels=1):
@@ -206,3 +206,56 @@ def test_banks_of_many_blocks(spark, monkeypatch):
             assert s == pytest.approx((0.7 * cosines[0] + 0.3 * cosines[:3].mean() + 1) / 2)
     close = lambda a, c: all(x.partition("score=")[0] == y.partition("score=")[0] for x, y in zip(a, c, strict=True))
     assert close(sorted(map(repr, scores.collect())), once[0]) and close(sorted(map(repr, vectors.speaker_labels(v, b, ["n"], 0.5, 0.01).collect())), once[1])
+
+
+@pytest.mark.parametrize(("rate", "width", "channels"), [(16_000, 2, 1), (44_100, 2, 2), (8_000, 1, 1), (22_050, 3, 1)])
+def test_levels_by_ranges_equal_those_of_whole_files(spark, tmp_path, rate, width, channels):
+    rng = np.random.default_rng(rate)
+    for name, seconds in (("long", 7.6), ("short", 0.4), ("even", 3.0)):
+        (tmp_path / f"{name}.wav").write_bytes(wav(rng.uniform(-0.9, 0.9, int(seconds * rate) * channels), rate, width, channels))
+    whole = recordings.second_levels(recordings.read_recordings(spark, f"file://{tmp_path}"))
+    want = {(r.path.rsplit("/", 1)[1], r.second): r.rms for r in whole.collect()}
+    for seconds in (1, 3, 600):
+        parts = pcm.split_second_levels(spark, f"file://{tmp_path}", seconds=seconds)
+        assert seconds > 1 or parts.rdd.getNumPartitions() == 10
+        got = {(r.path.rsplit("/", 1)[1], r.second): r.rms for r in parts.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_bare_samples_by_ranges(spark, tmp_path):
+    samples = np.random.default_rng(5).integers(-(2**15), 2**15, 40_001).astype("<i2")
+    (tmp_path / "a.pcm").write_bytes(samples.tobytes() + b"x")
+    got = pcm.split_second_levels(spark, f"file://{tmp_path}", header=False, seconds=1).orderBy("second").collect()
+    want = [np.sqrt(np.mean((samples[i : i + 16_000] / 32768.0) ** 2)) for i in (0, 16_000)]
+    assert [r.second for r in got] == [0, 1] and np.allclose([r.rms for r in got], want)
+
+
+def test_a_file_for_each_medium(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([(1, "one"), (2, "zwei \u00e9"), (2, "zwei \u00e9"), (3, None)], "media_id long, srt string").repartition(3)
+    media_files.write_files(rows, path, "media_id", "srt", ".srt")
+    there = lambda: {p.name: p.read_text() for p in (tmp_path / "out").iterdir() if p.is_file()}
+    assert there() == {"1.srt": "one", "2.srt": "zwei \u00e9", "3.srt": ""}
+    media_files.write_files(rows.where("media_id = 1").withColumn("srt", F.lit("again")), path, "media_id", "srt", ".srt")
+    assert there() == {"1.srt": "again", "2.srt": "zwei \u00e9", "3.srt": ""}
+    for bad in ([(5, "x"), (5, "y")], [(6, "x"), (None, "y")]):
+        with pytest.raises(PySparkException):
+            media_files.write_files(spark.createDataFrame(bad, "media_id long, srt string"), path, "media_id", "srt", ".srt")
+    assert set(there()) == {"1.srt", "2.srt", "3.srt"} and not any((tmp_path / "out" / "_attempts").iterdir())
+    media_files.write_files(rows.where("media_id = 3"), path, "media_id", "srt", ".txt", overwrite=True)
+    assert there() == {"3.txt": ""}
+
+
+def test_attempts_that_do_not_count_leave_no_file(tmp_path):
+    writer = media_files.MediaFileWriter(f"file://{tmp_path}", False)
+    first, again = writer.write(iter([("a", "x"), ("b", "y")])), writer.write(iter([("a", "x"), ("b", "y")]))
+    with pytest.raises(ValueError, match="file name"):
+        writer.write(iter([("c", "z"), ("no/name", "z")]))
+    assert [p.name for p in tmp_path.iterdir()] == ["_attempts"] and first.folder != again.folder
+    writer.commit([again, None])
+    assert {p.name: p.read_text() for p in tmp_path.iterdir() if p.is_file()} == {"a": "x", "b": "y"}
+    assert not any((tmp_path / "_attempts").iterdir())
+    other = media_files.MediaFileWriter(f"file://{tmp_path}", False)
+    other.write(iter([("a", "new")]))
+    other.abort([None])
+    assert (tmp_path / "a").read_text() == "x" and not any((tmp_path / "_attempts").iterdir())

@@ -211,15 +211,17 @@ def test_banks_of_many_blocks(spark, monkeypatch):
 @pytest.mark.parametrize(("rate", "width", "channels"), [(16_000, 2, 1), (44_100, 2, 2), (8_000, 1, 1), (22_050, 3, 1)])
 def test_levels_by_ranges_equal_those_of_whole_files(spark, tmp_path, rate, width, channels):
     rng = np.random.default_rng(rate)
+    least = 0 if width == 1 else -(2 ** (8 * width - 1))
     for name, seconds in (("long", 7.6), ("short", 0.4), ("even", 3.0)):
-        (tmp_path / f"{name}.wav").write_bytes(wav(rng.uniform(-0.9, 0.9, int(seconds * rate) * channels), rate, width, channels))
+        (tmp_path / f"{name}.wav").write_bytes(wav(rng.integers(least, least + 2 ** (8 * width), int(seconds * rate) * channels), rate, width, channels))
     whole = recordings.second_levels(recordings.read_recordings(spark, f"file://{tmp_path}"))
     want = {(r.path.rsplit("/", 1)[1], r.second): r.rms for r in whole.collect()}
     for seconds in (1, 3, 600):
         parts = pcm.split_second_levels(spark, f"file://{tmp_path}", seconds=seconds)
         assert seconds > 1 or parts.rdd.getNumPartitions() == 10
         got = {(r.path.rsplit("/", 1)[1], r.second): r.rms for r in parts.collect()}
-        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        # Samples are the same; levels come from running sums, which begin elsewhere and round otherwise.
+        assert got.keys() == want.keys() and min(want.values()) > 0.2 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_bare_samples_by_ranges(spark, tmp_path):

@@ -408,12 +408,33 @@ def clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(selection.clip_bounds(s, s, "level", 6, 20), "start", "end")
 
 
-@query()
+CLIP = "STRUCT(s DOUBLE, e DOUBLE, c DOUBLE, x DOUBLE)"
+
+
+def _ranked(used: str, more: str, best_first: bool) -> str:
+    """Clips of 5 seconds at most: a recursion takes the windows that ``used`` admits one by one, the best first, as long as
+    the medium's list of clips meets ``more``; the window goes into the first clip that it touches."""
+    return f"""+n AS (SELECT media_id, start_sec AS s, least(end_sec, start_sec + 5) AS e, center_sec AS c, score AS x, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, win_no) AS n FROM windows WHERE {used}),
+t AS (
+  SELECT DISTINCT media_id, CAST(0 AS BIGINT) AS n, CAST([] AS {CLIP}[]) AS clips, CAST(NULL AS DOUBLE) AS least FROM n
+  UNION ALL
+  SELECT media_id, n, CASE WHEN place IS NULL THEN list_append(clips, struct_pack(s := round(s, 3), e := round(e, 3), c := round(c, 3), x := round_even(x, 4)))
+    ELSE list_concat(clips[:place - 1], [struct_pack(s := round(lo, 3), e := round(lo + least(high - low, 5), 3), c := round(b.c, 3), x := round_even(b.x, 4))], clips[place + 1:]) END, round_even(x, 4)
+  FROM (SELECT *, CASE WHEN high - low > 5 THEN least(greatest(b.c - 2.5, low), high - 5) ELSE low END AS lo
+    FROM (SELECT *, least(s, old.s) AS low, greatest(e, old.e) AS high, CASE WHEN x >= old.x THEN struct_pack(s := s, e := e, c := c, x := x) ELSE old END AS b
+      FROM (SELECT *, clips[place] AS old FROM (SELECT t.media_id, n.n, t.clips, n.s, n.e, n.c, n.x, nullif(list_position(list_transform(t.clips, lambda k: n.s <= k.e + 1e-6 AND k.s <= n.e + 1e-6), true), 0) AS place
+        FROM t JOIN n ON n.media_id = t.media_id AND n.n = t.n + 1 WHERE {more}) AS y1) AS y2) AS y3) AS y4),
+done AS (SELECT media_id, arg_max(clips, n) AS clips, arg_max(least, n) AS least_score FROM t GROUP BY media_id),
+flat AS (SELECT media_id, least_score, unnest(range(1, len(clips) + 1)) AS i, unnest(clips) AS k FROM done)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY {"-k.x" if best_first else "k.s"}, i) AS clip_no, k.s AS start_sec, k.e AS end_sec, k.c AS center_sec, k.x AS score"""
+
+
+@query(_ranked("score >= 0.8", "true", True) + " FROM flat", "windows")
 def ranked_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.ranked_clips(A.windows(spark, sf_dir), 5.0, threshold=0.8)
 
 
-@query()
+@query(_ranked("true", "coalesce(list_sum(list_transform(t.clips, lambda k: k.e - k.s)), 0) < 20", False) + ", least_score FROM flat", "windows")
 def duration_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.duration_clips(A.windows(spark, sf_dir), 5.0, 20.0)
 
@@ -450,15 +471,17 @@ def known_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("media_id", "event_id", "timestamp", "scene_type")
 
 
-STRETCHES = """v AS (SELECT media_id, second, level >= greatest(5, 1.8 * quantile_cont(level, 0.35) OVER (PARTITION BY media_id)) AS v FROM series),
+def _stretches(gap: float) -> str:
+    """Tables m (voiced stretches s to e of each medium, with gaps closed) and what leads to it."""
+    return f"""v AS (SELECT media_id, second, level >= greatest(5, 1.8 * quantile_cont(level, 0.35) OVER (PARTITION BY media_id)) AS v FROM series),
 i AS (SELECT *, second - row_number() OVER (PARTITION BY media_id ORDER BY second) AS island FROM v WHERE v),
 r AS (SELECT media_id, min(second) * CAST(0.5 AS DOUBLE) AS s, (max(second) + 1) * CAST(0.5 AS DOUBLE) AS e FROM i GROUP BY media_id, island),
-b AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY media_id ORDER BY s) > 0.5 THEN 1 ELSE 0 END AS b FROM r),
+b AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY media_id ORDER BY s) > {gap} THEN 1 ELSE 0 END AS b FROM r),
 k AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM b),
 m AS (SELECT media_id, g, min(s) AS s, max(e) AS e FROM k GROUP BY media_id, g)"""
 
 
-@query(f"""+{STRETCHES}
+@query(f"""+{_stretches(0.5)}
 SELECT media_id, count(*) AS clip_count, sum(e - s) AS voiced_sec, max(e - s) AS longest_sec FROM m GROUP BY media_id""", "series")
 def enrollment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voiced stretches of each medium, with gaps of half a second closed: how many, how long."""
@@ -467,7 +490,18 @@ def enrollment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("media_id").agg(F.count("*").alias("clip_count"), F.sum(length).alias("voiced_sec"), F.max(length).alias("longest_sec"))
 
 
-@query()
+def _pieces(shortest: float) -> str:
+    """Tables up to pieces: stretches of ``shortest`` seconds or more, cut at the first quietest second near each target."""
+    return f"""{_stretches(3.0)},
+hop AS (SELECT a.media_id, a.second * CAST(0.5 AS DOUBLE) AS s, arg_min(b.second * CAST(0.5 AS DOUBLE), (b.level, b.second)) AS q FROM series AS a JOIN series AS b ON b.media_id = a.media_id AND abs((b.second - a.second) * 0.5 - 6) <= 0.8 GROUP BY ALL),
+cut AS (SELECT media_id, s AS first, s, e, 0 AS step FROM m WHERE e - s >= {shortest}
+  UNION ALL
+  SELECT c.media_id, c.first, CASE WHEN q - c.s >= 2 THEN q ELSE c.s + 6 END, c.e, c.step + 1 FROM cut AS c LEFT JOIN hop ON hop.media_id = c.media_id AND hop.s = c.s WHERE c.e - c.s > 6),
+follow AS (SELECT *, lead(s) OVER (PARTITION BY media_id, first ORDER BY step) AS nx FROM cut),
+pieces AS (SELECT media_id, s AS start_sec, CASE WHEN nx IS NULL OR e - nx < 2 THEN e ELSE nx END AS end_sec FROM follow WHERE NOT (nx IS NULL AND step > 0 AND e - s < 2))"""
+
+
+@query(f"+{_pieces(0)} SELECT media_id, start_sec, end_sec FROM pieces", "series")
 def split_voiced(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.series(spark, sf_dir)
     found = voice.voiced_intervals(s, "level", "second", 0.5, 5.0, 3.0)
@@ -484,13 +518,26 @@ def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.ranked_entities(f, "e", ["media_id"], "timestamp").select("media_id", F.array_join("entities", "|").alias("entities"))
 
 
-@query()
+@query(f"""+{TEXT_SERIES},
+j AS (SELECT s.media_id, s.second, level, score AS words FROM series AS s JOIN ts ON ts.media_id = s.media_id AND ts.second = s.second),
+u AS (SELECT media_id, second, count(*) OVER m AS size, (level - min(level) OVER m) / (max(level) OVER m - min(level) OVER m + 1e-9) * CAST(0.45 AS DOUBLE) + (words - min(words) OVER m) / (max(words) OVER m - min(words) OVER m + 1e-9) * CAST(0.55 AS DOUBLE) AS x FROM j WINDOW m AS (PARTITION BY media_id)),
+fused AS (SELECT media_id, second, (coalesce(lag(x, 2) OVER w, 0) + coalesce(lag(x) OVER w, 0) + x + coalesce(lead(x) OVER w, 0) + coalesce(lead(x, 2) OVER w, 0)) / 5 AS x FROM u WINDOW w AS (PARTITION BY media_id ORDER BY second)),
+f AS (SELECT media_id, CAST(floor(start_sec) AS BIGINT) AS second, row_number() OVER (PARTITION BY media_id ORDER BY seg_no, keyword) AS ord FROM segments, lexicon WHERE must_include AND contains(text, keyword)),
+fk AS (SELECT f.media_id, f.second, row_number() OVER (PARTITION BY f.media_id ORDER BY ord) AS k FROM f JOIN fused ON fused.media_id = f.media_id AND fused.second = f.second),
+fl AS (SELECT media_id, second, max(k) AS k FROM fk GROUP BY ALL),
+raised AS (SELECT s.media_id, s.second, coalesce(max(x) OVER (PARTITION BY s.media_id) * pow(CAST(1.5 AS DOUBLE), k), x) AS x FROM fused AS s LEFT JOIN fl ON fl.media_id = s.media_id AND fl.second = s.second),
+p AS (
+  SELECT media_id, 0 AS step, CAST(NULL AS BIGINT) AS second, CAST(NULL AS DOUBLE) AS score, list(x ORDER BY second) AS left_over FROM raised GROUP BY media_id
+  UNION ALL
+  SELECT media_id, step + 1, CAST(place - 1 AS BIGINT), top, list_transform(left_over, lambda x, i: CASE WHEN i >= place - 15 AND i < place + 15 THEN CAST(0 AS DOUBLE) ELSE x END)
+  FROM (SELECT *, list_max(left_over) AS top, list_position(left_over, list_max(left_over)) AS place FROM p) AS y WHERE top >= 0.01 AND step < 25)
+SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY second) AS INTEGER) AS peak_no, second, round(score, 6) AS score FROM p WHERE step > 0""", "segments", "lexicon", "series")
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of level and text together, with forced seconds raised."""
     segments, lexicon = A.segments(spark, sf_dir), A.lexicon(spark)
     level = A.series(spark, sf_dir).select("media_id", "second", "level")
     words = series.text_series(segments, lexicon).select("media_id", "second", F.col("score").alias("words"))
-    return selection.pick_highlights({"level": level, "words": words}, {"level": 0.45, "words": 0.55}, series.must_include(segments, lexicon), 25, 15)
+    return _round(selection.pick_highlights({"level": level, "words": words}, {"level": 0.45, "words": 0.55}, series.must_include(segments, lexicon), 25, 15), "score")
 
 
 @query(f"""+k AS (SELECT seg_no, s.media_id, start_sec, trim(text, ' ' || chr(10)) AS text, CAST(sum(CASE WHEN contains(text, keyword) THEN weight ELSE 0 END) AS BIGINT) AS score FROM segments AS s, lexicon GROUP BY ALL),
@@ -528,7 +575,9 @@ def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(voice.frame_rms(A.series(spark, sf_dir), "level", "second", 8, 4), "rms")
 
 
-@query()
+@query(f"""+{_pieces(1)},
+voice AS (SELECT p.media_id, start_sec, end_sec, count(*) * CAST(0.5 AS DOUBLE) AS voice_sec FROM pieces AS p JOIN series AS s ON s.media_id = p.media_id AND level >= 5 AND second * 0.5 >= start_sec AND second * 0.5 < end_sec GROUP BY ALL)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_sec) AS clip_no, start_sec, end_sec, voice_sec FROM voice WHERE end_sec - start_sec >= 2 AND voice_sec >= 1.5""", "series")
 def prepared_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voiced stretches split, filtered and numbered, ready for enrolment."""
     return voice.prepared_clips(A.series(spark, sf_dir), "level", "second", 0.5, least=5.0, gap=3.0, shortest=2.0, longest=6.0, least_voice=1.5)
@@ -611,7 +660,18 @@ def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recordings.frame_index(f, durations, 4.0)
 
 
-@query()
+@query("""+g AS (SELECT media_id, start_sec AS t, row_number() OVER (PARTITION BY media_id ORDER BY start_sec) AS n, list_transform(embedding, lambda x: CAST(CAST((CAST(x AS DOUBLE) + 1) / 2 AS FLOAT) AS DOUBLE)) AS grey FROM windows),
+box AS (SELECT media_id, n, o, list_transform(list_filter(range(1, 65), lambda i: (i - 1) // 8 BETWEEN o // 2 AND o // 2 + 6 AND (i - 1) % 8 BETWEEN o % 2 AND o % 2 + 6), lambda i: grey[i]) AS x FROM g, (SELECT unnest(range(4)) AS o) AS offsets),
+sums AS (SELECT *, list_avg(x) AS m, list_avg(list_transform(x, lambda y: y * y)) AS q FROM box),
+pairs AS (SELECT a.media_id, a.n AS kept, b.n, a.o, a.m AS ma, b.m AS mb, a.q - a.m * a.m AS va, b.q - b.m * b.m AS vb, list_inner_product(a.x, b.x) / 49 - a.m * b.m AS ab FROM sums AS a JOIN sums AS b ON b.media_id = a.media_id AND b.o = a.o AND b.n > a.n AND b.n - a.n <= 16),
+alike AS (SELECT media_id, kept, n, avg((2 * ma * mb + CAST(0.0001 AS DOUBLE)) * (2 * ab * 49 / 48 + CAST(0.0009 AS DOUBLE)) / ((ma * ma + mb * mb + CAST(0.0001 AS DOUBLE)) * ((va + vb) * 49 / 48 + CAST(0.0009 AS DOUBLE)))) AS s FROM pairs GROUP BY ALL),
+gate AS (
+  SELECT media_id, n, t, n AS kept, t AS kept_at, CAST(NULL AS DOUBLE) AS s, true AS selected, 'first_frame' AS reason FROM g WHERE n = 1
+  UNION ALL
+  SELECT media_id, n, t, CASE WHEN why = 'propagated' THEN kept ELSE n END, CASE WHEN why = 'propagated' THEN kept_at ELSE t END, s, why <> 'propagated', why
+  FROM (SELECT x.media_id, g.n, g.t, x.kept, x.kept_at, a.s, CASE WHEN round(1 - a.s, 6) >= 0.9 THEN 'change' WHEN g.t - x.kept_at >= 8 THEN 'max_skip' ELSE 'propagated' END AS why
+    FROM gate AS x JOIN g ON g.media_id = x.media_id AND g.n = x.n + 1 JOIN alike AS a ON a.media_id = x.media_id AND a.kept = x.kept AND a.n = g.n) AS y)
+SELECT media_id, t AS timestamp, round(s, 6) AS similarity, round(1 - s, 6) AS change_score, selected, reason FROM gate""", "windows")
 def image_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as grey images of 8 x 8, gated by structural similarity."""
     w = A.windows(spark, sf_dir)
@@ -640,7 +700,7 @@ def candidate_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.candidate_sheet(c)
 
 
-@query(f"""+{STRETCHES},
+@query(f"""+{_stretches(0.5)},
 c AS (SELECT media_id, count(*) AS n, sum(e - s) AS sec FROM m GROUP BY media_id),
 a AS (SELECT x.media_id % 7 AS speaker, x.media_id AS source, coalesce(n, 0) AS n, coalesce(sec, 0) AS sec FROM (SELECT DISTINCT media_id FROM series) AS x LEFT JOIN c ON c.media_id = x.media_id)
 SELECT speaker, count(*) AS source_count, CAST(sum(n) AS BIGINT) AS total_clips, sum(sec) AS clip_sec, string_agg(source || '=' || n, '|' ORDER BY source) AS sources FROM a GROUP BY speaker""", "series")

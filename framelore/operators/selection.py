@@ -113,21 +113,27 @@ def duration_clips(windows: DataFrame, longest: float, target: float) -> DataFra
     return _ranked(windows, longest, None, target)
 
 
+def clips_of(pdf: pd.DataFrame, longest: float, threshold: float | None = None, target: float | None = None) -> tuple[list[dict], float]:
+    """Clips of one medium's windows in the order of the windows that began them (first), and the score of the last one used."""
+    clips: list[dict] = []
+    used = 0.0
+    for w in pdf.sort_values(["score", "win_no"], ascending=[False, True], kind="stable").itertuples():
+        if threshold is not None and not w.score >= threshold or target is not None and (target <= 0 or sum(c["end"] - c["start"] for c in clips) >= target):
+            break
+        clip = {"start": w.start_sec, "end": min(w.end_sec, w.start_sec + longest), "center": w.center_sec, "score": w.score}
+        used = round(w.score, 4)
+        at = next((i for i, c in enumerate(clips) if clip["start"] <= c["end"] + TOUCH and c["start"] <= clip["end"] + TOUCH), None)
+        if at is None:
+            clips.append({"start": round(clip["start"], 3), "end": round(clip["end"], 3), "center": round(clip["center"], 3), "score": round(clip["score"], 4), "first": (w.score, w.win_no)})
+        else:
+            clips[at] = _absorb(clip, clips[at], longest) | {"first": clips[at]["first"]}
+    return clips, used
+
+
 def _ranked(windows: DataFrame, longest: float, threshold: float | None, target: float | None) -> DataFrame:
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        clips: list[dict] = []
-        used = 0.0
-        for w in pdf.sort_values(["score", "win_no"], ascending=[False, True], kind="stable").itertuples():
-            if threshold is not None and not w.score >= threshold or target is not None and (target <= 0 or sum(c["end"] - c["start"] for c in clips) >= target):
-                break
-            clip = {"start": w.start_sec, "end": min(w.end_sec, w.start_sec + longest), "center": w.center_sec, "score": w.score}
-            used = round(w.score, 4)
-            at = next((i for i, c in enumerate(clips) if clip["start"] <= c["end"] + TOUCH and c["start"] <= clip["end"] + TOUCH), None)
-            if at is None:
-                clips.append({"start": round(clip["start"], 3), "end": round(clip["end"], 3), "center": round(clip["center"], 3), "score": round(clip["score"], 4)})
-            else:
-                clips[at] = _absorb(clip, clips[at], longest)
+        clips, used = clips_of(pdf, longest, threshold, target)
         clips.sort(key=(lambda c: -c["score"]) if target is None else (lambda c: c["start"]))
         return pd.DataFrame([(pdf["media_id"].iloc[0], i + 1, c["start"], c["end"], c["center"], c["score"], used) for i, c in enumerate(clips)], columns=["media_id", "clip_no", "start_sec", "end_sec", "center_sec", "score", "least_score"])
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelore.functions import text as T
 from framelore.functions.rounding import round_half_even
-from framelore.operators import cache, chunks, detector, images, islands, joins, quantiles, selection, series, shared, vectors, voice
+from framelore.operators import cache, chunks, detector, images, islands, joins, long_selection, quantiles, selection, series, shared, vectors, voice
 from framelore.sources import adapters as A
 from framelore.sources import manifests, media_files, recordings, subtitles
 
@@ -755,6 +755,18 @@ def long_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(quantiles.percentiles(A.series(spark, sf_dir), "level", {"p60": 0.6, "p35": 0.35}), "p60", "p35")
 
 
+@same_rows("peaks_nms")
+def long_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks by rounds over chunks of 30 seconds."""
+    return long_selection.peaks(A.series(spark, sf_dir), "level", 10, 6, 30)
+
+
+@same_rows("ranked_clips")
+def long_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked clips by stretches of windows that touch."""
+    return long_selection.ranked_clips(A.windows(spark, sf_dir), 5.0, 0.8, 20.0)
+
+
 @query(f"""+s AS (SELECT media_id, second, {SMOOTH5} AS x FROM series WINDOW w AS (PARTITION BY media_id ORDER BY second))
 SELECT media_id, second, round_even(CAST(floor(x * 16) AS DOUBLE) / 16, 3) AS rounded FROM s""", "series")
 def rounded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelore.functions import edits, rounding
-from framelore.operators import chunks, islands, quantiles, selection, series
+from framelore.operators import chunks, islands, long_selection, quantiles, selection, series
 
 SIZE = 50
 
@@ -172,3 +172,32 @@ def test_smoothed_log_keeps_the_raw_labels(spark):
     rows = [(1, 0.0, "menu", 1, 0, 0.5, "x", "y", None), (1, 2.0, "combat", 4, 0, 0.4, "z", "y", "propagated"), (1, 4.0, "menu", 1, 3, 0.5, "x", "y", None)]
     got = islands.smoothed_log(spark.createDataFrame(rows, schema)).orderBy("timestamp").collect()
     assert [(r.raw.scene_type, r.scene_type, r.raw.intensity, r.intensity, r.source, r.selected, r.reason) for r in got] == [("menu", "menu", 1, 2, "label", True, None), ("combat", "menu", 4, 2, "propagated", True, None), ("menu", "menu", 1, 2, "label", True, None)]
+
+
+@pytest.mark.parametrize("shape", ["ties", "ramp"])
+def test_peaks_by_rounds_are_the_greedy_ones(spark, shape):
+    rng = random.Random(71)
+    rows = [(m, t, rng.randrange(8) / 4 if shape == "ties" else t / 8) for m in range(6) for t in range(rng.randrange(1, 400))]
+    levels = spark.createDataFrame(rows, "media_id long, second long, level double").repartition(3)
+    for count, gap in ((1, 1), (7, 3), (500, 4)):
+        assert rows_of(long_selection.peaks(levels, "level", count, gap, SIZE)) == rows_of(selection.peaks(levels, "level", count, gap))
+
+
+def test_peaks_by_rounds_of_gaps_nulls_and_nothing(spark):
+    schema = "media_id long, second long, level double"
+    rows = [(1, 5, 2.0), (1, 5, 3.0), (1, 900, float("nan")), (1, 901, 1.0), (1, 902, None), (2, 0, 0.0), (None, 3, 1.0)]
+    got = long_selection.peaks(spark.createDataFrame(rows, schema), "level", 9, 6, SIZE).collect()
+    assert sorted((r.media_id or 0, r.peak_no, r.second, r.score) for r in got) == [(0, 1, 3, 1.0), (1, 1, 5, 3.0), (1, 2, 901, 1.0)]
+    assert long_selection.peaks(spark.createDataFrame([], schema), "level", 9, 6).count() == 0
+    assert long_selection.peaks(spark.createDataFrame(rows, schema), "level", 0, 6).count() == 0
+    with pytest.raises(ValueError):
+        long_selection.peaks(spark.createDataFrame(rows, schema), "level", 9, 0)
+
+
+def test_clips_by_stretches_are_the_greedy_ones(spark, windows):
+    named = windows.where("media_id is not null")
+    for longest, threshold in ((2.0, 0.1), (5.0, 0.6), (40.0, 0.8)):
+        assert rows_of(long_selection.ranked_clips(named, longest, threshold, SIZE)) == rows_of(selection.ranked_clips(named, longest, threshold))
+    assert long_selection.ranked_clips(windows.limit(0), 5.0, 0.5).count() == 0
+    of_null = long_selection.ranked_clips(windows.where("media_id is null"), 5.0, 0.6, SIZE)
+    assert rows_of(of_null) == rows_of(selection.ranked_clips(windows.where("media_id is null"), 5.0, 0.6))

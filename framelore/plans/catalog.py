@@ -16,7 +16,8 @@ from framelore.functions import text as T
 from framelore.functions.rounding import round_half_even
 from framelore.operators import cache, chunks, detector, images, islands, joins, long_selection, quantiles, selection, series, shared, vectors, voice
 from framelore.sources import adapters as A
-from framelore.sources import manifests, media_files, recordings, subtitles
+from framelore.sources import manifests, media_files, pcm, recordings, subtitles
+from framelore.streaming import timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -789,3 +790,64 @@ def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     media_files.write_files(subtitles.format_srt(A.subtitle_pair(spark, sf_dir)[1]), path, "media_id", "srt", ".srt")
     read = subtitles.read_files(spark, path).withColumn("media_id", F.col("media_id").cast("long"))
     return _long(subtitles.parse_srt(read), "idx")
+
+
+@query("SELECT media_id, seg_no, start_sec, end_sec, text FROM segments", "segments")
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips written as a JSON file for each medium, and read back from the files."""
+    path = f"{shared.folder(spark)}/manifests-{uuid.uuid4().hex}"
+    s = A.segments(spark, sf_dir).withColumn("medium", F.col("media_id"))
+    media_files.write_files(manifests.manifest(s, "clips", "seg_no"), path, "media_id", "json", ".json")
+    schema = "medium long, seg_no long, start_sec double, end_sec double, text string"
+    return _long(manifests.read_json(spark, path, schema, "clips").withColumnRenamed("medium", "media_id"), "media_id", "seg_no")
+
+
+@query("SELECT media_id, second, least(32767, level * 16) / 32768 AS rms FROM series", "series")
+def recording_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels written as a recording for each medium, 8 samples a second, and measured from byte ranges of the files."""
+    path = f"{shared.folder(spark)}/recordings-{uuid.uuid4().hex}"
+    sample = F.least(F.lit(32767), F.col("level") * 16).cast("int")
+    second = F.repeat(F.format_string("%02x%02x", sample % 256, (sample / 256).cast("int")), 8)
+    listed = F.array_sort(F.collect_list(F.struct("second", second.alias("hex"))))
+    body = F.unhex(F.array_join(F.transform(listed, lambda x: x["hex"]), ""))
+    media_files.write_files(A.series(spark, sf_dir).groupBy("media_id").agg(body.alias("body")), path, "media_id", "body", ".pcm")
+    read = pcm.split_second_levels(spark, path, header=False, rate=8, seconds=30, together=3600)
+    return read.select(F.regexp_extract("path", "([0-9]+)[.]pcm$", 1).cast("long").alias("media_id"), "second", "rms")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN '{' || chr(10) || '  "k": ' || k || chr(10) || '}'
+    ELSE '{' || chr(10) || '  "validated_json": false,' || chr(10) || '  "warning": "no JSON found in the answer",' || chr(10) || '  "raw_output": "it says ' || k || '"' || chr(10) || '}' END AS output,
+  event_id % 5 > 0 AS validated, CASE WHEN event_id % 5 > 0 THEN 'Here: ' || props ELSE 'it says ' || k END AS plain
+FROM (SELECT event_id, props, regexp_extract(props, '[0-9]+') AS k FROM events) AS e""")
+def answer_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with and without JSON, as JSON and as they are."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit(" Here: "), F.col("props"), F.lit("\n"))).otherwise(F.concat(F.lit("it says "), F.regexp_extract("props", "[0-9]+", 0), F.lit(" ")))
+    return e.select("event_id", T.format_answer(raw).alias("x"), T.format_answer(raw, as_json=False).alias("y")).select("event_id", "x.output", "x.validated", F.col("y.output").alias("plain"))
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cents = F.round(F.col("value") * 100).cast("long")
+    return e.select(F.col("user_id").alias("media_id"), F.col("ts").cast("timestamp").alias("ts"), cents.alias("score"), cents.alias("level"))
+
+
+def _bounds(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.unix_micros(c) for c in ("start", "end")})
+
+
+@query("""WITH e AS (SELECT user_id AS media_id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY media_id ORDER BY t) > 7200000000 THEN 1 ELSE 0 END AS b FROM e),
+g AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY t) AS g FROM b)
+SELECT media_id, min(t) AS start, max(t) + 7200000000 AS "end", count(*) AS windows, max(cents) AS best FROM g GROUP BY media_id, g""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user's events, two hours apart; the same plan runs on a stream."""
+    return _bounds(timeline.sessions(_timed(spark, sf_dir), "2 hours", "1 hour"))
+
+
+@query("""WITH e AS (SELECT user_id AS media_id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+w AS (SELECT media_id, (t // 7200000000 - k) * 7200000000 AS start, cents FROM e, (SELECT unnest(range(3)) AS k) AS x)
+SELECT media_id, start, start + 21600000000 AS "end", round(CAST(sum(cents) AS DOUBLE) / count(*), 6) AS level FROM w GROUP BY media_id, start""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean value of a user's events in windows of six hours, one every two; the same plan runs on a stream."""
+    return _round(_bounds(timeline.sliding(_timed(spark, sf_dir), "6 hours", "2 hours", "1 hour")), "level")

@@ -43,7 +43,7 @@ class MediaFileWriter(DataSourceWriter):
             if not name or "/" in name or name.startswith("_"):
                 raise ValueError(f"not a file name: {name!r}")
             with store.open_output_stream(f"{folder}/{name}") as out:
-                out.write((body or "").encode())
+                out.write(body.encode() if isinstance(body, str) else bytes(body or b""))
         return Written(folder)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -66,7 +66,7 @@ class MediaFileWriter(DataSourceWriter):
 
 
 class MediaFiles(DataSource):
-    """``format("media_files")``: rows of name and body; option path, a folder on a file system that all tasks reach."""
+    """``format("media_files")``: rows of name and body, a text or bytes; option path, a folder that all tasks reach."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,7 +92,7 @@ def write_files(files: DataFrame, path: str, name: str, body: str, ending: str,
     body is an empty file, a null name an error. A file that is there is replaced; with ``overwrite`` all others go as well.
     """
     register(files.sparkSession)
-    named = files.select(F.concat(F.col(name).cast("string"), F.lit(ending)).alias("name"), F.coalesce(F.col(body), F.lit("")).alias("body"))
+    named = files.select(F.concat(F.col(name).cast("string"), F.lit(ending)).alias("name"), F.coalesce(F.col(body), F.lit("").cast(files.schema[body].dataType)).alias("body"))
     least, most = F.min("body"), F.max("body")
     one = named.groupBy("name").agg(F.when(least == most, least).otherwise(F.raise_error(F.concat(F.lit("two files of the name "), F.col("name")))).alias("body"))
     one.select("name", "body").write.format("media_files").mode("overwrite" if overwrite else "append").option("path", path).save()

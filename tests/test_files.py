@@ -227,6 +227,7 @@ def test_levels_by_ranges_equal_those_of_whole_files(spark, tmp_path, rate, widt
 def test_bare_samples_by_ranges(spark, tmp_path):
     samples = np.random.default_rng(5).integers(-(2**15), 2**15, 40_001).astype("<i2")
     (tmp_path / "a.pcm").write_bytes(samples.tobytes() + b"x")
+    assert pcm.split_second_levels(spark, f"file://{tmp_path}", header=False, seconds=1, together=100).rdd.getNumPartitions() == 1
     got = pcm.split_second_levels(spark, f"file://{tmp_path}", header=False, seconds=1).orderBy("second").collect()
     want = [np.sqrt(np.mean((samples[i : i + 16_000] / 32768.0) ** 2)) for i in (0, 16_000)]
     assert [r.second for r in got] == [0, 1] and np.allclose([r.rms for r in got], want)

@@ -174,7 +174,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next smaller doc_id (ties: by a hash of the text), after the last the first; a single
-    document follows itself. Null texts count as empty, a null doc_id comes last. Repeated rows follow one another. One
+    document follows itself. Null texts count as empty, a null doc_id comes last. Repeated rows follow one another.
+    Very long texts are read whole, an empty table gives no rows and other columns are ignored. One
     range exchange brings neighbours together; only each partition's first and last rows meet across partitions.
     """
     spark = docs.sparkSession

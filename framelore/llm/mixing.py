@@ -125,7 +125,7 @@ def mixed(docs: DataFrame, columns: list[str] | None = None, keep: float = KEEP,
 
     Null sources and languages are cells of their own, named by an empty text. Repeated rows are drawn one by one, and no
     column of ``docs`` can clash, as all lie in the struct. Empty and null texts have no tokens and count in no margin; their
-    probability follows their cell's weight. No rows give no rows.
+    probability follows their cell's weight. Very long texts count whole. No rows give no rows.
 
     A cell's documents are numbered slice by slice, by the magnitude of their length and a digest of doc_id, so no cell is
     sorted in one task however large it is.

@@ -324,7 +324,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles, link with nothing and are kept. Rows that share a doc_id are linked by their own
     texts: with equal sets they are one class, with different ones two, which share a component only if linked. A null doc_id
-    takes part in nothing, has no component and is not kept. Columns other than doc_id and text are ignored.
+    takes part in nothing, has no component and is not kept. Very long texts are read whole, an empty table gives no rows, and
+    columns other than doc_id and text are ignored.
     """
     return _rooted(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).toDF("doc_id", "n_shingles", "component_id", "kept")
 

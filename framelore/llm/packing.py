@@ -176,7 +176,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents with their sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Rows that share a doc_id are packed one by one. No rows give no sequences.
+    A null or empty text is the end id alone, a very long one is cut into as many pieces as it takes. Rows that share a doc_id are
+    packed one by one, a null doc_id like any other. No rows give no sequences.
     Columns other than doc_id and text are ignored.
     """
     return pack(tokenised_pieces(docs, path, capacity, end_id), capacity)

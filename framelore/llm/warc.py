@@ -114,7 +114,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     Decisions about revisits come from digests alone; pages themselves are shuffled once, by page_id, so a group of equal
     pages is spread over all tasks. Within a group, rows that share the largest page_id are all responses. A null page_id
     counts as smaller than any other. A file is written under a name of its task's attempt and renamed when whole, so a lost
-    or doubled attempt leaves no half file. A null html is an empty payload.
+    or doubled attempt leaves no half file. A null html is an empty payload; a page is one record, held whole in memory however
+    long. An empty table gives no files, and other columns are ignored.
     """
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit("")).cast("binary")

@@ -1,7 +1,14 @@
 """The pipeline against its stages done by hand on the smallest table."""
 
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from framelore.llm import near_dedup, toxicity
+from framelore.llm import mixing, near_dedup, packing, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +32,38 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "mixing", "packing"]
 
 
+def test_last_stages_give_whole_results(spark, tmp_path):
+    """What mixing draws is what its SQL draws from the same rows; packing holds each token of those once."""
+    spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 > 0").write.parquet(f"file://{tmp_path}/single")
+    single = spark.read.parquet(f"file://{tmp_path}/single")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/single/*.parquet'")
+    drawn = {d for (d,) in con.sql(f"SELECT doc_id FROM ({mixing.SQL}) AS x WHERE kept").fetchall()}
+    mixed = corpus_pipeline.mix_sources(spark, single, SF)
+    texts = {r.doc_id: r.text for r in mixed.collect()}
+    assert texts == {r.doc_id: r.text for r in single.collect() if r.doc_id in drawn} and 0 < len(drawn) < single.count()
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    ids = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
+    pieces, sequences = {}, {}
+    for r in corpus_pipeline.pack_sequences(spark, mixed, SF).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == ids.keys() and all(_gapless(p) == len(ids[d]) for d, p in pieces.items())
+    assert sorted(sequences) == list(range(len(sequences))) and all(_gapless(p) <= packing.CAPACITY for p in sequences.values())
+    # Some classes' last bins are left over, so few documents pad more than many.
+    assert len(sequences) <= 1.1 * sum(map(len, ids.values())) / packing.CAPACITY + 1
+
+
+def _gapless(parts):
+    at = 0
+    for start, length in sorted(parts):
+        assert start == at
+        at += length
+    return at
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(50))
     schema = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, root long, text_key string"

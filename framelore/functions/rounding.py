@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bits behind the point that are looked at as a whole number; a remainder below them only breaks ties.
-BITS = 61
+#: A double times this, less what it adds, keeps the upper half of its bits.
+SPLITTER = float(2**27 + 1)
 
 
 def round_half_even(x: Column, places: int) -> Column:
     """``x`` to up to nine decimal places. ``bround`` rounds the shortest decimal text of a double, which 2.675 shows.
 
-    The fraction becomes a whole number of 2 ** -61, exactly, and its multiple by the power of ten a decimal, so that it is
-    compared with the half without an error. Doubles too large to have such places, infinities and NaN stay as they are.
+    The product with the power of ten is taken with its error, both exact as doubles: halves of its factors have products
+    without one. The error decides where the product lies on the half. Doubles too large to have such places, infinities and
+    NaN stay as they are.
     """
     if not 0 <= places <= 9:
         raise ValueError("places must be from 0 to 9")
     x = x.cast("double")
-    size = F.abs(x)
-    whole = F.floor(size)
-    scaled = (size - whole) * float(2**BITS)
-    bits = F.floor(scaled)
-    unit, ten = F.lit(2**BITS).cast("decimal(19,0)"), F.lit(10**places).cast("decimal(10,0)")
-    multiple = bits.cast("decimal(19,0)") * ten
-    rest = multiple % unit
-    number = ((multiple - rest) / unit).cast("long") + whole * (10**places)
-    twice = rest * F.lit(2).cast("decimal(1,0)")
-    up = (twice > unit) | ((twice == unit) & ((scaled != bits) | (number % 2 == 1)))
-    rounded = (number + up.cast("long")) / F.lit(float(10**places))
-    fits = size < F.lit(2.0**53 / 10**places)
-    return F.when(fits, F.when(F.signum(x) < 0, -rounded).otherwise(rounded)).otherwise(x)
+    size, power = F.abs(x), float(10**places)
+    product = size * power
+    error = _error(size, power, product)
+    whole = F.floor(product)
+    beyond = product - whole - 0.5
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = (whole + up.cast("int")) / power
+    return F.when(size < 2.0**53 / power, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
+
+
+def _error(a: Column, b: float, product: Column) -> Column:
+    """The exact product of both less ``product``, the rounded one."""
+
+    def upper(v):
+        return v * SPLITTER - (v * SPLITTER - v)
+
+    a1, b1 = upper(a), upper(b)
+    a2, b2 = a - a1, b - b1
+    return a2 * b2 - (product - a1 * b1 - a2 * b1 - a1 * b2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a")
-        star = materialise(small.select(F.explode(F.array("a", "b")).alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
+        before, star = star, materialise(small.select(F.explode(F.array("a", "b")).alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
+        discard(before)
         now = _sum(star)
         if now == seen:
             break

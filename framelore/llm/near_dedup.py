@@ -39,6 +39,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 COORDINATES = 64
 MATCHES = 29
 STAR_MEETINGS = 4
+#: So many of a hub's arms, about, share one copy of its set.
+ARMS_TOGETHER = 256
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 4 << 20
 
@@ -288,8 +290,13 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     stars = prefix.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     # Classes that meet a hub in few lists alone are left to the step below, which misses none.
     stars = stars.groupBy("a", "b").count().where(F.col("count") >= STAR_MEETINGS).select("a", "b")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("set").alias(f"set_{x}"))
-    arms = stars.join(side("b"), "b").join(side("a"), "a").where(_sizes_allow("n_a", "n_b"))
+    # A hub's arms are dealt to slices, and its set is sent once a slice, not once an arm.
+    hub = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
+    fan = stars.groupBy("b").agg(F.ceil(F.count("*") / ARMS_TOGETHER).alias("slices")).join(hub, "b")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("set").alias(f"set_{x}"))
+    dealt = stars.join(fan, "b").withColumn("slice", F.pmod(F.xxhash64("a"), "slices")).join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
+    reach = fan.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).join(side("b"), "b")
+    arms = dealt.where(_sizes_allow("n_a", "n_b")).select("a", "b", "slice").join(side("a"), "a").join(reach, ["b", "slice"])
     first = arms.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_starred, "a long, b long")
     labels = materialise(components(first))
 

@@ -66,12 +66,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     residual, by how much a margin is missed at most, is above the tolerance. Cells without tokens keep weight 1. A margin's
     cells meet in one window; cells are few beside documents.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
     fitted = cells.withColumn("weight", F.lit(1.0))
     for margin, target in targets.items():
         fitted = fitted.join(target.withColumnRenamed("share", f"share_{margin}"), margin)
     fitted = materialise(fitted.withColumn("off", F.lit(0.0)))
-    few = fitted.count() <= CELLS_TOGETHER
+    total, n = fitted.agg(F.sum("tokens"), F.count("*")).first()
+    few = n <= CELLS_TOGETHER
     missed = float("inf")
     while total:
         step = fitted.coalesce(1) if few else fitted
@@ -136,7 +136,7 @@ def mixed(docs: DataFrame, columns: list[str] | None = None, keep: float = KEEP,
     topic = topic_of(F.col("counts"), topics).alias("topic")
     ready = materialise(keyed.select("row", "source", "lang", topic, "tokens", "draw", F.length(F.bin("tokens")).alias("size"), F.substring("draw", 1, 2).alias("slice")))
     cells = materialise(ready.groupBy(*CELL).agg(F.sum("tokens").alias("tokens")))
-    targets = {m: materialise(tempered(cells, m, temper[m])) for m in CELL}
+    targets = {m: tempered(cells, m, temper[m]) for m in CELL}
     fitted = calibrated(rake(cells, targets), keep)
 
     part = [*CELL, "size", "slice"]

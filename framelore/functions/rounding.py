@@ -5,36 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A double times this, less what it adds, keeps the upper half of its bits.
-SPLITTER = float(2**27 + 1)
-
 
 def round_half_even(x: Column, places: int) -> Column:
     """``x`` to up to nine decimal places. ``bround`` rounds the shortest decimal text of a double, which 2.675 shows.
 
-    The product with the power of ten is taken with its error, both exact as doubles: halves of its factors have products
-    without one. The error decides where the product lies on the half. Doubles too large to have such places, infinities and
-    NaN stay as they are.
+    The product with the power of ten may be rounded onto a half. What was lost then decides; it is exact, as both the part of
+    ``x`` that a float holds and the rest have exact products with a power of so few bits. Doubles too large to have such
+    places, infinities and NaN stay as they are.
     """
     if not 0 <= places <= 9:
         raise ValueError("places must be from 0 to 9")
-    x = x.cast("double")
-    size, power = F.abs(x), float(10**places)
-    product = size * power
-    error = _error(size, power, product)
-    whole = F.floor(product)
-    beyond = product - whole - 0.5
-    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    rounded = (whole + up.cast("int")) / power
-    return F.when(size < 2.0**53 / power, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
-
-
-def _error(a: Column, b: float, product: Column) -> Column:
-    """The exact product of both less ``product``, the rounded one."""
-
-    def upper(v):
-        return v * SPLITTER - (v * SPLITTER - v)
-
-    a1, b1 = upper(a), upper(b)
-    a2, b2 = a - a1, b - b1
-    return a2 * b2 - (product - a1 * b1 - a2 * b1 - a1 * b2)
+    x, power = x.cast("double"), float(10**places)
+    product, upper = x * power, x.cast("float").cast("double")
+    lost = (upper * power - product) + (x - upper) * power
+    aside = F.when(product * 2 == F.rint(product * 2), F.signum(lost) * 0.25).otherwise(0.0)
+    return F.when(F.abs(x) < 2.0**53 / power, F.rint(product + aside) / power).otherwise(x)

@@ -140,7 +140,7 @@ def test_rounding_is_pythons(spark):
     numbers += [rng.uniform(-1000, 1000) for _ in range(5000)] + [rng.random() * 10.0 ** rng.randrange(-12, 14) for _ in range(3000)]
     numbers += [(rng.randrange(10**6) * 2 + 1) / 2 / 10 ** rng.randrange(0, 5) for _ in range(2000)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i long, x double")
-    for places in (0, 2, 3, 4):
+    for places in (0, 2, 3, 4, 9):
         got = [r[0] for r in df.orderBy("i").select(rounding.round_half_even(F.col("x"), places)).collect()]
         assert got == [round(x, places) for x in numbers]
     odd = spark.createDataFrame([(float("inf"),), (None,), (float("nan"),)], "x double").select(rounding.round_half_even(F.col("x"), 3)).collect()

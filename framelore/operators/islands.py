@@ -117,16 +117,19 @@ def scenes(frames: DataFrame, fps: float, keys: list[str] = KEYS, order: str = "
         round_half_even(F.avg("intensity"), 3).alias("avg_intensity"), round_half_even(F.avg("danger_level"), 3).alias("avg_danger_level"),
         F.max_by("scene_summary", F.struct("confidence", -F.col(order))).alias("scene_summary"), round_half_even(F.avg("confidence"), 4).alias("avg_confidence"), F.count("*").alias("frame_count"),
     )
-    for c in ("expression_a", "expression_b"):
-        main = main.join(dominant(numbered, c, [*keys, "island"], order), [*keys, "island"])
+    faces = ["expression_a", "expression_b"]
+    main = main.join(dominant(numbered, faces, [*keys, "island"], order), [*keys, "island"], "left")
     following = F.lead("start_sec").over(W.partitionBy(*keys).orderBy("island"))
     return main.withColumn("end_sec", F.coalesce(following, F.col("last") + 1 / fps)).drop("last")
 
 
-def dominant(df: DataFrame, value: str, keys: list[str], order: str) -> DataFrame:
-    """Each group's most frequent value, of a tie the one seen first."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("seen"))).alias(value))
+def dominant(df: DataFrame, values: list[str], keys: list[str], order: str) -> DataFrame:
+    """Each group's most frequent value of every column, of a tie the one seen first; null where a column has none."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("value")) for i, c in enumerate(values)]))
+    rows = df.select(*keys, F.col(order).alias("at"), each.alias("face")).where("face.value is not null")
+    counts = rows.groupBy(*keys, "face").agg(F.struct(F.count("*").alias("n"), (-F.min("at")).alias("seen")).alias("rank"))
+    best = [F.max_by("face.value", F.when(F.col("face.which") == i, F.col("rank"))).alias(c) for i, c in enumerate(values)]
+    return counts.groupBy(*keys).agg(*best)
 
 
 def ranked_entities(df: DataFrame, entities: str, keys: list[str], order: str) -> DataFrame:

@@ -10,8 +10,10 @@ from framelore.operators.shared import discard, materialise
 
 KEYS = ["media_id"]
 BINS = 1024
-#: Into how many parts a group's rows are dealt for the join with its ranks.
+#: Into how many parts a group's rows are dealt to meet its spans.
 SALTS = 32
+#: How many rows a task of a round gets; tables of few distinct numbers are too small as files to be cut by their size.
+TASK_ROWS = 250_000
 
 
 def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: list[str] = KEYS, bins: int = BINS) -> DataFrame:
@@ -19,7 +21,8 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: li
 
     Each round counts the rows between two values in ``bins`` bins and keeps the bin that holds the rank, with the least and
     greatest value in it; it ends when these are equal. Counts are added up before they are exchanged and a group's rows are
-    dealt into parts, so no task holds a group. Nulls and NaN are left out; a group without other values has nulls.
+    dealt into parts, so no task holds a group; tasks are as many as rows need. Nulls and NaN are left out; a group without other
+    values has nulls.
     """
     if bins < 2:
         raise ValueError("bins must be 2 or more")
@@ -31,6 +34,7 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: li
     place = materialise(ends.select("*", asked.alias("a")).select(*keys, "lo", "hi", "a.name", ((F.col("n") - 1) * F.col("a.f")).alias("place")))
     two = F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")
     open_ranks = materialise(place.select(*keys, "lo", "hi", two).distinct().withColumn("below", F.lit(0).cast("long")))
+    tasks = 1 + (valid.count() + SALTS * (place.count() // len(fractions))) // TASK_ROWS
     found, written = None, [open_ranks]
     while True:
         done = open_ranks.where("lo = hi").select(*keys, "rank", F.col("lo").alias("v"))
@@ -38,7 +42,7 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: li
         left = open_ranks.where("lo < hi")
         if left.isEmpty():
             break
-        open_ranks = materialise(_refined(valid, left, keys, bins))
+        open_ranks = materialise(_refined(valid, left, keys, bins, tasks))
         written.append(open_ranks)
     values = materialise(found)
     discard(valid, *written)
@@ -48,7 +52,8 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: li
         same = F.col(f"{p}_rank") == rank
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"{p}_{k}"))
-        met = met.join(side, same)
+        # By their files these are small, by their rows too large to be sent whole to every task.
+        met = met.join(side.hint("merge"), same)
     share = F.col("place") - F.floor("place")
     between = F.when(F.col("low_v") == F.col("high_v"), F.col("low_v")).otherwise((1 - share) * F.col("low_v") + share * F.col("high_v"))
     got = met.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, between)).alias(name) for name in fractions])
@@ -59,19 +64,28 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], keys: li
     return rows.select(*keys).distinct().join(renamed, match, "left").select(*keys, *fractions)
 
 
-def _refined(valid: DataFrame, left: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """The ranks' bins, of narrower ends."""
-    renamed = left.select(*[F.col(k).alias(f"_{k}") for k in keys], "rank", "lo", "hi", "below", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    same = F.col("part") == F.col("_part")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    dealt = valid.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    met = dealt.join(renamed, same).where("v >= lo and v <= hi")
+def _refined(valid: DataFrame, left: DataFrame, keys: list[str], bins: int, tasks: int) -> DataFrame:
+    """The ranks' bins, of narrower ends.
+
+    Ranks between the same two values share a span, known by its group and the number of values below it. Spans of a group don't
+    overlap, so a value is counted in one at most, the last that begins at or below it; a rank's bin is found the same way.
+    """
+    dealt = valid.select(*keys, "v", "times", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("part"), F.lit(None).cast("struct<below: bigint, lo: double, hi: double>").alias("span"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spans = left.select(*keys, "below", "lo", "hi").distinct().select(*keys, F.col("lo").alias("v"), F.lit(None).cast("long").alias("times"), parts.alias("part"), F.struct("below", "lo", "hi").alias("span"))
+    together = dealt.union(spans).repartition(tasks, *keys, "part")
+    upwards = W.partitionBy(*keys, "part").orderBy("v", F.col("times").asc_nulls_first())
+    met = together.withColumn("span", F.last("span", ignorenulls=True).over(upwards)).where("times is not null and v <= span.hi").select(*keys, "part", "v", "times", "span.*")
     # Halves, so that no difference of two doubles is infinite.
     share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
     # The greatest value has the last bin for itself where all others are less: ends always come closer.
     cut = F.when(F.col("v") == F.col("hi"), bins - 1).otherwise(F.least(F.floor(share * bins), F.lit(bins - 2)))
-    counts = met.groupBy(*keys, "rank", "below", cut.alias("bin")).agg(F.sum("times").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    upto = F.sum("n").over(W.partitionBy(*keys, "rank").orderBy("bin"))
-    run = counts.withColumn("before", F.col("below") + upto - F.col("n"))
-    return run.where("rank >= before and rank < before + n").select(*keys, "lo", "hi", "rank", F.col("before").alias("below"))
+    counts = met.groupBy(*keys, "part", "below", cut.alias("bin")).agg(F.sum("times").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).drop("part")
+    ranks = left.select(*keys, "below", "rank")
+    both = counts.unionByName(ranks, allowMissingColumns=True).repartition(tasks, *keys, "below")
+    added = both.groupBy(*keys, "below", "bin", "rank").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    span = W.partitionBy(*keys, "below")
+    run = added.withColumn("before", F.col("below") + F.sum("n").over(span.orderBy("bin")) - F.col("n"))
+    place = span.orderBy(F.coalesce("rank", "before"), F.col("rank").asc_nulls_first())
+    held = F.last(F.when(F.col("rank").isNull(), F.struct("lo", "hi", F.col("before").alias("below"))), ignorenulls=True).over(place)
+    return run.withColumn("held", held).where("rank is not null").select(*keys, "held.lo", "held.hi", "rank", "held.below")

@@ -83,6 +83,26 @@ def test_percentiles_by_selection(spark, bins):
     assert got[5].end == 1.7e308
 
 
+def test_rounds_of_percentiles_send_no_table_to_every_task(spark, monkeypatch):
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df)
+
+    materialise = quantiles.materialise
+    monkeypatch.setattr(quantiles, "materialise", written)
+    # Many tasks a round, so that a group's parts lie apart.
+    monkeypatch.setattr(quantiles, "TASK_ROWS", 100, raising=False)
+    rng = np.random.default_rng(57)
+    groups = {g: rng.integers(0, 10 ** (g % 5), 40).astype(float) for g in range(60)} | {None: rng.normal(size=3000)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "media_id long, v double")
+    got = quantiles.percentiles(df, "v", {"a": 0.35, "b": 0.6})
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
+    for r in got.collect():
+        assert (r.a, r.b) == pytest.approx(tuple(np.percentile(groups[r.media_id], [35, 60])), rel=1e-12)
+
+
 def greedy_pairs(rows):
     left, right, out = set(), set(), []
     for r in sorted(rows, key=lambda r: (r[3], r[4], -r[5], r[1], r[2]), reverse=True):

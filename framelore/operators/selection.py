@@ -15,7 +15,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.operators import series
-from framelore.operators.joins import near_join
 from framelore.operators.shared import materialise
 
 KEYS = ["media_id"]
@@ -60,22 +59,43 @@ def clip_bounds(levels: DataFrame, centers: DataFrame, value: str, shortest: int
     """Bounds of a clip around each center second: as far as the series stays high, with single low seconds tolerated.
 
     High is the medium's 60th percentile. The search stops ``longest`` seconds away, or at two low seconds in a row. A clip
-    under ``shortest`` is widened to both sides, one over ``longest`` is cut around the center.
+    under ``shortest`` is widened to both sides, one over ``longest`` is cut around the center. Centers lie among the seconds in
+    the medium's windows, which find the nearest stop and the high second behind it; they meet no second one by one.
     """
-    threshold = F.expr(f"percentile({value}, 0.6)").over(W.partitionBy(*keys))
-    along = W.partitionBy(*keys).orderBy("second")
-    marked = levels.withColumn("low", F.col(value) < threshold).withColumns({"low_next": F.lead("low").over(along), "low_before": F.lag("low").over(along), "last": F.max("second").over(W.partitionBy(*keys))})
-    points = centers.select(*keys, F.col("second").alias("center"), F.col("second").alias("center_sec"))
-    near = near_join(points, marked.withColumn("start_sec", F.col("second")), longest, size=max(1, 2 * longest), keys=keys)
-    group = [*keys, "center"]
-    stop_left = F.max(F.when((F.col("second") < F.col("center")) & F.col("low") & F.col("low_next"), F.col("second"))).over(W.partitionBy(*group))
-    stop_right = F.min(F.when((F.col("second") > F.col("center")) & F.col("low") & F.col("low_before"), F.col("second"))).over(W.partitionBy(*group))
-    inside = near.withColumns({"left": stop_left, "right": stop_right})
-    c, t = F.col("center"), F.col("second")
-    reach_left, reach_right = F.greatest(F.lit(0), c - longest), F.least(F.col("last"), c + longest)
-    high_left = ~F.col("low") & (t <= c) & (t > F.coalesce("left", F.lit(-1))) & (t > reach_left)
-    high_right = ~F.col("low") & (t >= c) & (t < F.coalesce("right", F.col("last") + 1)) & (t < reach_right)
-    found = inside.groupBy(*group).agg(F.coalesce(F.min(F.when(high_left, t)), F.first("center")).alias("start"), F.coalesce(F.max(F.when(high_right, t)), F.first("center")).alias("end"), F.first("last").alias("last"))
+    points = centers.where("second is not null").select(*keys, "second", F.lit(False).alias("own"))
+    rows = levels.select(*keys, "second", F.lit(True).alias("own"), F.col(value).alias("value")).unionByName(points, allowMissingColumns=True).where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    # Centers first, then the seconds alone; or all by time, a center before the second of its time.
+    along, upwards = (W.partitionBy(*keys).orderBy(*order) for order in (["own", "second"], ["second", "own"]))
+    whole, passed = (W.unboundedPreceding, W.unboundedFollowing), (W.unboundedPreceding, W.currentRow)
+    t, own = F.col("second"), F.col("own")
+    high = F.col("value") >= F.expr("percentile(value, 0.6)").over(along.rowsBetween(*whole))
+    marked = rows.withColumns({"high": F.when(own, high), "last": F.max(F.when(own, t)).over(along.rowsBetween(*whole))})
+    # Neither the first second nor the last one begins or ends a clip as a high one.
+    ends = {"low_next": ~F.lead("high").over(along), "low_before": ~F.lag("high").over(along), "high_left": F.when(F.col("high") & (t > 0), t), "high_right": F.when(F.col("high") & (t < F.col("last")), t)}
+    nearest = {"next_high": F.expr("lead(high_left) ignore nulls").over(along), "prev_high": F.expr("lag(high_right) ignore nulls").over(along)}
+    # Two low seconds in a row, by the high second behind them; by one out of every reach where there is none.
+    stop_left, stop_right = ~F.col("high") & F.col("low_next"), ~F.col("high") & F.col("low_before")
+    behind_left, behind_right = F.coalesce("next_high", F.col("last") + longest + 1), F.coalesce("prev_high", t - 2 * longest - 1)
+    stops = marked.withColumns(ends).withColumns(nearest).where("second is not null").select(
+        *keys, "second", "own", "last", "high_left", "high_right", F.when(F.col("high_left").isNotNull(), F.col("next_high")).alias("next_high"), F.when(F.col("high_right").isNotNull(), F.col("prev_high")).alias("prev_high"),
+        F.when(stop_left, behind_left).alias("left"), F.when(stop_right, behind_right).alias("right"), F.when(stop_right, t).alias("right_at"), F.when(own, t).alias("own_at"),
+    )
+    # A stop at the center itself is none of its own: to the left a center comes before it, to the right the one after counts.
+    seen = stops.withColumns({
+        "left": F.last("left", ignorenulls=True).over(upwards.rowsBetween(*passed)), "before": F.last("own_at", ignorenulls=True).over(upwards.rowsBetween(*passed)), "after": F.expr("lead(own_at) ignore nulls").over(upwards),
+        "right": F.expr("lead(right) ignore nulls").over(upwards), "right_then": F.expr("lead(right, 2) ignore nulls").over(upwards), "right_at": F.expr("lead(right_at) ignore nulls").over(upwards), "same": F.lag("second").over(upwards),
+    })
+    by_time = W.partitionBy(*keys).orderBy("second")
+    reach_left, reach_right = by_time.rangeBetween(-longest, 0), by_time.rangeBetween(0, longest)
+    met = seen.withColumns({"high_left": F.min("high_left").over(reach_left), "next_high": F.min("next_high").over(reach_left), "high_right": F.max("high_right").over(reach_right), "prev_high": F.max("prev_high").over(reach_right)})
+    # The outermost high seconds in reach, whose ends don't count, and then those that no stop cuts off.
+    first = F.when(F.col("high_left") > t - longest, F.col("high_left")).otherwise(F.col("next_high"))
+    final = F.when(F.col("high_right") < t + longest, F.col("high_right")).otherwise(F.col("prev_high"))
+    low_end = F.when(first.isNotNull(), F.greatest(first, "left"))
+    high_end = F.when(final.isNotNull(), F.least(final, F.when(F.col("right_at") > t, F.col("right")).otherwise(F.col("right_then"))))
+    group, c = [*keys, "center"], F.col("center")
+    near = (F.col("before") >= t - longest) | (F.col("after") <= t + longest)
+    found = met.where(~own & near & ~t.eqNullSafe(F.col("same"))).select(*keys, t.cast(centers.schema["second"].dataType).alias("center"), F.when(low_end <= t, low_end).otherwise(t).alias("start"), F.when(high_end >= t, high_end).otherwise(t).alias("end"), "last")
     pad = F.floor((shortest - (F.col("end") - F.col("start"))) / 2)
     wide = F.greatest(F.lit(0), F.col("start") - pad)
     short, long = F.col("end") - F.col("start") < shortest, F.col("end") - F.col("start") > longest

@@ -221,3 +221,43 @@ def test_clips_by_stretches_are_the_greedy_ones(spark, windows):
     assert long_selection.ranked_clips(windows.limit(0), 5.0, 0.5).count() == 0
     of_null = long_selection.ranked_clips(windows.where("media_id is null"), 5.0, 0.6, SIZE)
     assert rows_of(of_null) == rows_of(selection.ranked_clips(windows.where("media_id is null"), 5.0, 0.6))
+
+
+def bounds(levels, c, shortest, longest):
+    """A clip around ``c``, second by second; ``levels`` by second."""
+    seconds, last = sorted(levels), max(levels)
+    low = {t: levels[t] < np.percentile(list(levels.values()), 60) for t in seconds}
+    ends = []
+    for side in (-1, 1):
+        reach = max(0, c - longest) if side < 0 else min(last, c + longest)
+        end, before = c, None
+        for t in sorted((t for t in seconds if side * (t - c) >= 0), key=lambda t: side * t):
+            inner = [x for x in seconds if side * (x - t) < 0]
+            near = max(inner, key=lambda x: side * x) if inner else None
+            if abs(t - c) > longest or t != c and low[t] and near is not None and low[near]:
+                break
+            if not low[t] and side * (reach - t) > 0:
+                end = t
+        ends.append(end)
+    s, e = ends
+    if e - s < shortest:
+        s = max(0, s - int((shortest - (e - s)) // 2))
+        return s, min(last, s + shortest)
+    if e - s > longest:
+        s = max(0, c - longest // 2)
+        return s, min(last, s + longest)
+    return s, e
+
+
+def test_clip_bounds_pair_no_seconds_with_centers(spark):
+    rng = random.Random(58)
+    media = {m: {t + m % 3: float(rng.randrange(2 + m % 9)) for t in range(60) if rng.random() < 0.9} for m in range(20)}
+    centers = [(m, c) for m in media for c in [*range(-3, 90, 4), 9, 9]]
+    levels = spark.createDataFrame([(m, t, x) for m, levels in media.items() for t, x in levels.items()] + [(None, 1, 2.0)], "media_id long, second long, level double")
+    points = spark.createDataFrame([*centers, (1, None), (None, 1), (99, 1)], "media_id long, second long")
+    found = selection.clip_bounds(levels, points, "level", 6, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and plan.count(" Sort ") == 2
+    want = {(m, c): bounds(media[m], c, 6, 20) for m, c in centers if any(abs(t - c) <= 20 for t in media[m])}
+    got = found.collect()
+    assert len(got) == len(want) and {(r.media_id, r.center): (r.start, r.end) for r in got} == want
